@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
+from .extract import op9_main_text
+from .mixing import op4_mix
+from .pii import op10_pii
+from .quality import op5_robust_outliers
 from .token_store import op1_token_store
 
+QUERIES = (op1_token_store, op4_mix, op5_robust_outliers, op9_main_text, op10_pii)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mix": mixing.OP4_SQL}
