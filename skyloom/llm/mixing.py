@@ -22,6 +22,7 @@ from pyspark.sql.window import Window as W
 
 from .storage import saved
 
+
 def salt(doc_id: Column, seed: int) -> Column:
     """One of 256 groups over which rows with equal source and size are spread: two hexadecimal digits."""
     return F.coalesce(F.substring(F.md5(F.concat(doc_id.cast("string"), F.lit(f"/{seed}"))), 1, 2), F.lit("00"))
@@ -75,9 +76,9 @@ def mix_plan(
     ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     steps = steps.select("source", "size", ahead(W.partitionBy("source").orderBy("size")).alias("of_smaller"))
     cells = cells.select("source", "size", "salt", ahead(W.partitionBy("source", "size").orderBy("salt")).alias("of_salts"))
-    on = lambda a, b, *names: [a[c].eqNullSafe(b[c]) for c in names]
-    steps = steps.join(sources, on(steps, sources, "source")).select(
-        steps["source"].alias("k_source"), F.col("size").alias("k_size"), "of_smaller", "source_size", "target"
+    sources = sources.withColumnRenamed("source", "t_source")
+    steps = steps.join(sources, F.col("source").eqNullSafe(F.col("t_source"))).select(
+        F.col("source").alias("k_source"), F.col("size").alias("k_size"), "of_smaller", "source_size", "target"
     )
     cells = cells.join(steps, cells["source"].eqNullSafe(F.col("k_source")) & (cells["size"] == F.col("k_size"))).select(
         "k_source", "k_size", F.col("salt").alias("k_salt"), (F.col("of_smaller") + F.col("of_salts")).alias("before"), "source_size", "target"

@@ -99,14 +99,14 @@ def chi2_quantile(p: float, half: int) -> float:
 
 def grouped(rows: DataFrame, min_group: int) -> DataFrame:
     """Adds `g`: the language and source, the language, or all, whichever is the first to have min_group rows."""
-    key = lambda level, *c: F.xxhash64(F.lit(level), *[F.struct(F.col(x).isNull(), F.coalesce(x, F.lit(""))) for x in c])
-    cells = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    langs = cells.groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    cells = cells.join(langs, cells["lang"].eqNullSafe(langs["lang"])).select(
-        cells["lang"].alias("k_lang"),
-        cells["source"].alias("k_source"),
-        F.when(F.col("n") >= min_group, key(2, "source").bitwiseXOR(F.xxhash64(F.lit(3), F.struct(cells["lang"].isNull(), F.coalesce(cells["lang"], F.lit(""))))))
-        .when(F.col("n_lang") >= min_group, F.xxhash64(F.lit(1), F.struct(cells["lang"].isNull(), F.coalesce(cells["lang"], F.lit("")))))
+    named = lambda level, *c: F.xxhash64(F.lit(level), *[F.coalesce(x, F.lit("")) for x in c], *[F.col(x).isNull() for x in c])
+    cells = rows.groupBy(F.col("lang").alias("k_lang"), F.col("source").alias("k_source")).agg(F.count("*").alias("n"))
+    langs = cells.groupBy(F.col("k_lang").alias("l_lang")).agg(F.sum("n").alias("n_lang"))
+    cells = cells.join(langs, F.col("k_lang").eqNullSafe(F.col("l_lang"))).select(
+        "k_lang",
+        "k_source",
+        F.when(F.col("n") >= min_group, named(2, "k_lang", "k_source"))
+        .when(F.col("n_lang") >= min_group, named(1, "k_lang"))
         .otherwise(F.lit(0).cast("long"))
         .alias("g"),
     )
@@ -188,4 +188,4 @@ def good_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("d2", F.round("d2", 6))
+    return quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("d2")
