@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, substrings
 from .extract import op9_main_text
 from .mixing import op4_mix
 from .pii import op10_pii
 from .quality import op5_robust_outliers
+from .substrings import op6_repeated_passages
 from .token_store import op1_token_store
 
-QUERIES = (op1_token_store, op4_mix, op5_robust_outliers, op9_main_text, op10_pii)
+QUERIES = (op1_token_store, op4_mix, op5_robust_outliers, op6_repeated_passages, op9_main_text, op10_pii)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix": mixing.OP4_SQL}
+    return {"op4_mix": mixing.OP4_SQL, "op6_repeated_passages": substrings.OP6_SQL}

@@ -17,6 +17,7 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,34 +37,58 @@ BLOCKS = (
     "shard int, block int, first_id long, last_id long, ids array<long>, n_tokens array<int>, offsets array<int>, "
     "dict_hash string, data binary"
 )
+#: Marks that may follow a word; the apostrophe is left out, for a tokenizer may have rules for what comes after it.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Entries of the word memo before it starts anew.
-MEMO = 600_000
+MEMO = 700_000
 
 
 class Encoder:
     """Encodes texts with the tokenizers library, remembering the ids of each word.
 
-    A word here is a run without ASCII white space. Tokens never cross white space with a tokenizer that drops it
-    before it splits, so a text's ids are those of its words, one after the other.
+    A word here is a run without ASCII white space. Tokens never cross white space with a tokenizer that drops it before
+    it splits, so a text's ids are those of its words, one after the other. The tokenizer lowers case and splits letters
+    from the marks after them; so words are remembered in lower case, and one that ends in a letter and a mark as the two.
+    Both are checked on the tokenizer at hand before they are used.
     """
 
     def __init__(self, path: str, end_id: int, dtype: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
         self.end, self.memo = np.array([end_id], self.dtype).tobytes(), {}
+        probe, apart = ("Ab c, x.", "It's A1b, b.###"), ("ab c , x .", "it's a1b , b .###")
+        self.lowers = self.encode(["Ab cD É."]) == self.encode(["ab cd É."]) and self.encode(probe) == self.encode(apart)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+
+    def learn(self, new: list[bytes]) -> None:
+        """Remembers the ids of each of the words."""
+        memo, parts = self.memo, {}
+        if self.lowers:
+            cores = ((w, w.rstrip(MARKS)) for w in new)
+            parts = {w: (c, w[len(c) :]) for w, c in cores if len(c) < len(w) and c[-1:].isalpha()}
+            new = list({*(w for w in new if w not in parts), *(c for p in parts.values() for c in p)}.difference(memo))
+        for at in range(0, len(new), 4000):
+            part = new[at : at + 4000]
+            memo.update(zip(part, self.encode([w.decode() for w in part]), strict=True))
+        memo.update((w, memo[a] + memo[b]) for w, (a, b) in parts.items())
 
     def many(self, docs: list[bytes]) -> list[bytes]:
         """For each text its ids as bytes, the end id last."""
-        split = [T.words(d) for d in docs]
-        new = list(set().union(*split).difference(self.memo)) if split else []
+        split = [T.words(d.lower() if self.lowers and b"<|" not in d else d) for d in docs]
+        seen = set().union(*split)
+        new = list(seen.difference(self.memo))
         if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 4000):
-            part = new[at : at + 4000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.memo.update(zip(part, (np.array(e.ids, self.dtype).tobytes() for e in found), strict=True))
+            # Short words come again more often.
+            self.memo = {w: v for w, v in self.memo.items() if len(w) < 9}
+            if len(self.memo) > MEMO // 2:
+                self.memo = {}
+            new = list(seen.difference(self.memo))
+        self.learn(new)
         get = self.memo.__getitem__
         return [b"".join(map(get, w)) + self.end for w in split]
 
@@ -84,13 +109,10 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, dtype: str, sample
 
     The bound is a parameter; the dictionary only affects size, never content. Too few samples give an empty dictionary.
     """
-    sample = (
-        docs.where(F.length("text").between(1, sample_chars))
-        .select("text", F.xxhash64("doc_id", "text").alias("h"))
-        .orderBy("h")
-        .limit(sample_docs)
-    )
-    rows = [r.text.encode() for r in sample.select("text").collect()]
+    keys = docs.where(F.length("text").between(1, sample_chars)).select("doc_id", F.xxhash64("doc_id", "text").alias("h"))
+    chosen = keys.orderBy("h", "doc_id").limit(sample_docs).select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h")).distinct()
+    sample = docs.join(F.broadcast(chosen), (F.col("doc_id") == F.col("s_id")) & (F.xxhash64("doc_id", "text") == F.col("s_h")))
+    rows = [r.text.encode() for r in sample.select("text").limit(sample_docs).collect()]
     if len(rows) < 64:
         return b""
     try:
