@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing, substrings
 from .extract import op9_main_text
+from .jaccard import op3_near_copies
 from .mixing import op4_mix
 from .pii import op10_pii
 from .quality import op5_robust_outliers
 from .substrings import op6_repeated_passages
 from .token_store import op1_token_store
 
-QUERIES = (op1_token_store, op4_mix, op5_robust_outliers, op6_repeated_passages, op9_main_text, op10_pii)
+QUERIES = (op1_token_store, op3_near_copies, op4_mix, op5_robust_outliers, op6_repeated_passages, op9_main_text, op10_pii)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
