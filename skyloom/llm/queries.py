@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, substrings
+from . import mixing, substrings, warc
 from .extract import op9_main_text
 from .jaccard import op3_near_copies
+from .media import op2_media
 from .mixing import op4_mix
+from .packing import op7_best_fit
 from .pii import op10_pii
 from .quality import op5_robust_outliers
 from .substrings import op6_repeated_passages
 from .token_store import op1_token_store
+from .warc import op8_warc
 
-QUERIES = (op1_token_store, op3_near_copies, op4_mix, op5_robust_outliers, op6_repeated_passages, op9_main_text, op10_pii)
+QUERIES = (
+    op1_token_store, op2_media, op3_near_copies, op4_mix, op5_robust_outliers, op6_repeated_passages, op7_best_fit, op8_warc, op9_main_text, op10_pii,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix": mixing.OP4_SQL, "op6_repeated_passages": substrings.OP6_SQL}
+    return {"op4_mix": mixing.OP4_SQL, "op6_repeated_passages": substrings.OP6_SQL, "op8_warc": warc.OP8_SQL}
