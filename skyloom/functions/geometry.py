@@ -16,10 +16,18 @@ TAU = 2 * math.pi
 
 
 def stepped(df: DataFrame, drop: bool, **steps: str) -> DataFrame:
-    """Adds each expression in turn; with drop, all but the last are taken off again."""
-    for name, text in steps.items():
-        df = df.withColumn(name, F.expr(text))
-    return df.drop(*list(steps)[:-1]) if drop else df
+    """Adds each expression in turn; with drop, the last one is sealed and the others are taken off again."""
+    *before, last = steps
+    for name in before if drop else steps:
+        df = df.withColumn(name, F.expr(steps[name]))
+    return sealed(df, **{last: steps[last]}).drop(*before) if drop else df
+
+
+def sealed(df: DataFrame, **last: str) -> DataFrame:
+    """Adds expressions by a generator of one row. Catalyst pushes no filter through it: one on a pixel, such as the one
+    that it adds for a join, would else be pushed down as the whole formula, at each of its steps anew."""
+    fields = ", ".join(f"'{n}', {t}" for n, t in last.items())
+    return df.select(*[F.col(c) for c in df.columns if c not in last], F.inline_outer(F.expr(f"array(named_struct({fields}))")))
 
 
 def _direction(x: str, y: str, z: str, n: int) -> dict[str, str]:
@@ -79,7 +87,7 @@ def with_nest_pixel(df: DataFrame, x: str, y: str, z: str, nside: int, name: str
     for c in ("_ix", "_iy"):
         for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
             df = df.withColumn(c, F.expr(f"(cast({c} as long) | shiftleft(cast({c} as long), {shift})) & {mask}L"))
-    df = df.withColumn(name, F.expr(f"cast(_face * {n * n}L + _ix + 2 * _iy as long)"))
+    df = sealed(df, **{name: f"cast(_face * {n * n}L + _ix + 2 * _iy as long)"})
     return df.drop("_r", "_z", "_za", "_tt", "_eq", "_tp", "_t", "_jp", "_jm", "_q", "_cp", "_cm", "_a", "_b", "_face", "_ix", "_iy")
 
 
@@ -88,7 +96,7 @@ def with_ring_of_nest(df: DataFrame, nest: str, nside: int, name: str = "ring")
     n = nside
     df = df.withColumn("_face", F.expr(f"({nest}) div {n * n}L")).withColumn("_in", F.expr(f"({nest}) % {n * n}L"))
     df = gathered(gathered(df, "_in", "_ix"), "shiftright(_in, 1)", "_iy")
-    return stepped(
+    df = stepped(
         df,
         False,
         _jr=f"(_face div 4 + 2) * {n} - _ix - _iy - 1",
@@ -97,8 +105,8 @@ def with_ring_of_nest(df: DataFrame, nest: str, nside: int, name: str = "ring")
         _jf="(_face % 4) * 2 + if(_face div 4 = 1, 0, 1)",
         _jq=f"shiftright(_jf * _nr + _ix - _iy + 1 + if(_jr between {n} and {3 * n}, (_jr - {n}) % 2, 0), 1)",
         _jw="case when _jq > 4 * _nr then _jq - 4 * _nr when _jq < 1 then _jq + 4 * _nr else _jq end",
-        **{name: "cast(_before + _jw - 1 as long)"},
-    ).drop("_face", "_in", "_ix", "_iy", "_jr", "_nr", "_before", "_jf", "_jq", "_jw")
+    )
+    return sealed(df, **{name: "cast(_before + _jw - 1 as long)"}).drop("_face", "_in", "_ix", "_iy", "_jr", "_nr", "_before", "_jf", "_jq", "_jw")
 
 
 def _ring(i: str, n: int, p: str) -> dict[str, str]:
@@ -116,7 +124,7 @@ def with_direction_of_ring(df: DataFrame, pix: str, nside: int, names: tuple[str
     """The unit vector to the centre of a RING pixel."""
     n, x, y, z = nside, *names
     cap = 2 * n * (n - 1)
-    return stepped(
+    df = stepped(
         df,
         False,
         _p=f"cast({pix} as long)",
@@ -125,8 +133,8 @@ def with_direction_of_ring(df: DataFrame, pix: str, nside: int, names: tuple[str
         **_ring("_i", n, "_g"),
         _phi=f"(_p - _gstart + 0.5D * _gshift) * {TAU!r}D / _gsize",
         _s="sqrt((1D - _gz) * (1D + _gz))",
-        **{x: "_s * cos(_phi)", y: "_s * sin(_phi)", z: "_gz"},
-    ).drop("_p", "_i", "_gj", "_gsize", "_gstart", "_gz", "_gshift", "_phi", "_s")
+    )
+    return sealed(df, **{x: "_s * cos(_phi)", y: "_s * sin(_phi)", z: "_gz"}).drop("_p", "_i", "_gj", "_gsize", "_gstart", "_gz", "_gshift", "_phi", "_s")
 
 
 def with_nest_of_ring(df: DataFrame, ring: str, nside: int, name: str = "nest") -> DataFrame:
@@ -141,7 +149,7 @@ def with_interpolation(df: DataFrame, x: str, y: str, z: str, nside: int, name:
     Weights are linear in longitude inside the rings above and below, and linear in colatitude between them. Between a pole
     and the ring next to it, the distance to the pole deals the rest evenly to the four pixels of that ring.
     """
-    n, npix = nside, 12 * nside * nside
+    n, npix, own = nside, 12 * nside * nside, set(df.columns)
     df = stepped(
         df,
         False,
@@ -185,7 +193,7 @@ def with_interpolation(df: DataFrame, x: str, y: str, z: str, nside: int, name:
     )
     listed = ", ".join(f"named_struct('pix', cast({p} as long), 'w', {w})" for p, w in entries)
     df = df.withColumn(name, F.expr(f"if(_r is null, null, array({listed}))"))
-    return df.drop(*[c for c in df.columns if c.startswith("_") and c not in (name,)])
+    return df.drop(*[c for c in df.columns if c not in own and c != name])
 
 
 def parent_pixel(nest: str | Column, levels: int) -> Column:

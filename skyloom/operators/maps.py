@@ -23,17 +23,23 @@ def with_motion(df: DataFrame) -> DataFrame:
     return df.withColumn("_d2", P.dist2(x, y, z)).withColumn("_v", F.try_divide(vx * x + vy * y + vz * z, F.sqrt(F.col("_d2"))))
 
 
+def off_centre(df: DataFrame) -> DataFrame:
+    """Rows that have a direction. A filter on the pixel itself would be pushed down as the whole formula."""
+    return df.where("x <> 0 OR y <> 0 OR z <> 0")
+
+
 def ngp_map(df: DataFrame, nside: int, keys: tuple[str, ...] = ("step",), order: str = "ring") -> DataFrame:
     """(keys, idx, rho, phi, vel, n): each particle on the pixel that holds it; rho is counts for each unit of solid angle."""
     pixel = G.with_ring_pixel if order == "ring" else G.with_nest_pixel
     area = 4 * math.pi / (12 * nside * nside)
-    out = pixel(with_motion(df), "x", "y", "z", nside, "idx").where("idx IS NOT NULL").groupBy(*keys, "idx")
+    out = pixel(with_motion(off_centre(df)), "x", "y", "z", nside, "idx").groupBy(*keys, "idx")
     return out.agg((F.count("*") / F.lit(area)).alias("rho"), F.sum("phi").alias("phi"), F.sum("_v").alias("vel"), F.count("*").alias("n"))
 
 
 def spread_over_pixels(df: DataFrame, nside: int, columns: tuple[str, ...]) -> DataFrame:
     """Four rows for each particle, one for each interpolation pixel, with idx and w; only the columns asked for go on."""
-    near = G.with_interpolation(df, "x", "y", "z", nside, "near").select(*columns, F.inline("near"))
+    # inline_outer: for inline, Catalyst adds a filter on the array, which it would push down as the whole formula.
+    near = G.with_interpolation(off_centre(df), "x", "y", "z", nside, "near").select(*columns, F.inline_outer("near"))
     return near.withColumnRenamed("pix", "idx")
 
 
@@ -93,7 +99,7 @@ def tsz_totals(df: DataFrame, mu: float = 0.59, electrons: Column | None = None)
 def sz_map(df: DataFrame, nside: int, factors: dict[str, float] | None = None) -> DataFrame:
     """(idx, tsz, ksz): gas particles of all steps on the pixels that hold them."""
     unit = {"tsz": 1.0, "ksz": 1.0} | (factors or {})
-    gas = G.with_ring_pixel(with_motion(df.where(P.has_bit(F.col("mask")))), "x", "y", "z", nside, "idx").where("idx IS NOT NULL")
+    gas = G.with_ring_pixel(with_motion(off_centre(df.where(P.has_bit(F.col("mask"))))), "x", "y", "z", nside, "idx")
     tsz, ksz = P.sz_weights(*[F.col(c) for c in ("mass", "mu", "uu", "a", "_d2", "_v")])
     return gas.groupBy("idx").agg((F.sum(tsz) * unit["tsz"]).alias("tsz"), (F.sum(ksz) * unit["ksz"]).alias("ksz"))
 
