@@ -148,7 +148,9 @@ class MemberReader(DataSourceReader):
                 error = e
         raise OSError(f"{path}: member at {member['offset']} can't be read: {error}")
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's one partition where there is none
+            return
         system, path = filesystem(partition.archive)
         members = self.directory(system, path)
         members = members[(members["offset"] >= partition.start) & (members["offset"] < partition.end)]

@@ -101,7 +101,7 @@ def trained(pages: DataFrame, sample_pages: int, sample_chars: int, size: int) -
     chosen = keys.orderBy("h", "page_id").limit(sample_pages).select(F.col("page_id").alias("s_id"), F.col("h").alias("s_h")).distinct()
     sample = pages.join(F.broadcast(chosen), (F.col("page_id") == F.col("s_id")) & (F.xxhash64("page_id", "html") == F.col("s_h")))
     rows = [page_record(r.page_id, r.url, r.html.encode(), None) for r in sample.select("page_id", "url", "html").limit(sample_pages).collect()]
-    if len(rows) < 64:
+    if len(rows) < 16:
         return b""
     try:
         return zstandard.train_dictionary(size, rows).as_bytes()
