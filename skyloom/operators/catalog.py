@@ -140,8 +140,10 @@ def locate_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return named.join(ids.select(key).distinct(), key, "left_semi").groupBy("file").agg(F.count("*").alias("n"))
 
 
-def hash_sample(df: DataFrame, keys: tuple[str, ...], k: int, seed: int = 607) -> DataFrame:
-    """About one row in k, the same ones however the table is partitioned."""
+def hash_sample(df: DataFrame, keys: tuple[str, ...], k: int, seed: int = 607, draw: Column | None = None) -> DataFrame:
+    """About one row in k, the same ones however the table is partitioned. draw is a number in [0, 1), by default a hash of the keys."""
+    if draw is not None:
+        return df.where(draw * k < 1)
     return df.where(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(k)) == 0)
 
 
