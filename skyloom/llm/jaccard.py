@@ -114,16 +114,6 @@ def buckets(sets: DataFrame, runs: int, levels: int, limit: int) -> DataFrame:
     return saved(done.join(kept, "bucket"), "kept")
 
 
-def token_table(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(id, tokens) of the documents with these ids; computed again from the texts rather than carried along."""
-    rows = docs.join(ids.select(F.col("id").alias("t_id")), F.col("doc_id") == F.col("t_id"), "left_semi").dropDuplicates(["doc_id"])
-
-    def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        return {"id": batch.column("doc_id"), "tokens": T.lists([T.signed(T.shingles(t, n)) for t in T.texts(batch.column("text"))], pa.int64())}
-
-    return T.per_batch(rows.select("doc_id", "text"), run, "id long, tokens array<long>", rows=500)
-
-
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all left sets with all right ones."""
     out = np.zeros((len(left), len(right)), np.float32)
@@ -177,17 +167,20 @@ def forest(pairs: np.ndarray, a: list[int], b: list[int]) -> list[tuple[int, int
     return [(x, top(x)) for x in up if top(x) != x]
 
 
-def compared(entries: DataFrame, similarity: float, block: int) -> DataFrame:
-    """(id, links, to): per task and set its number of links, weighted by copies, and a link to join it by, if any."""
+def compared(entries: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
+    """(id, links, to): per task and set its number of links, weighted by copies, and a link to join it by, if any.
+
+    Entries carry texts, which are about half as large as their token sets; the sets are made where they are compared.
+    """
     parts = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int")
     rows = entries.withColumn("parts", parts).withColumn("own", own)
     # Each block meets each block of its bucket once: a row goes to the tasks of its block's row and column.
     others = F.expr("transform(sequence(0, parts - 1), p -> struct(least(own, p) as i, greatest(own, p) as j))")
-    rows = rows.withColumn("task", F.explode(others)).select("bucket", "id", "tokens", "buckets", "copies", "own", F.col("task.i").alias("i"), F.col("task.j").alias("j"))
+    rows = rows.withColumn("task", F.explode(others)).select("bucket", "id", "text", "buckets", "copies", "own", F.col("task.i").alias("i"), F.col("task.j").alias("j"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+        held, seen, key = [], set(), None
 
         def result() -> pa.RecordBatch:
             bucket, i, j = key
@@ -212,15 +205,17 @@ def compared(entries: DataFrame, similarity: float, block: int) -> DataFrame:
             )
 
         for batch in batches:
-            tokens, at = batch.column("tokens").values.to_numpy().view(np.uint64), batch.column("tokens").offsets.to_numpy()
+            texts = T.texts(batch.column("text"))
             rest = {c: batch.column(c).to_pylist() for c in ("bucket", "i", "j", "id", "own", "copies", "buckets")}
-            for k in range(batch.num_rows):
+            for k, t in enumerate(texts):
                 new = (rest["bucket"][k], rest["i"][k], rest["j"][k])
-                if new != key and held:
-                    yield result()
-                    held = []
-                key = new
-                held.append({"id": rest["id"][k], "own": rest["own"][k], "copies": rest["copies"][k], "buckets": rest["buckets"][k], "tokens": tokens[at[k] : at[k + 1]].copy()})
+                if new != key:
+                    if held:
+                        yield result()
+                    held, seen, key = [], set(), new
+                if rest["id"][k] not in seen:  # a row that repeats
+                    seen.add(rest["id"][k])
+                    held.append({c: rest[c][k] for c in ("id", "own", "copies", "buckets")} | {"tokens": T.shingles(t, words)})
         if held:
             yield result()
 
@@ -272,9 +267,10 @@ def near_groups(
     of_set = saved(
         kept.groupBy("id").agg(F.collect_set("bucket").alias("buckets")).join(first, F.col("id") == F.col("f_id")).select("id", "buckets", "copies"), "of_set"
     )
-    tokens = token_table(docs, of_set, n).withColumnRenamed("id", "t_id")
-    entries = kept.join(of_set.join(tokens, F.col("id") == F.col("t_id")).drop("t_id"), "id")
-    found = saved(compared(entries, similarity, block), "links")
+    # The entries grow with the corpus: a plan that broadcasts them while they are few would not last.
+    entries = kept.join(of_set, "id").hint("shuffle_hash")
+    entries = docs.join(entries, F.col("doc_id") == F.col("id")).drop("doc_id")
+    found = saved(compared(entries, n, similarity, block), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.where("to IS NOT NULL").select(F.col("id").alias("a"), F.col("to").alias("b")))
     links = links.join(roots.withColumnRenamed("id", "r_id"), F.col("id") == F.col("r_id"), "left")
