@@ -184,7 +184,8 @@ def quality_verdicts(docs: DataFrame, min_group: int = 200, share: float = 0.75,
 def good_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that are kept, with the same columns; rows are told apart by doc_id."""
     kept = saved(quality_verdicts(docs, **options).where("kept").select(F.col("doc_id").alias("_kept_id")), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    # The list grows with the corpus: a plan that broadcasts it while it is short would not last.
+    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
 
 
 def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
