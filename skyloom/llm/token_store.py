@@ -18,6 +18,7 @@ columns of the input are ignored.
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ BLOCKS = (
 )
 #: Marks that may follow a word; the apostrophe is left out, for a tokenizer may have rules for what comes after it.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: What the vocabulary puts at the end of a word's last token.
+WORD_END = "</w>"
 #: Entries of the word memo before it starts anew.
 MEMO = 700_000
 
@@ -50,6 +53,10 @@ class Encoder:
     it splits, so a text's ids are those of its words, one after the other. The tokenizer lowers case and splits letters
     from the marks after them; so words are remembered in lower case, and one that ends in a letter and a mark as the two.
     Both are checked on the tokenizer at hand before they are used.
+
+    New words of letters only are encoded many in one text, which costs less than a text each, and told apart by the
+    vocabulary's word-end suffix. Each of them has one token with it at least, so as many such tokens as words means one
+    in each word, its last; a text where the numbers differ is encoded word by word.
     """
 
     def __init__(self, path: str, end_id: int, dtype: str):
@@ -58,9 +65,28 @@ class Encoder:
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
         self.end, self.memo = np.array([end_id], self.dtype).tobytes(), {}
-        probe, apart = ("Ab c, x.", "It's A1b, b.###"), ("ab c , x .", "it's a1b , b .###")
+        probe, apart = ("Ab c, x.", "It's A1b, b.###", "c\u00e9."), ("ab c , x .", "it's a1b , b .###", "c\u00e9 .")
         self.lowers = self.encode(["Ab cD É."]) == self.encode(["ab cd É."]) and self.encode(probe) == self.encode(apart)
 
+        vocabulary, added = self.tokenizer.get_vocab(), [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.lower().encode() for t in added]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if not any(t.replace(" ", "").isalpha() for t in added):  # such a token could stand inside of words
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+
+    def together(self, words: list[bytes], size: int = 256) -> list[bytes]:
+        """For each word of letters its ids, the words of a text encoded together."""
+        out, width = [], self.dtype.itemsize
+        for at in range(0, len(words), size):
+            part = words[at : at + size]
+            raw = self.encode([b" ".join(part).decode()])[0]
+            cuts = [0, *(width * (np.flatnonzero(self.ends[np.frombuffer(raw, self.dtype)]) + 1)).tolist()]
+            if len(cuts) == len(part) + 1 and cuts[-1] == len(raw):
+                out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+            else:
+                out += self.encode([w.decode() for w in part])
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
@@ -70,8 +96,12 @@ class Encoder:
         memo, parts = self.memo, {}
         if self.lowers:
             cores = ((w, w.rstrip(MARKS)) for w in new)
-            parts = {w: (c, w[len(c) :]) for w, c in cores if len(c) < len(w) and c[-1:].isalpha()}
+            parts = {w: (c, w[len(c) :]) for w, c in cores if len(c) < len(w) and (c[-1:].isalpha() or unicodedata.normalize("NFC", c.decode()).lower().isalpha())}
             new = list({*(w for w in new if w not in parts), *(c for p in parts.values() for c in p)}.difference(memo))
+        if self.ends.any():
+            letters = [w for w in new if w.decode().isalpha()]
+            memo.update(zip(letters, self.together(letters), strict=True))
+            new = [w for w in new if w not in memo]
         for at in range(0, len(new), 4000):
             part = new[at : at + 4000]
             memo.update(zip(part, self.encode([w.decode() for w in part]), strict=True))
@@ -79,7 +109,10 @@ class Encoder:
 
     def many(self, docs: list[bytes]) -> list[bytes]:
         """For each text its ids as bytes, the end id last."""
-        split = [T.words(d.lower() if self.lowers and b"<|" not in d else d) for d in docs]
+        low = [d.lower() for d in docs]
+        # A special token spelled out, such as an end mark, must not be split: such a text is encoded whole.
+        whole = {k for k, d in enumerate(low) if any(t in d for t in self.added)}
+        split = [[] if k in whole else T.words(low[k] if self.lowers else d) for k, d in enumerate(docs)]
         seen = set().union(*split)
         new = list(seen.difference(self.memo))
         if len(self.memo) + len(new) > MEMO:
@@ -90,7 +123,7 @@ class Encoder:
             new = list(seen.difference(self.memo))
         self.learn(new)
         get = self.memo.__getitem__
-        return [b"".join(map(get, w)) + self.end for w in split]
+        return [(self.encode([d.decode()])[0] if k in whole else b"".join(map(get, w))) + self.end for k, (d, w) in enumerate(zip(docs, split, strict=True))]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

@@ -77,6 +77,18 @@ def check_tokens(spark, docs, tokenizer):
     return folder
 
 
+def test_encoder_against_whole_texts():
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    odd = (
+        "\u0130stanbul \u0130. \u0391\u03a3. \u0391\u0392\u03a3, \ufb01n \ufb03. \u01c5 \u0149 e\u0301 e\u0301. \u0301a a\u0338.|\u4f60\u597d \u4e16\u754c\u3002 ab\u4f60!|"
+        "\u0915\u0947. \u0958 \u0958. \ud55c\uad6d\uc5b4. \u212b \u2126.|a\u00a0b c\x1cd q\u2003.|don't 'S 's. it's's \u00e9's. \u00c9'S|Foo<\\x|\U0001f600 a\U0001f600. \u00bd x\u00bd \u00aa"
+    ).split("|")
+    odd += ["x <|endoftext|> y", "\u0130 <|EndOfText|>", "a<|endoftext|>B Foo.", "", " \n", "x" * 5000 + " y", " ".join(odd)]
+    enc = token_store.Encoder(path, 2, "<u2")
+    assert enc.many([t.encode() for t in odd]) == [x + enc.end for x in enc.encode(odd)]
+    assert enc.many([t.encode() for t in odd]) == [x + enc.end for x in enc.encode(odd)]  # from its memory
+
+
 def test_token_store(spark, docs, edge, empty):
     import public_tokenizers
 
