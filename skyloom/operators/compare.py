@@ -98,7 +98,8 @@ def match_by_position(a: DataFrame, b: DataFrame, tol: float = 0.05, mass_tol: f
     """(a_key, b_key, d2): one-to-one pairs whose coordinates each differ by less than tol and whose masses agree.
 
     Both sides are cut into cubes of edge tol; b is put into the 27 cubes around its own, so equal cubes hold every pair
-    that can match. Of the candidates, those stay that are the nearest of both their rows.
+    that can match. Of the candidates, those stay that are the nearest of both their rows; equal distances go by key.
+    Rows of one key count as one, at their smallest distance.
     """
     xyz = ("x", "y", "z")
     cube = [F.floor(F.col(c) / tol).cast("long") for c in xyz]
@@ -110,7 +111,7 @@ def match_by_position(a: DataFrame, b: DataFrame, tol: float = 0.05, mass_tol: f
     near = reduce(lambda p, q: p & q, [F.abs(v) < tol for v in d])
     change = F.try_divide(F.col("a_m") - F.col("b_m"), F.col("a_m"))
     near = near & ((F.abs(change) if two_sided else change) < mass_tol)
-    pairs = left.join(right, [f"c{c}" for c in xyz]).where(near).select("a_key", "b_key", P.dist2(*d).alias("d2"))
+    pairs = left.join(right, [f"c{c}" for c in xyz]).where(near).groupBy("a_key", "b_key").agg(F.min(P.dist2(*d)).alias("d2"))
     first = lambda x, y: F.row_number().over(W.partitionBy(x).orderBy("d2", y))
     ranked = pairs.withColumn("ra", first("a_key", "b_key")).withColumn("rb", first("b_key", "a_key"))
     return ranked.where("ra = 1 AND rb = 1").select("a_key", "b_key", "d2")
@@ -165,10 +166,12 @@ def ratio_stats(a: DataFrame, b: DataFrame, mass_cut: float, tol: float = 0.01,
     """(var, pct_within, pct_within_abs, pct_zero, mean, std, n_above, n_below, n) of the relative changes from a to b.
 
     Halos above the mass cut in a; changes of mass and concentration, and the centre's shift over the radius.
-    pct_within is of changes below tol with their sign, pct_within_abs without.
+    pct_within is of changes below tol with their sign, pct_within_abs without. Of a repeated tag the first rows of both
+    sides are a pair, then the second ones, in order of the columns.
     """
     columns = (mass, concentration, radius, *[f"{centre}{c}" for c in "xyz"])
-    pairs = aligned(a.where(P.mass_window(F.col(mass), mass_cut)), b, (tag,), columns).where("in_a AND in_b")
+    a, b = (x.withColumn("_nth", F.row_number().over(W.partitionBy(tag).orderBy(*columns))) for x in (a, b))
+    pairs = aligned(a.where(P.mass_window(F.col(mass), mass_cut)), b, (tag, "_nth"), columns).where("in_a AND in_b")
     shift = P.distance(*[F.col(f"b_{centre}{c}") - F.col(f"a_{centre}{c}") for c in "xyz"])
     rows = pairs.select(
         P.rel_change(F.col(f"b_{mass}"), F.col(f"a_{mass}")).alias("m"), P.rel_change(F.col(f"b_{concentration}"), F.col(f"a_{concentration}")).alias("c"), F.try_divide(shift, F.col(f"a_{radius}")).alias("s")

@@ -441,6 +441,19 @@ def j6_match_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.match_properties(lc, view(spark, sf_dir, "halos_a").where("k % 3 <> 0").select("fof_halo_tag", *PROPS))
 
 
+@query(
+    """SELECT l.id, l.replication, l.fof_halo_tag, h.p.c AS fof_halo_count, h.p.m AS fof_halo_mass, h.p.s AS sod_halo_mass, h.t IS NOT NULL AS matched
+FROM (SELECT DISTINCT id, replication, fof_halo_tag FROM $particles UNION ALL SELECT -1, 0, -7) l LEFT JOIN (
+  SELECT CASE WHEN fof_halo_tag < 0 THEN (-fof_halo_tag) & 281474976710655 ELSE fof_halo_tag END AS t, max(struct_pack(c := fof_halo_count, m := fof_halo_mass, s := sod_halo_mass)) AS p
+  FROM $halos_a WHERE fof_halo_mass > 1e12 GROUP BY 1) h ON CASE WHEN l.fof_halo_tag < 0 THEN (-l.fof_halo_tag) & 281474976710655 ELSE l.fof_halo_tag END = h.t""",
+)
+def j6_match_properties_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every lightcone row with the properties of its halo, where that is above the mass cut."""
+    lc = view(spark, sf_dir, "particles").select(*KEYS, "fof_halo_tag").distinct()
+    lc = lc.unionByName(spark.createDataFrame([(-1, 0, -7)], lc.schema))
+    return C.match_properties(lc, view(spark, sf_dir, "halos_a").where(P.mass_window(F.col("fof_halo_mass"), 1e12)).select("fof_halo_tag", *PROPS))
+
+
 @query("SELECT p.id, p.replication, p.step, p.fof_halo_tag FROM $particles p SEMI JOIN $id_list i ON p.step = i.step AND p.fof_halo_tag = i.fof_halo_tag")
 def j9_select_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of an id list for each step."""
@@ -488,6 +501,16 @@ def o3_exact_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.exact_sample(h, 0.1, ("k",), draw=md5_draw("k", "fof_halo_tag")).select("k", "step")
 
 
+@query(
+    f"""SELECT k, step FROM (SELECT k, step, row_number() OVER (PARTITION BY step ORDER BY u, k) AS nth, count(*) OVER (PARTITION BY step) AS n
+FROM (SELECT k, k % 4 AS step, {DRAW} AS u FROM $halos_a)) WHERE nth <= round(n*0.1e0)""",
+)
+def o3_exact_sample_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exact share of each step, repeated halos and their equal draws included."""
+    h = view(spark, sf_dir, "halos_a").withColumn("step", F.col("k") % 4)
+    return C.exact_sample(h, 0.1, ("k",), draw=md5_draw("k", "fof_halo_tag")).select("k", "step")
+
+
 @query(f"SELECT k FROM $halos_a WHERE {DRAW}*10 < 1")
 def o2_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O2: about one row in ten."""
@@ -574,6 +597,22 @@ def j3_compare_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(K.compare_bins(a, b, tags, BINS, 1e-3)[0])
 
 
+@query(
+    VERDICT.format(limit="1e-3"),
+    CLEAN,
+    "s AS (SELECT * FROM $sod_bins WHERE fof_halo_bin_tag IN (SELECT fof_halo_tag FROM ca))",
+    f"""pr AS (SELECT unnest([{", ".join(f"'{c}'" for c in BINS)}]) AS var, unnest([{", ".join(f"p.{c}" for c in BINS)}]::DOUBLE[]) AS a,
+  unnest([p.sod_halo_bin_mass*1.00047e0, p.sod_halo_bin_radius, p.sod_halo_bin_rho + 1e-2]::DOUBLE[]) AS b FROM s p)""",
+    STATS.format(guard="0"),
+)
+def j3_compare_bins_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All profile bins of the halos that passed the first table's mass window."""
+    tags = K.drop_duplicated_keys(view(spark, sf_dir, "halos_a").where(P.mass_window(F.col("fof_halo_mass"), 1e11, 4e12)).select("fof_halo_tag"), ("fof_halo_tag",))
+    a = view(spark, sf_dir, "sod_bins")
+    b = a.withColumn("sod_halo_bin_mass", F.col("sod_halo_bin_mass") * 1.00047).withColumn("sod_halo_bin_rho", F.col("sod_halo_bin_rho") + 1e-2)
+    return rounded(K.compare_bins(a, b, tags, BINS, 1e-3)[0])
+
+
 @query("SELECT (SELECT count(*) FROM (FROM $membership_a EXCEPT ALL FROM $membership_b)) AS only_a, (SELECT count(*) FROM (FROM $membership_b EXCEPT ALL FROM $membership_a)) AS only_b")
 def j4_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members that two catalogues do not share, as bags."""
@@ -595,6 +634,19 @@ def j5_match_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return single(K.match_by_position(a, b), "d2")
 
 
+@query(
+    """SELECT a_key, b_key, SIG(d2) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY a_key ORDER BY d2, b_key) AS ra, row_number() OVER (PARTITION BY b_key ORDER BY d2, a_key) AS rb FROM (
+  SELECT p.k AS a_key, q.k AS b_key, min((p.fof_halo_center_x - q.fof_halo_center_x)^2 + (p.fof_halo_center_y - q.fof_halo_center_y)^2 + (p.fof_halo_center_z - q.fof_halo_center_z)^2) AS d2
+  FROM $halos_a p JOIN $halos_b q ON abs(p.fof_halo_center_x - q.fof_halo_center_x) < 0.05e0 AND abs(p.fof_halo_center_y - q.fof_halo_center_y) < 0.05e0
+    AND abs(p.fof_halo_center_z - q.fof_halo_center_z) < 0.05e0 AND (p.fof_halo_mass - q.fof_halo_mass)/p.fof_halo_mass < 0.05e0 GROUP BY 1, 2)) WHERE ra = 1 AND rb = 1""",
+)
+def j5_match_by_position_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halos by place and mass, one to one, copies of a halo as one."""
+    short = {"fof_halo_center_x": "x", "fof_halo_center_y": "y", "fof_halo_center_z": "z", "fof_halo_mass": "mass", "k": "tag"}
+    a, b = (view(spark, sf_dir, f"halos_{s}").select(*short).withColumnsRenamed(short) for s in "ab")
+    return single(K.match_by_position(a, b), "d2")
+
+
 @query(
     """SELECT var, SIG(avg(v) FILTER (src = 'a')) AS mean_a, SIG(stddev_samp(v) FILTER (src = 'a')) AS std_a, SIG(max(abs(v)) FILTER (src = 'a')) AS max_a, SIG(avg(v) FILTER (src = 'b')) AS mean_b,
 SIG(stddev_samp(v) FILTER (src = 'b')) AS std_b, SIG(max(abs(v)) FILTER (src = 'b')) AS max_b, (count(*) FILTER (src = 'a') - count(*) FILTER (src = 'b'))::BIGINT AS row_difference,
@@ -662,6 +714,21 @@ def a27_ratio_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return single(out, "pct_within", "pct_within_abs", "pct_zero", "mean", "std")
 
 
+@query(
+    """SELECT var, SIG(100*avg((r < 0.01e0)::INT)) AS pct_within, SIG(100*avg((abs(r) < 0.01e0)::INT)) AS pct_within_abs, SIG(100*avg((r = 0)::INT)) AS pct_zero, SIG(round(avg(r), 12)) AS mean, SIG(round(stddev_pop(r), 12)) AS std,
+count(*) FILTER (r > 0) AS n_above, count(*) FILTER (r < 0) AS n_below, count(*) AS n FROM (
+  SELECT unnest(['mass', 'concentration', 'shift']) AS var, unnest([(q.sod_halo_mass - p.sod_halo_mass)/p.sod_halo_mass, (q.sod_halo_cdelta - p.sod_halo_cdelta)/p.sod_halo_cdelta,
+    sqrt((q.fof_halo_center_x - p.fof_halo_center_x)^2 + (q.fof_halo_center_y - p.fof_halo_center_y)^2 + (q.fof_halo_center_z - p.fof_halo_center_z)^2)/p.sod_halo_radius]) AS r
+  FROM na p JOIN nb q USING (k, nth) WHERE p.sod_halo_mass > 1e12) GROUP BY 1""",
+    *[f"n{s} AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY sod_halo_mass, sod_halo_cdelta, sod_halo_radius, fof_halo_center_x, fof_halo_center_y, fof_halo_center_z) AS nth FROM $halos_{s})" for s in "ab"],
+)
+def a27_ratio_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative changes of all halos, a halo's copies paired in order."""
+    out = K.ratio_stats(*(view(spark, sf_dir, f"halos_{s}") for s in "ab"), 1e12, tag="k")
+    out = out.withColumn("mean", F.round("mean", 12)).withColumn("std", F.round("std", 12))
+    return single(out, "pct_within", "pct_within_abs", "pct_zero", "mean", "std")
+
+
 @query(
     """SELECT rule, violations, n AS rows FROM (SELECT count(*) AS n, count(*) FILTER (NOT fof_halo_count >= 20) AS a, count(*) FILTER (NOT fof_halo_mass > 0) AS b,
   count(*) FILTER (NOT ((sod_halo_mass = -101e0) = (fof_halo_count < 500))) AS c FROM $halos_a) UNPIVOT (violations FOR rule IN (a AS 'minimum count', b AS 'positive mass', c AS 'fill below 500'))""",

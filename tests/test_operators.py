@@ -102,3 +102,16 @@ def test_wide_steps(spark):
     rules = spark.createDataFrame([(9, 1, 0.5, None)], "target int, source int, lo double, hi double")
     df = spark.createDataFrame([(1, 0.4), (1, 0.6), (2, 0.9)], "step int, a double")
     assert sorted(tuple(r) for r in C.substitute_steps(df, rules).collect()) == [(1, 0.4), (2, 0.9), (9, 0.6)]
+
+
+def test_repeated_halos_are_paired_once(spark):
+    columns = ["tag", "sod_halo_mass", "sod_halo_cdelta", "sod_halo_radius", *[f"fof_halo_center_{c}" for c in "xyz"]]
+    a = spark.createDataFrame([(1, 2e12, 5.0, 1.0, 0.0, 0.0, 0.0)] * 2 + [(2, 3e12, 4.0, 1.0, 9.0, 9.0, 9.0)], columns)
+    b = spark.createDataFrame([(1, 2e12, 5.0, 1.0, 0.0, 0.0, 0.0)] * 2 + [(2, 6e12, 4.0, 1.0, 9.0, 9.0, 9.0)], columns)
+    got = {r["var"]: (r.n, r.n_above, r["mean"]) for r in K.ratio_stats(a, b, 1e12, tag="tag").collect()}
+    assert got["mass"] == (3, 1, pytest.approx(1 / 3)) and got["shift"][0] == 3
+    place = "tag long, x double, y double, z double, mass double"
+    a = spark.createDataFrame([(1, 1.0, 1.0, 1.0, 1.0)] * 2 + [(5, 7.0, 7.0, 7.0, 1.0)], place)
+    # 3 and 4 are as far from 5, and 3 stands twice
+    b = spark.createDataFrame([(4, 7.03125, 7.0, 7.0, 1.0), (3, 6.96875, 7.0, 7.0, 1.0), (3, 6.96875, 7.0, 7.0, 1.0), (2, 1.0, 1.0, 1.0, 1.0), (2, 1.0, 1.0, 1.0, 1.0)], place)
+    assert sorted(tuple(r)[:2] for r in K.match_by_position(a, b).collect()) == [(1, 2), (5, 3)]
