@@ -2,7 +2,8 @@
 
 Base detectors find e-mail addresses, IPv4-like addresses, payment card numbers and telephone numbers in the text as it
 stands. Where a text may hold disguises, small transducers rewrite it: homoglyphs, full-width and styled digits become
-ASCII, invisible characters go, runs of spelled digits become digits, bracketed or spelled "at" and "dot" become signs.
+ASCII, invisible characters go, spelled digits become digits in runs of any length and next to written ones, bracketed or
+spelled "at" and "dot" become signs.
 Every character of the rewritten text keeps the start and end of the source characters that it came from. The same
 detectors then run on the rewritten text, and what they find is mapped back and added where it touches no base span.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,15 +61,21 @@ def narrow(c: str) -> str:
 
 _DIGIT = "|".join(sorted(DIGITS, key=len, reverse=True))
 ODD = re.compile(f"[{''.join(LOOKALIKES)}{''.join(SIGNS)}{HIDDEN}！-～\U0001d400-\U0001d7ff]")
-SPELLED = re.compile(rf"(?<!\w)(?:plus[ ,.-]{{1,3}})?(?:(?:{_DIGIT}|[0-9])(?!\w)[ ,.()-]{{0,3}}){{8,}}(?<![ ,.()-])", re.I)
-SPELLED_DIGIT = re.compile(rf"(?<!\w)(?:{_DIGIT}|plus)(?!\w)", re.I)
+_UNIT = rf"(?:(?:{_DIGIT})(?!\w)|[0-9]++(?!\w))"
+_BETWEEN = r"(?:[ ]{1,2}(?:dot|punkt|point|punto)[ ]{1,2}|[ ,.()-]{1,3})"
+#: Spelled and written digits next to each other, in runs of any length; whether they are personal data is up to the detectors.
+SPELLED = re.compile(rf"(?<!\w)(?:plus[ ,.-]{{1,3}})?{_UNIT}(?:{_BETWEEN}{_UNIT})*+", re.I)
+SPELLED_DIGIT = re.compile(rf"(?<!\w)(?:{_DIGIT})(?!\w)", re.I)
+PART = re.compile(rf"(plus[ ,.-]{{1,3}})|({_DIGIT})(?!\w)|([0-9]++)|({_BETWEEN})", re.I)
 BRACKET_AT = re.compile(r"[ ]{0,2}[\[({<][ ]{0,2}(?:at|@)[ ]{0,2}[\])}>][ ]{0,2}", re.I)
 BRACKET_DOT = re.compile(r"[ ]{0,2}[\[({<][ ]{0,2}(?:dot|punkt|point|punto|\.)[ ]{0,2}[\])}>][ ]{0,2}", re.I)
 WORD_AT = re.compile(r"(?<=[A-Za-z0-9])[ ]{1,2}at[ ]{1,2}(?=[A-Za-z0-9-]{1,63}(?:[ ]{1,2}dot[ ]{1,2}|\.)[A-Za-z0-9])", re.I)
 WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])[ ]{1,2}dot[ ]{1,2}(?=[A-Za-z0-9])", re.I)
 
 #: Quick test for spelled digits.
-DIGIT_WORDS, SPACED = frozenset(DIGITS), str.maketrans(dict.fromkeys(",.()-+", " "))
+DIGIT_WORDS, SPACED = frozenset(DIGITS), str.maketrans(dict.fromkeys(",.()-+[]{}<>:;!?/\"'", " "))
+#: No detector matches fewer digits (an address has four).
+FEWEST = 4
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -127,12 +135,14 @@ class Mapped:
 
     def rewrite(self, pattern: re.Pattern, by) -> None:
         """Replaces each match m by the string by(m); the new characters all stand for the whole match."""
+        self.replace((*m.span(), by(m)) for m in pattern.finditer(self.text))
+
+    def replace(self, edits) -> None:
+        """Puts new for the text from a to b, for each (a, b, new) in order."""
         parts, starts, ends, last = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            a, b = m.span()
+        for a, b, new in edits:
             if a == b:
                 continue
-            new = by(m)
             parts += [self.text[last:a], new]
             starts += self.start[last:a] + [self.start[a]] * len(new)
             ends += self.end[last:a] + [self.end[b - 1]] * len(new)
@@ -142,15 +152,32 @@ class Mapped:
             self.start, self.end = starts + self.start[last:], ends + self.end[last:]
 
 
-def spelled(m: re.Match) -> str:
-    digits = SPELLED_DIGIT.sub(lambda w: {"plus": "+"}.get(w[0].lower()) or DIGITS[w[0].lower()], m[0])
-    return re.sub(r"[ ,()-]", "", digits)
+def spelled(t: str) -> Iterator[tuple[int, int, str]]:
+    """Edits that make digits of the spelled ones in t, and join them with digits next to them.
+
+    Written digits of more than one place keep what stands between them, as the detectors know it. A full stop or "dot"
+    stays one if no space follows the stop; else it ends a sentence.
+    """
+    for run in SPELLED.finditer(t):
+        parts = list(PART.finditer(t, *run.span()))
+        single = [bool(p[2]) or bool(p[3]) and len(p[3]) == 1 for p in parts]
+        if not any(p[2] for p in parts) and not (parts[0][1] and all(one for one, p in zip(single, parts, strict=True) if p[3])):
+            continue
+        for k, p in enumerate(parts):
+            if p[1]:
+                yield *p.span(), "+"
+            elif p[2]:
+                yield *p.span(), DIGITS[p[2].lower()]
+            elif p[4] and (p[4].strip().isalpha() or p[4] == "."):
+                yield *p.span(), "."
+            elif p[4] and (parts[k - 1][2] or parts[k + 1][2] or single[k - 1] and single[k + 1]):
+                yield *p.span(), ""
 
 
 def disguised(t: str, base: list[Span]) -> list[Span]:
     """Spans found only after rewriting, in source positions."""
     odd, low = not t.isascii() and ODD.search(t), t.lower()
-    named = not DIGIT_WORDS.isdisjoint(low.translate(SPACED).split()) and SPELLED.search(t)
+    named = not DIGIT_WORDS.isdisjoint(low.translate(SPACED).split()) and len(SPELLED_DIGIT.findall(t)) + len(re.findall("[0-9]", t)) >= FEWEST
     signs = any(c in t for c in "[({<") and (BRACKET_AT.search(t) or BRACKET_DOT.search(t))
     signs = signs or (" dot " in low and WORD_DOT.search(t)) or (" at " in low and WORD_AT.search(t))
     if not (odd or named or signs):
@@ -158,7 +185,7 @@ def disguised(t: str, base: list[Span]) -> list[Span]:
     m = Mapped(t)
     if odd:
         m.rewrite(ODD, lambda x: "" if x[0] in HIDDEN else narrow(x[0]))
-    m.rewrite(SPELLED, lambda x: spelled(x) if SPELLED_DIGIT.search(x[0]) else x[0])
+    m.replace(spelled(m.text))
     for pattern, sign in ((BRACKET_AT, "@"), (BRACKET_DOT, "."), (WORD_AT, "@")):
         m.rewrite(pattern, lambda _, s=sign: s)
     if "@" in m.text or re.search(r"[0-9][ ]{1,2}dot", m.text, re.I):

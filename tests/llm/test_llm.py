@@ -485,3 +485,26 @@ def test_pipeline(spark, docs, tmp_path):
             packed_from = {r.doc_id: (r.source, r.text) for r in stage.collect()}
     check_bins(stage.collect(), 2048, 2, packed_from)
     assert json.dumps(stage.columns) == '["doc_id", "piece", "length", "bin", "start"]'
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("host one nine two dot one six eight dot one dot one is up", "ip", "one nine two dot one six eight dot one dot one"),
+        ("host one nine two [dot] one six eight [dot] one [dot] one is up", "ip", "one nine two [dot] one six eight [dot] one [dot] one"),
+        ("host 192 dot one six eight dot 1 dot one is up", "ip", "192 dot one six eight dot 1 dot one"),
+        ("call +1 two three four 555 6789 now", "phone", "+1 two three four 555 6789"),
+        ("card 4929 three four eight three 8514 6306 it is", "card", "4929 three four eight three 8514 6306"),
+        ("carte quatre neuf deux neuf, 3483 8514 6306", "card", "quatre neuf deux neuf, 3483 8514 6306"),
+        ("plus 1 2 3 4 5 6 7 8 9 0 and one", "phone", "plus 1 2 3 4 5 6 7 8 9 0"),
+    ],
+)
+def test_partly_spelled_digits(text, kind, part):
+    base, more = pii.find(text)
+    assert (base, [(k, text[a:b]) for k, a, b in more]) == ([], [(kind, part)])
+    assert pii.masked(text) == text.replace(part, f"<{kind}>")
+
+
+@pytest.mark.parametrize("text", ["One. Two. Three. Four. Five.", "plus 100 200 300 of one kind", "card 4929 three four eight three 8514 6307", "il y a un chat, 1200, 45 et 3"])
+def test_numbers_that_are_no_personal_data(text):
+    assert pii.find(text) == ([], [])
