@@ -54,6 +54,9 @@ HINT = re.compile(
     r"newsletter|subscribe|signup|login|search|pagination|pager|toolbar|skip)(?=$|[\s_\d-])",
     re.I,
 )
+#: Names that tell of a page's state, or of an article's own head, and not what an element is.
+STATE = re.compile(r"(?<!\S)(?:(?:has|no|with|without|not)-\S*|\S*-(?:open|opened|closed|enabled|disabled|on|off)|(?:entry|post|article|story|content)-(?:head|header))(?!\S)", re.I)
+HEAD = re.compile(r"(?<![^\s_-])head(?:er)?(?![^\s_\d-])", re.I)
 #: Elements that may hold an article.
 HOLDERS = frozenset("#root html body main article section div td center details figure blockquote fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -69,6 +72,8 @@ class Element:
     dropped: bool
     at: int
     main: bool
+    hints: tuple[int, ...] = ()
+    article: int = 0
 
 
 @dataclass
@@ -78,12 +83,25 @@ class Block:
     dropped: bool
     holders: tuple[int, ...]
     main: bool
+    hints: tuple[int, ...]
+    article: int
+    around: tuple[int, ...]
 
 
-def hinted(attributes: str) -> bool:
+def hinted(attributes: str, main: bool) -> bool:
+    """Whether a class or id names a part that is no article; inside of one, a head is the article's own."""
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            value = STATE.sub("", "".join(values))
+            if HINT.search(HEAD.sub("", value) if main else value):
+                return True
+    return False
+
+
+def hidden(attributes: str) -> bool:
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name in ("class", "id") and HINT.search(value) or name == "role" and value.lower() in ROLES or name == "hidden":
+        if name == "role" and value.lower() in ROLES or name == "hidden":
             return True
         if name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
@@ -102,7 +120,11 @@ def holders(stack: list[Element]) -> tuple[int, ...]:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of text in page order; holders are the numbers of the elements around it that may hold an article."""
+    """The blocks of text in page order; holders are the numbers of the elements around it that may hold an article.
+
+    Names drop no element that holds the article: the one article or main element that stands in no named element or has
+    over half the text of all of them, else the longest; nor one that holds nearly all the text of a page without these.
+    """
     stack, out, parts = [Element("#root", "", False, 0, False)], [], []
     seen, at, low = 1, 0, None
 
@@ -112,7 +134,8 @@ def blocks_of(page: str) -> list[Block]:
             parts.clear()
             if t:
                 top = stack[-1]
-                out.append(Block(t, top.path, top.dropped, holders(stack), top.main))
+                around = tuple(e.at for e in stack if top.article and e.at <= top.article)
+                out.append(Block(t, top.path, top.dropped, holders(stack), top.main, top.hints, top.article, around))
 
     def close(names: tuple[str, ...], until: tuple[str, ...]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -168,17 +191,44 @@ def blocks_of(page: str) -> list[Block]:
         if attributes.rstrip().endswith("/") and tag not in BLOCK:
             continue
         top = stack[-1]
-        drop = top.dropped or tag in DROPPED and not (tag == "header" and top.main) or bool(attributes and tag not in ("html", "body") and hinted(attributes))
+        drop = top.dropped or tag in DROPPED and not (tag == "header" and top.main) or bool(attributes and tag not in ("html", "body") and hidden(attributes))
+        hints = top.hints + (seen,) if attributes and tag not in ("html", "body") and hinted(attributes, top.main) else top.hints
         if tag in BLOCK:
             name = tag + "".join("." + "-".join("".join(v).split()[:1]) for n, *v in ATTRIBUTE.findall(attributes) if n.lower() == "class")
-            stack.append(Element(tag, f"{top.path}/{name}", drop, seen, top.main or tag in ("article", "main")))
-            seen += 1
+            main = tag in ("article", "main")
+            stack.append(Element(tag, f"{top.path}/{name}", drop, seen, top.main or main, hints, top.article or (seen if main else 0)))
         else:
-            stack.append(Element(tag, top.path, drop, 0, top.main))
+            stack.append(Element(tag, top.path, drop, seen, top.main, hints, top.article))
+        seen += 1
     flush()
+    spared = article_holders(out)
+    for b in out:
+        b.dropped = b.dropped or any(h not in spared for h in b.hints)
     return out
 
 
+def article_holders(blocks: list[Block]) -> set[int]:
+    """The numbers of the elements that are kept whatever they are called."""
+    if not any(b.hints for b in blocks):
+        return set()
+    open_ = [b for b in blocks if not b.dropped]
+    articles: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    for b in open_:
+        if b.article:
+            articles[b.article][0] += len(b.text)
+            articles[b.article][1] += len(b.text) * (not b.hints)
+    if articles:
+        top = max(articles, key=lambda k: articles[k][0])
+        if any(free for _, free in articles.values()) and 2 * articles[top][0] <= sum(n for n, _ in articles.values()):
+            return set()
+        return set(next(b.around for b in open_ if b.article == top))
+    held: dict[int, int] = defaultdict(int)
+    for b in open_:
+        for h in b.hints:
+            held[h] += len(b.text)
+    return {h for h, n in held.items() if n >= 0.9 * sum(len(b.text) for b in open_)}
+
+
 def smoothed(v: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     reach = math.ceil(3 * sigma)
     kernel = np.exp(-np.square(np.arange(-reach, reach + 1)) / (2 * sigma * sigma))

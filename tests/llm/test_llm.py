@@ -508,3 +508,19 @@ def test_partly_spelled_digits(text, kind, part):
 @pytest.mark.parametrize("text", ["One. Two. Three. Four. Five.", "plus 100 200 300 of one kind", "card 4929 three four eight three 8514 6307", "il y a un chat, 1200, 45 et 3"])
 def test_numbers_that_are_no_personal_data(text):
     assert pii.find(text) == ([], [])
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<nav>Home</nav><article class='post comments-open'><h1>T</h1><p>A story, long enough.</p></article>", "T\nA story, long enough."),
+        ("<div class='site has-sidebar'><article><p>A story, long enough.</p></article><div class=sidebar>Links</div></div>", "A story, long enough."),
+        ("<div class='no-sidebar'><p>A story, long enough.</p></div>", "A story, long enough."),
+        ("<article><div class='entry-header'><h1>T</h1></div><p>A story, long enough.</p></article>", "T\nA story, long enough."),
+        ("<div class='widget-area'><article class='promo'><p>A story, long enough.</p><div class=share>Share</div></article></div>", "A story, long enough."),
+        ("<div id='search-page'><p>A story, long enough to be one, without its tag.</p></div><p>x</p>", "A story, long enough to be one, without its tag."),
+        ("<article><p>A story.</p></article><div class=comments><article>One.</article><article>Two.</article><article>Three.</article></div>", "A story."),
+    ],
+)
+def test_names_drop_no_article(page, text):
+    assert extract.main_text(page) == text
