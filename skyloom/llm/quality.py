@@ -1,6 +1,6 @@
 """Quality rules: base rules on words and repetition, then robust multivariate outliers.
 
-Each document that passes the base rules becomes a vector of four transformed statistics. For each language and source
+Each document that passes the base rules becomes a vector of six transformed statistics. For each language and source
 a minimum-covariance-determinant estimate of centre and scatter is made: from medians and median absolute deviations,
 concentration steps repeatedly take the three quarters of the rows nearest to the present estimate and estimate anew,
 which never raises the determinant; a last step reweights. A document is rejected where its squared Mahalanobis distance
@@ -17,6 +17,7 @@ has the scatter given by its floor; further columns are ignored by ``quality_ver
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 from . import text as T
 from .storage import saved
 
-STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_same_words long, n_distinct_words long"
 SYMBOLS = b"#*$%&|<>"
 #: Smallest standard deviation of each statistic: below it, a difference is not held against a document.
-FLOORS = (0.15, 0.25, 0.12, 0.08)
+FLOORS = (0.15, 0.25, 0.12, 0.08, 0.08, 0.07)
 DIMS = len(FLOORS)
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 
@@ -58,9 +59,9 @@ def base_stats(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         of = np.bincount(np.frombuffer(t, np.uint8), minlength=256)
         lines = [x for x in t.split(b"\n") if x and not x.isspace()]
         chars = len(t) - of[128:192].sum() - of[9:14].sum() - of[32]
-        rows.append((len(tokens), chars, sum(of[s] for s in SYMBOLS), len(lines) - len(set(lines)), repeated_words(tokens), len(lines)))
+        rows.append((len(tokens), chars, sum(of[s] for s in SYMBOLS), len(lines) - len(set(lines)), repeated_words(tokens), len(lines), sum(map(eq, tokens, tokens[1:])), len(set(tokens))))
     cols = zip(*rows, strict=True)
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_same_words", "n_distinct_words")
     return {c: batch.column(c) for c in ("doc_id", "lang", "source")} | {c: pa.array(map(int, v), pa.int64()) for c, v in zip(names, cols, strict=True)}
 
 
@@ -77,6 +78,9 @@ def vector() -> list[Column]:
         F.log1p(F.lit(10.0) * F.col("n_symbols") / n),
         F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
         F.col("n_repeat_words") / n,
+        F.col("n_same_words") / n,
+        # the share of distinct words falls with length, the ratio of the logarithms hardly does
+        F.log(F.greatest("n_distinct_words", F.lit(1))) / F.log(F.greatest(n, F.lit(2))),
     ]
 
 

@@ -524,3 +524,16 @@ def test_numbers_that_are_no_personal_data(text):
 )
 def test_names_drop_no_article(page, text):
     assert extract.main_text(page) == text
+
+
+def test_stuttering_documents_go(spark):
+    rng = np.random.RandomState(2)
+    word = lambda: "".join("abcdefgh"[k] for k in rng.randint(0, 8, rng.randint(2, 9)))
+    rows = []
+    for i in range(400):
+        w = [word() for _ in range(rng.randint(30, 2000))]
+        if i % 20 == 0:
+            w = [x for x in w[:8] for _ in range(7)]  # no run of 8 words occurs twice
+        rows.append((i, " ".join(w), "en", "s"))
+    v = quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r.base_failed for r in v) and all(r.kept == (r.doc_id % 20 != 0) for r in v)
