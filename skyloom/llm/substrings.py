@@ -1,7 +1,7 @@
-"""Removal of repeated passages by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Removal of repeated passages by lookups of windows, keyed by anchors, in place of a greedy relative Lempel-Ziv parse.
 
-Every document is parsed into factors: maximal runs of words that also stand in an earlier document (one with a smaller
-doc_id). Only factors of at least ``window`` words matter, so a factor is found through its windows of that many words.
+What is removed are unions of windows of ``window`` words that all stand in earlier documents (with a smaller doc_id),
+here called factors. No document is parsed against a reference block.
 
 * Anchors. In each window the smallest of its k-word hashes is its anchor. Equal windows have equal anchors, so all
   matches of a window are among the occurrences of its anchor: these are the reference block that the anchor indexes.
