@@ -1,18 +1,23 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into blocks of text, each with the path of block elements from the root to it. For each path the text
-length and the punctuation marks of its blocks are summed; with the number of blocks they give a text ratio and a
-punctuation ratio of the path. Both are laid out along the page, smoothed with a Gaussian, fused by multiplication and
-compared with a threshold from their spread. Blocks on paths above it are content nodes. The article is the smallest
-element that holds nearly all their text; the blocks in it are kept in page order, without those that sit in menus,
-headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts or styles.
-
-Pages without an article or main element are handled by the ratios alone. Where there is one, the content nodes outside
-of it do not count. White space inside a block, line breaks included, becomes one space.
-
-Defined cases: a null or empty page and one without text blocks give an empty text; broken and cut-off markup is read as
-far as it goes; repeated rows each have their own result; an empty table gives an empty result; further columns are
-ignored. A page is read in one pass; the work is linear in its length.
+A page is read into text nodes, each with the tag path from the root to it, inline elements included. For each path the
+text length and the punctuation marks of its nodes are summed; over the number of its nodes they are the text ratio and
+the punctuation ratio of the path. Both are laid out along the page, smoothed with a Gaussian, and fused by the product of
+their logarithms; the mean over a path's nodes, times the weight of its names, is the path's score. Paths with a score of at
+least the threshold, taken from the spread of the scores along the page, are strong, those of at least ``WEAK`` of it weak.
+
+Names only weigh: a path through a menu, header, footer, sidebar, form, or an element whose class or id says so counts
+little, one through an article or main element more; a name does not count on an element that holds the article.
+
+The article is the smallest element that holds nearly all text on strong paths, or the article element around it. Blocks
+in it whose nodes lie, by their mean score, on strong or weak paths are kept in page order; so an article keeps its short
+lines and lists, and loses what scores like a menu. If no top heading is among them, the last one before them is kept.
+
+White space inside a block, line breaks included, becomes one space.
+
+Defined cases: a null or empty page and one without text give an empty text; a page without a path that scores gives an
+empty text; broken and cut-off markup is read as far as it goes; repeated rows each have their own result; an empty table
+gives an empty result; further columns are ignored. A page is read in one pass; the work is linear in its length.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import html
 import math
 import re
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -46,20 +51,32 @@ ENDS = {
     "td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)), "tr": (("tr", "td", "th"), ("table",)),
     "option": (("option",), ("select",)), "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)),
 }
-#: Never part of an article.
-DROPPED = frozenset("head nav header footer aside form script style noscript template select button textarea svg canvas object iframe menu dialog title video audio".split())
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|"
-    r"sidebar|side|aside|rail|widget\w*|foot(?:er)?|head(?:er)?|masthead|copyright|comments?\w*|respond|disqus|replies|reply|share|sharing|social|related|recommend\w*|"
-    r"newsletter|subscribe|signup|login|search|pagination|pager|toolbar|skip)(?=$|[\s_\d-])",
+#: Not shown as text.
+UNSHOWN = frozenset("head script style noscript template select textarea svg canvas object iframe title video audio".split())
+#: Elements that weigh a path down, and those that weigh it up.
+LOW = frozenset("nav header footer aside form button menu dialog".split())
+HIGH = frozenset("article main".split())
+#: Names of elements that are no article, wherever they stand, and of such that may also be a paragraph's own style.
+NAME = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|"
+    r"sidebar|widget\w*|foot(?:er)?|masthead|comments?\w*|respond|disqus|replies|reply|share|sharing|social|related|recommend\w*|"
+    r"newsletter|subscribe|signup|login|pagination|pager|toolbar)(?=$|[\s_\d-])",
     re.I,
 )
+STYLE = re.compile(r"(?:^|[\s_-])(?:notices?|alert|side|aside|rail|head(?:er)?|copyright|search|skip)(?=$|[\s_\d-])", re.I)
 #: Names that tell of a page's state, or of an article's own head, and not what an element is.
 STATE = re.compile(r"(?<!\S)(?:(?:has|no|with|without|not)-\S*|\S*-(?:open|opened|closed|enabled|disabled|on|off)|(?:entry|post|article|story|content)-(?:head|header))(?!\S)", re.I)
 HEAD = re.compile(r"(?<![^\s_-])head(?:er)?(?![^\s_\d-])", re.I)
+#: Single blocks of text.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that may hold an article.
-HOLDERS = frozenset("#root html body main article section div td center details figure blockquote fieldset".split())
+HOLDERS = frozenset("#root html body main article section div td center details figure blockquote fieldset form".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: Weights of a path through such elements: low and high tags, names, links outside of headings, and text that stands in a division without an element of its own.
+W_LOW, W_HIGH, W_NAME, W_LINK, W_BARE = 0.001, 4.0, 0.001, 0.02, 0.25
+#: Share of the threshold that a path inside of the article needs, and share of the strong text that the article holds.
+WEAK, MOST = 0.05, 0.9
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：¿¡]")
@@ -69,73 +86,92 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：¿¡]")
 class Element:
     tag: str
     path: str
-    dropped: bool
     at: int
-    main: bool
+    shown: bool
+    weight: float
     hints: tuple[int, ...] = ()
     article: int = 0
+    block: str = "#root"
+    link: bool = False
+
+
+@dataclass
+class Node:
+    """A run of text: its number of characters and punctuation marks, and the number of its block."""
+
+    path: str
+    chars: int
+    marks: int
+    block: int
+    weight: float
+    hints: tuple[int, ...]
 
 
 @dataclass
 class Block:
+    """A block of text: its element's tag, the elements around it that may hold an article, and its outermost article or main element."""
+
     text: str
-    path: str
-    dropped: bool
+    tag: str
     holders: tuple[int, ...]
-    main: bool
     hints: tuple[int, ...]
+    low: bool
     article: int
     around: tuple[int, ...]
+    nodes: list[Node] = field(default_factory=list)
 
 
-def hinted(attributes: str, main: bool) -> bool:
+def hinted(attributes: str, inside: bool, line: bool) -> bool:
     """Whether a class or id names a part that is no article; inside of one, a head is the article's own."""
     for name, *values in ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id"):
             value = STATE.sub("", "".join(values))
-            if HINT.search(HEAD.sub("", value) if main else value):
+            if NAME.search(value) or not line and STYLE.search(HEAD.sub("", value) if inside else value):
                 return True
     return False
 
 
-def hidden(attributes: str) -> bool:
+def stated(attributes: str) -> tuple[bool, bool]:
+    """Whether an element is hidden, and whether its role is that of a low tag."""
+    low = False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name == "role" and value.lower() in ROLES or name == "hidden":
-            return True
-        if name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return True, False
+        low = low or name == "role" and value.lower() in ROLES
+    return False, low
 
 
-def holders(stack: list[Element]) -> tuple[int, ...]:
-    """The elements that may hold an article, outermost first; inside of an article or main element, only up to that."""
-    out = []
-    for e in stack:
-        if e.tag in HOLDERS:
-            out.append(e.at)
-        if e.tag in ("article", "main"):
-            break
-    return tuple(out)
+def named(tag: str, attributes: str) -> str:
+    return tag + "".join("." + "-".join("".join(v).split()[:1]) for n, *v in ATTRIBUTE.findall(attributes) if n.lower() == "class") if attributes else tag
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of text in page order; holders are the numbers of the elements around it that may hold an article.
-
-    Names drop no element that holds the article: the one article or main element that stands in no named element or has
-    over half the text of all of them, else the longest; nor one that holds nearly all the text of a page without these.
-    """
-    stack, out, parts = [Element("#root", "", False, 0, False)], [], []
+    """The blocks of text in page order, each with its text nodes."""
+    stack: list[Element] = [Element("#root", "", 0, True, 1.0)]
+    out: list[Block] = []
+    parts: list[str] = []
+    nodes: list[Node] = []
     seen, at, low = 1, 0, None
 
+    def text(run: str) -> None:
+        run = html.unescape(run) if "&" in run else run
+        parts.append(run)
+        slim = " ".join(run.split())
+        top = stack[-1]
+        if slim and top.shown:
+            nodes.append(Node(top.path, len(slim), len(PUNCTUATION.findall(slim)), len(out), top.weight * (W_LINK if top.link and top.block not in HEADINGS else 1) * (1 if top.block in LINES else W_BARE), top.hints))
+
     def flush() -> None:
         if parts:
-            t = " ".join(html.unescape("".join(parts)).split())
+            t = " ".join("".join(parts).split())
             parts.clear()
-            if t:
-                top = stack[-1]
+            top = stack[-1]
+            if t and top.shown:
                 around = tuple(e.at for e in stack if top.article and e.at <= top.article)
-                out.append(Block(t, top.path, top.dropped, holders(stack), top.main, top.hints, top.article, around))
+                of = tuple(e.at for e in stack if e.tag in HOLDERS)
+                out.append(Block(t, top.block, of, top.hints, top.weight < 1, top.article, around, list(nodes)))
+            nodes.clear()
 
     def close(names: tuple[str, ...], until: tuple[str, ...]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -150,10 +186,10 @@ def blocks_of(page: str) -> list[Block]:
     while at < len(page):
         m = TOKEN.search(page, at)
         if m is None:
-            parts.append(page[at:])
+            text(page[at:])
             break
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            text(page[at : m.start()])
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
@@ -188,30 +224,33 @@ def blocks_of(page: str) -> list[Block]:
                 close_at = page.find(">", at)
                 at = len(page) if close_at < 0 else close_at + 1
             continue
-        if attributes.rstrip().endswith("/") and tag not in BLOCK:
+        if attributes.rstrip().endswith("/") and attributes.rstrip()[-2:-1] in ("", " ", '"', "'") and tag not in BLOCK:
             continue
-        top = stack[-1]
-        drop = top.dropped or tag in DROPPED and not (tag == "header" and top.main) or bool(attributes and tag not in ("html", "body") and hidden(attributes))
-        hints = top.hints + (seen,) if attributes and tag not in ("html", "body") and hinted(attributes, top.main) else top.hints
-        if tag in BLOCK:
-            name = tag + "".join("." + "-".join("".join(v).split()[:1]) for n, *v in ATTRIBUTE.findall(attributes) if n.lower() == "class")
-            main = tag in ("article", "main")
-            stack.append(Element(tag, f"{top.path}/{name}", drop, seen, top.main or main, hints, top.article or (seen if main else 0)))
-        else:
-            stack.append(Element(tag, top.path, drop, seen, top.main, hints, top.article))
+        top, outer = stack[-1], tag in ("html", "body")
+        hide, role = stated(attributes) if attributes and not outer else (False, False)
+        shown = top.shown and tag not in UNSHOWN and not hide
+        # the header of an article is its own, and forms may wrap a page: they count as a name
+        down = role or tag in LOW and tag != "form" and not (tag == "header" and top.article)
+        weight = top.weight * (W_LOW if down else 1) * (W_HIGH if tag in HIGH and not top.article else 1)
+        hint = tag == "form" or bool(attributes and not outer and hinted(attributes, bool(top.article), tag in LINES))
+        hints = top.hints + (seen,) if hint else top.hints
+        article = top.article or (seen if tag in HIGH else 0)
+        block = tag if tag in BLOCK else top.block
+        stack.append(Element(tag, f"{top.path}/{named(tag, attributes)}", seen, shown, weight, hints, article, block, top.link or tag == "a"))
         seen += 1
     flush()
-    spared = article_holders(out)
-    for b in out:
-        b.dropped = b.dropped or any(h not in spared for h in b.hints)
     return out
 
 
-def article_holders(blocks: list[Block]) -> set[int]:
-    """The numbers of the elements that are kept whatever they are called."""
+def spared(blocks: list[Block]) -> set[int]:
+    """The numbers of the elements whose names do not count, for they hold the article.
+
+    They are those around the one article or main element that stands in no named element or has over half the text of
+    all of them, else around the longest; on a page without these, the ones that hold nearly all the text.
+    """
     if not any(b.hints for b in blocks):
         return set()
-    open_ = [b for b in blocks if not b.dropped]
+    open_ = [b for b in blocks if not b.low]
     articles: dict[int, list[int]] = defaultdict(lambda: [0, 0])
     for b in open_:
         if b.article:
@@ -226,49 +265,60 @@ def article_holders(blocks: list[Block]) -> set[int]:
     for b in open_:
         for h in b.hints:
             held[h] += len(b.text)
-    return {h for h, n in held.items() if n >= 0.9 * sum(len(b.text) for b in open_)}
+    return {h for h, n in held.items() if n >= MOST * sum(len(b.text) for b in open_)}
 
 
-def smoothed(v: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+def smoothed(v: np.ndarray, sigma: float) -> np.ndarray:
     reach = math.ceil(3 * sigma)
     kernel = np.exp(-np.square(np.arange(-reach, reach + 1)) / (2 * sigma * sigma))
     weight = np.convolve(np.ones(len(v)), kernel, "full")[reach : reach + len(v)]
     return np.convolve(v, kernel, "full")[reach : reach + len(v)] / weight
 
 
-def main_text(page: str) -> str:
-    every = blocks_of(page)
-    if any(b.main and not b.dropped for b in every):
-        inside = [b for b in every if b.main]
-    else:
-        inside = every
-    open_ = [b for b in inside if not b.dropped]
-    if not open_:
-        return ""
-    by_path: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0])
-    for b in inside:
-        s = by_path[b.path]
-        s[0] += len(b.text)
-        s[1] += len(PUNCTUATION.findall(b.text))
+def path_scores(nodes: list[Node], free: set[int], sigma: float) -> tuple[list[float], float]:
+    """The score of each node's path, and the threshold."""
+    sums: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0])
+    for n in nodes:
+        s = sums[n.path]
+        s[0] += n.chars
+        s[1] += n.marks
         s[2] += 1
-    length = np.array([by_path[b.path][0] / by_path[b.path][2] for b in inside])
-    marks = np.array([by_path[b.path][1] / by_path[b.path][2] for b in inside])
-    fused = smoothed(length) * (1 + smoothed(marks))
-    fused[[b.dropped for b in inside]] = 0
-    edge = min(float(fused.std()), float(fused.max()) / 2)
-    paths: dict[str, list[float]] = defaultdict(list)
-    for b, v in zip(inside, fused, strict=True):
-        if not b.dropped:
-            paths[b.path].append(float(v))
-    chosen = {p for p, v in paths.items() if max(v) >= edge}
-    nodes = [b for b in open_ if b.path in chosen]
+    length = smoothed(np.array([sums[n.path][0] / sums[n.path][2] for n in nodes]), sigma)
+    marks = smoothed(np.array([sums[n.path][1] / sums[n.path][2] for n in nodes]), sigma)
+    fused = np.log1p(length) * (1 + np.log1p(marks))
+    weight = np.array([n.weight * (1 if all(h in free for h in n.hints) else W_NAME) for n in nodes])
+    total: dict[str, float] = defaultdict(float)
+    for n, v in zip(nodes, fused * weight, strict=True):
+        total[n.path] += float(v)
+    scores = [total[n.path] / sums[n.path][2] for n in nodes]
+    return scores, min(float(np.std(scores)), max(scores) / 2)
+
+
+def main_text(page: str, sigma: float = 0.7) -> str:
+    blocks = blocks_of(page)
+    nodes = [n for b in blocks for n in b.nodes]
+    if not nodes:
+        return ""
+    scores, edge = path_scores(nodes, spared(blocks), sigma)
+    worth, at = [], 0
+    for b in blocks:
+        part = scores[at : at + len(b.nodes)]
+        at += len(b.nodes)
+        worth.append(sum(s * n.chars for s, n in zip(part, b.nodes, strict=True)) / max(1, sum(n.chars for n in b.nodes)))
+    strong = [b for b, w in zip(blocks, worth, strict=True) if w >= edge]
     held: dict[int, int] = defaultdict(int)
-    for b in nodes:
+    for b in strong:
         for h in b.holders:
             held[h] += len(b.text)
-    most = 0.9 * sum(len(b.text) for b in nodes)
+    most = MOST * sum(len(b.text) for b in strong)
     holder = max(h for h, n in held.items() if n >= most)
-    return "\n".join(b.text for b in open_ if holder in b.holders)
+    articles = [b.article for b in strong if holder in b.holders]
+    if articles and articles[0] and all(a == articles[0] for a in articles):
+        holder = min(holder, articles[0])
+    kept = [k for k, (b, w) in enumerate(zip(blocks, worth, strict=True)) if holder in b.holders and w >= WEAK * edge]
+    if not any(blocks[k].tag == "h1" for k in kept):
+        kept = [k for k in range(kept[0]) if blocks[k].tag == "h1"][-1:] + kept
+    return "\n".join(blocks[k].text for k in kept)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
