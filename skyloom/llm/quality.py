@@ -1,17 +1,26 @@
 """Quality rules: base rules on words and repetition, then robust multivariate outliers.
 
-Each document that passes the base rules becomes a vector of six transformed statistics. For each language and source
-a minimum-covariance-determinant estimate of centre and scatter is made: from medians and median absolute deviations,
-concentration steps repeatedly take the three quarters of the rows nearest to the present estimate and estimate anew,
-which never raises the determinant; a last step reweights. A document is rejected where its squared Mahalanobis distance
-is above the cutoff. Groups of fewer than ``min_group`` documents use their language's estimate, and languages of fewer
-use that of all documents.
-
-Estimates use every document. Only one row for each group reaches Python; distances and moments are Spark expressions.
+Each document that passes the base rules becomes a vector of six transformed statistics. For each language and source,
+for each language and for all documents a minimum-covariance-determinant estimate of centre and scatter is made. It has
+three starts, all with the median as centre and median absolute deviations as scales: uncorrelated, with the correlation
+of the hyperbolic tangents of the standardised statistics, and with that of their spatial signs. From each, concentration
+steps take the three quarters of the rows nearest to the present estimate and estimate anew, which never raises the
+determinant of the scatter with its floor; steps go on until no start gains by them. The start with the lowest determinant
+is kept and reweighted once.
+
+The estimate of a language is then drawn to that of all documents, and that of a language and source to its language's,
+with the weight of ``prior`` rows against its own: smoothly, and alike at every size. A document is rejected where its
+squared Mahalanobis distance to the estimate of its language and source is above the cutoff.
+
+Estimates use every document. Only one row for each group and start reaches Python; distances and moments are Spark
+expressions. Tables of one row a group are written before they are joined, so that Spark broadcasts them where they are
+known to be small, and can split a hot group among tasks where they are not.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null language or source is a value of its
-own; repeated rows count as often as they occur; an empty table gives an empty result; a statistic that does not vary
-has the scatter given by its floor; further columns are ignored by ``quality_verdicts`` and kept by ``good_documents``.
+own; repeated rows count as often as they occur, and rows of one doc_id are told apart by text, language and source; an
+empty table gives an empty result; a statistic that does not vary has the scatter given by its floor, and a group of one
+row has that row as its centre before it is drawn to its language; further columns are ignored by ``quality_verdicts`` and
+kept, whatever they are called, by ``good_documents``.
 """
 
 from __future__ import annotations
@@ -26,9 +35,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .storage import saved
+from .storage import saved, unused
 
-STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_same_words long, n_distinct_words long"
+STATS = "doc_id long, h long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_same_words long, n_distinct_words long"
 SYMBOLS = b"#*$%&|<>"
 #: Smallest standard deviation of each statistic: below it, a difference is not held against a document.
 FLOORS = (0.15, 0.25, 0.12, 0.08, 0.08, 0.07)
@@ -62,11 +71,16 @@ def base_stats(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         rows.append((len(tokens), chars, sum(of[s] for s in SYMBOLS), len(lines) - len(set(lines)), repeated_words(tokens), len(lines), sum(map(eq, tokens, tokens[1:])), len(set(tokens))))
     cols = zip(*rows, strict=True)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_same_words", "n_distinct_words")
-    return {c: batch.column(c) for c in ("doc_id", "lang", "source")} | {c: pa.array(map(int, v), pa.int64()) for c, v in zip(names, cols, strict=True)}
+    return {c: batch.column(c) for c in ("doc_id", "h", "lang", "source")} | {c: pa.array(map(int, v), pa.int64()) for c, v in zip(names, cols, strict=True)}
+
+
+def row_hash() -> Column:
+    """Tells rows of one doc_id apart by all that their verdict depends on."""
+    return F.xxhash64(*[F.col(c).cast("string") for c in ("text", "lang", "source")], *[F.col(c).isNull() for c in ("lang", "source")])
 
 
 def stats(docs: DataFrame) -> DataFrame:
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
+    slim = docs.select(F.col("doc_id").cast("long"), row_hash().alias("h"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return T.per_batch(slim, base_stats, STATS).withColumn("base_failed", failed)
 
@@ -101,96 +115,162 @@ def chi2_quantile(p: float, half: int) -> float:
     return (lo + hi) / 2
 
 
-def grouped(rows: DataFrame, min_group: int) -> DataFrame:
-    """Adds `g`: the language and source, the language, or all, whichever is the first to have min_group rows."""
+def with_groups(rows: DataFrame) -> DataFrame:
+    """Adds g0, g1 and g2, the numbers of the groups of all rows, of a language, and of a language and source."""
     named = lambda level, *c: F.xxhash64(F.lit(level), *[F.coalesce(x, F.lit("")) for x in c], *[F.col(x).isNull() for x in c])
-    cells = rows.groupBy(F.col("lang").alias("k_lang"), F.col("source").alias("k_source")).agg(F.count("*").alias("n"))
-    langs = cells.groupBy(F.col("k_lang").alias("l_lang")).agg(F.sum("n").alias("n_lang"))
-    cells = cells.join(langs, F.col("k_lang").eqNullSafe(F.col("l_lang"))).select(
-        "k_lang",
-        "k_source",
-        F.when(F.col("n") >= min_group, named(2, "k_lang", "k_source"))
-        .when(F.col("n_lang") >= min_group, named(1, "k_lang"))
-        .otherwise(F.lit(0).cast("long"))
-        .alias("g"),
-    )
-    return rows.join(cells, rows["lang"].eqNullSafe(F.col("k_lang")) & rows["source"].eqNullSafe(F.col("k_source"))).drop("k_lang", "k_source")
+    return rows.withColumns({"g0": named(0), "g1": named(1, "lang"), "g2": named(2, "lang", "source")})
 
 
 XS = [f"x{i}" for i in range(DIMS)]
-PARAMS = "g long, " + ", ".join(f"m{i} double" for i in range(DIMS)) + ", " + ", ".join(f"p{i}{j} double" for i, j in PAIRS) + ", logdet double"
+MS = [f"m{i}" for i in range(DIMS)]
+LEVELS, STARTS = ("g0", "g1", "g2"), (0, 1, 2)
+#: Centre, scatter, inverse scatter and the logarithm of its determinant.
+PARAMS = ", ".join(f"{c} double" for c in [*MS, *[f"c{i}{j}" for i, j in PAIRS], *[f"p{i}{j}" for i, j in PAIRS], "logdet"])
+
+
+def square(f: pd.DataFrame, name: str) -> np.ndarray:
+    """A symmetric matrix for each row from the columns name + ij."""
+    out = np.empty((len(f), DIMS, DIMS))
+    for i, j in PAIRS:
+        out[:, i, j] = out[:, j, i] = f[f"{name}{i}{j}"].to_numpy(float)
+    return out
+
+
+def params_of(keys: dict, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
+    inv = np.linalg.inv(cov)
+    out = keys | {m: mean[:, i] for i, m in enumerate(MS)}
+    for name, v in (("c", cov), ("p", inv)):
+        out |= {f"{name}{i}{j}": v[:, i, j] for i, j in PAIRS}
+    return pd.DataFrame(out | {"logdet": np.linalg.slogdet(cov)[1]})
 
 
 def estimates(moments: DataFrame, scale: float) -> DataFrame:
-    """PARAMS (centre, inverse scatter) for each group from its count, sums and sums of products; a Pandas step on one row a group."""
+    """PARAMS for each group and start from its count, sums and sums of products; a Pandas step on one row each."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            n = f["n"].to_numpy(float)
-            mean = f[XS].to_numpy() / n[:, None]
-            cov = np.zeros((len(f), DIMS, DIMS))
-            for i, j in PAIRS:
-                cov[:, i, j] = cov[:, j, i] = scale * (f[f"s{i}{j}"].to_numpy() / n - mean[:, i] * mean[:, j])
-            cov += np.diag(np.square(FLOORS))
-            inv = np.linalg.inv(cov)
-            out = {"g": f["g"]} | {f"m{i}": mean[:, i] for i in range(DIMS)} | {f"p{i}{j}": inv[:, i, j] for i, j in PAIRS}
-            yield pd.DataFrame(out | {"logdet": np.linalg.slogdet(cov)[1]})
+            n = f["n"].to_numpy(float)[:, None]
+            mean = f[XS].to_numpy(float) / n
+            cov = scale * (square(f, "s") / n[:, :, None] - mean[:, :, None] * mean[:, None, :]) + np.diag(np.square(FLOORS))
+            yield params_of({"g": f["g"], "s": f["s"]}, mean, cov)
 
-    return moments.mapInPandas(run, PARAMS)
+    return moments.mapInPandas(run, f"g long, s int, {PARAMS}")
 
 
 def moments(rows: DataFrame) -> DataFrame:
     products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS]
-    return rows.groupBy("g").agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in XS], *products)
+    return rows.groupBy("g", "s").agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in XS], *products)
 
 
-def with_distance(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance; there is one row of params for each group, so Catalyst may broadcast it."""
-    diff = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(DIMS)]
-    d2 = sum((1 if i == j else 2) * F.col(f"p{i}{j}") * diff[i] * diff[j] for i, j in PAIRS)
-    return rows.join(params, "g").select(*rows.columns, d2.alias("d2"))
+def in_groups(rows: DataFrame, starts: tuple[int, ...] = (0,)) -> DataFrame:
+    """(g, s, x0...): each row once for each of its groups and each start."""
+    return rows.select(F.explode(F.array(*[F.struct(F.col(g).alias("g"), F.lit(s).alias("s")) for g in LEVELS for s in starts])).alias("of"), *XS).select("of.g", "of.s", *XS)
 
 
-def mcd(rows: DataFrame, share: float, steps: int) -> DataFrame:
-    """PARAMS for each group g of rows (g, x0...)."""
-    centre = rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(XS)])
-    spread = rows.join(centre, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10_000).alias(f"d{i}") for i, x in enumerate(XS)])
-    first = centre.join(spread, "g")
-    precision = [
-        (1 / (F.pow(F.lit(1.4826) * F.col(f"d{i}"), 2) + F.lit(FLOORS[i] ** 2)) if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i, j in PAIRS
-    ]
-    params = saved(first.select("g", *[f"m{i}" for i in range(DIMS)], *precision, F.lit(0.0).alias("logdet")), "start")
-    scale = share / chi2_cdf(chi2_quantile(share, DIMS // 2), DIMS // 2 + 1)
-    for k in range(steps):
-        at = saved(with_distance(rows, params), f"distances{k}")
-        nearest = at.groupBy("g").agg(F.percentile_approx("d2", share, 10_000).alias("most"))
-        inside = at.join(nearest, "g").where("d2 <= most")
-        params = saved(estimates(moments(inside), scale), f"step{k}")
+def distance() -> Column:
+    diff = [F.col(x) - F.col(m) for x, m in zip(XS, MS, strict=True)]
+    return sum((1 if i == j else 2) * F.col(f"p{i}{j}") * diff[i] * diff[j] for i, j in PAIRS)
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """PARAMS for each group and start."""
+    rows = in_groups(rows)
+    centre = saved(rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(m) for x, m in zip(XS, MS, strict=True)]), "centre")
+    spread = [F.percentile_approx(F.abs(F.col(x) - F.col(m)), 0.5, 10_000).alias(f"d{i}") for i, (x, m) in enumerate(zip(XS, MS, strict=True))]
+    spread = saved(rows.join(centre, "g").groupBy("g", *MS).agg(*spread), "spread")
+    scale = [F.sqrt(F.pow(F.lit(1.4826) * F.col(f"d{i}"), 2) + F.lit(FLOORS[i] ** 2)) for i in range(DIMS)]
+    z = rows.join(spread, "g").select("g", *[((F.col(x) - F.col(m)) / d).alias(f"z{i}") for i, (x, m, d) in enumerate(zip(XS, MS, scale, strict=True))])
+    z = z.withColumns({f"t{i}": F.tanh(f"z{i}") for i in range(DIMS)}).withColumn("norm", sum(F.col(f"z{i}") * F.col(f"z{i}") for i in range(DIMS)))
+    tanh = [F.sum(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"t{i}{j}") for i, j in PAIRS] + [F.sum(f"t{i}").alias(f"t{i}") for i in range(DIMS)]
+    sign = [F.sum(F.when(F.col("norm") > 0, F.col(f"z{i}") * F.col(f"z{j}") / F.col("norm")).otherwise(0.0)).alias(f"u{i}{j}") for i, j in PAIRS]
+    sums = z.groupBy("g").agg(F.count("*").alias("n"), *tanh, *sign)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            n, eye = f["n"].to_numpy(float)[:, None], np.eye(DIMS)
+            mean = f[[f"t{i}" for i in range(DIMS)]].to_numpy(float) / n
+            like = [np.broadcast_to(eye, (len(f), DIMS, DIMS)), square(f, "t") / n[:, :, None] - mean[:, :, None] * mean[:, None, :], square(f, "u") / n[:, :, None]]
+            wide = np.sqrt(np.square(1.4826 * f[[f"d{i}" for i in range(DIMS)]].to_numpy(float)) + np.square(FLOORS))
+            for s in STARTS:
+                # a little of the unit matrix keeps what does not vary from being singular
+                r = like[s] + 1e-6 * eye
+                d = np.sqrt(np.einsum("kii->ki", r))
+                r = r / d[:, :, None] / d[:, None, :]
+                cov = r * wide[:, :, None] * wide[:, None, :]
+                yield params_of({"g": f["g"], "s": np.full(len(f), s, np.int32)}, f[MS].to_numpy(float), cov).assign(logdet=np.inf)
+
+    return saved(sums.join(spread, "g").mapInPandas(run, f"g long, s int, {PARAMS}"), "starts")
+
+
+def mcd(rows: DataFrame, share: float) -> DataFrame:
+    """PARAMS for each group of rows (g0, g1, g2, x0...), before reweighting."""
+    every, scale = in_groups(rows, STARTS), share / chi2_cdf(chi2_quantile(share, DIMS // 2), DIMS // 2 + 1)
+    names = [f.split()[0] for f in PARAMS.split(", ")]
+    now = starts(rows).withColumn("moves", F.lit(True))
+    k, moving = 0, True
+    while moving:
+        at = every.join(now.where("moves"), ["g", "s"]).select("g", "s", *XS, distance().alias("d2"))
+        nearest = saved(at.groupBy("g", "s").agg(F.percentile_approx("d2", share, 10_000).alias("most")), f"nearest{k}")
+        new = saved(estimates(moments(at.join(nearest, ["g", "s"]).where("d2 <= most")), scale), f"step{k}")
+        new = new.select(F.col("g").alias("n_g"), F.col("s").alias("n_s"), *[F.col(c).alias(f"n_{c}") for c in names])
+        both = now.join(new, (F.col("g") == F.col("n_g")) & (F.col("s") == F.col("n_s")), "left")
+        better = F.coalesce(F.col("n_logdet") < F.col("logdet") - 1e-6, F.lit(False))
+        now = saved(both.select("g", "s", *[F.when(better, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in names], better.alias("moves")), f"best{k}")
+        moving, k = bool(now.where("moves").limit(1).count()), k + 1
+    best = now.groupBy("g").agg(F.min(F.struct("logdet", "s", *names[:-1])).alias("b"))
+    return saved(best.select("g", F.lit(0).alias("s"), *[F.col(f"b.{c}").alias(c) for c in names]), "mcd")
+
+
+def drawn(rows: DataFrame, raw: DataFrame, prior: float) -> DataFrame:
+    """PARAMS and g for each group g2, reweighted, and drawn to those of its language and of all rows."""
     edge = 0.975
-    inside = with_distance(rows, params).where(F.col("d2") <= chi2_quantile(edge, DIMS // 2))
-    better = saved(estimates(moments(inside), edge / chi2_cdf(chi2_quantile(edge, DIMS // 2), DIMS // 2 + 1)), "reweighted")
-    left = params.join(better.select("g"), "g", "left_anti")
-    return better.unionByName(left)
+    inside = in_groups(rows).join(raw, ["g", "s"]).where(distance() <= chi2_quantile(edge, DIMS // 2)).select("g", "s", *XS)
+    better = estimates(moments(inside), edge / chi2_cdf(chi2_quantile(edge, DIMS // 2), DIMS // 2 + 1))
+    better = saved(better, "reweighted")
+    every = better.unionByName(raw.join(better.select("g"), "g", "left_anti"))
+    columns = [*MS, *[f"c{i}{j}" for i, j in PAIRS]]
+    cells = rows.groupBy(*LEVELS).agg(F.count("*").alias("n2"))
+    langs = cells.groupBy(F.col("g1").alias("l_g1")).agg(F.sum("n2").alias("n1"))
+    cells = cells.join(langs, F.col("g1") == F.col("l_g1")).drop("l_g1")
+    for k, g in enumerate(LEVELS):
+        of = every.select(F.col("g").alias(f"of{k}"), *[F.col(c).alias(f"{c}_{k}") for c in columns])
+        cells = cells.join(of, F.col(g) == F.col(f"of{k}")).drop(f"of{k}")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            of = [f[[f"{c}_{k}" for c in columns]].set_axis(columns, axis=1) for k in range(3)]
+            mean, cov = of[0][MS].to_numpy(float), square(of[0], "c")
+            for k in (1, 2):
+                n = f[f"n{k}"].to_numpy(float)
+                w = (n / (n + prior))[:, None]
+                mean = w * of[k][MS].to_numpy(float) + (1 - w) * mean
+                cov = w[:, :, None] * square(of[k], "c") + (1 - w)[:, :, None] * cov
+            yield params_of({"g": f["g2"]}, mean, cov)
+
+    return saved(cells.mapInPandas(run, f"g long, {PARAMS}"), "drawn")
 
 
-def quality_verdicts(docs: DataFrame, min_group: int = 200, share: float = 0.75, steps: int = 3, level: float = 0.9999) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, d2, kept) for every document."""
+def quality_verdicts(docs: DataFrame, share: float = 0.75, prior: float = 200.0, level: float = 0.9999) -> DataFrame:
+    """(doc_id, h, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, d2, kept) for every document."""
     found = saved(stats(docs), "stats")
-    passed = found.where(~F.col("base_failed")).select("*", *[x.alias(n) for n, x in zip(XS, vector(), strict=True)])
-    passed = saved(grouped(passed, min_group), "vectors")
-    judged = with_distance(passed, mcd(passed.select("g", *XS), share, steps))
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    judged = judged.select(*columns, "d2", (F.col("d2") <= chi2_quantile(level, DIMS // 2)).alias("kept"))
+    columns = ["doc_id", "h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    passed = with_groups(found.where(~F.col("base_failed"))).select(*columns, *LEVELS, *[x.alias(n) for n, x in zip(XS, vector(), strict=True)])
+    passed = saved(passed, "vectors")
+    judged = passed.join(drawn(passed, mcd(passed, share), prior), F.col("g2") == F.col("g")).select(*columns, distance().alias("d2"))
+    judged = judged.withColumn("kept", F.col("d2") <= chi2_quantile(level, DIMS // 2))
     failed = found.where("base_failed").select(*columns, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))
     return judged.unionByName(failed)
 
 
 def good_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, with the same columns; rows are told apart by doc_id."""
-    kept = saved(quality_verdicts(docs, **options).where("kept").select(F.col("doc_id").alias("_kept_id")), "kept")
+    """The rows of docs that are kept, with the same columns."""
+    kept_id, kept_h, row = unused(docs, "kept_id", "kept_h", "row_h")
+    kept = quality_verdicts(docs, **options).where("kept").select(F.col("doc_id").alias(kept_id), F.col("h").alias(kept_h))
     # The list grows with the corpus: a plan that broadcasts it while it is short would not last.
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = saved(kept, "kept").hint("shuffle_hash")
+    docs = docs.withColumn(row, row_hash())
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(row) == F.col(kept_h)), "left_semi").drop(row)
 
 
 def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("d2")
+    return quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("h", "d2")
