@@ -23,6 +23,10 @@ from pyspark.sql.window import Window as W
 from .storage import saved
 
 
+#: Names of inner columns.
+INNER = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_salt", "mix_source", "mix_nth")
+
+
 def salt(doc_id: Column, seed: int) -> Column:
     """One of 256 groups over which rows with equal source and size are spread: two hexadecimal digits."""
     return F.coalesce(F.substring(F.md5(F.concat(doc_id.cast("string"), F.lit(f"/{seed}"))), 1, 2), F.lit("00"))
@@ -57,50 +61,57 @@ def targets(sizes: DataFrame, share: float, most: float, weights: tuple[float, .
     return t.select("source", "source_size", target.alias("target"))
 
 
-def mix_plan(
-    docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = (3.0, 1.0, 2.0), seed: int = 17
-) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies): how often each row of (doc_id, source, text) is emitted."""
-    slim = saved(
-        docs.select(
-            F.col("doc_id"),
-            F.col("source"),
-            word_count(F.col("text")).alias("size"),
-            salt(F.col("doc_id"), seed).alias("salt"),
-        ),
-        "sizes",
-    )
-    cells = slim.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
+def with_copies(docs: DataFrame, columns: list[str], share: float, most: float, weights: tuple[float, ...], seed: int) -> DataFrame:
+    """columns of docs, and size, source_size, target and copies under the names in ``INNER``, which docs must not have."""
+    size, source_size, target, copies, key, n, nth = INNER
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    sized = docs.select(*[F.col(f"`{c}`") for c in columns], word_count(text).alias(size), salt(F.col("doc_id"), seed).alias(key), source.alias(n), F.xxhash64(text).alias(nth))
+    slim = docs.select(source.alias("source"), word_count(text).alias("size"), salt(F.col("doc_id"), seed).alias("salt"))
+    if "text" not in columns:  # the rows are slim themselves
+        sized = saved(sized, "sizes")
+        slim = sized.select(F.col(n).alias("source"), F.col(size).alias("size"), F.col(key).alias("salt"))
+    cells = saved(slim.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "cells")
     steps = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    sources = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
+    sources = targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share, most, weights)
     ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     steps = steps.select("source", "size", ahead(W.partitionBy("source").orderBy("size")).alias("of_smaller"))
     cells = cells.select("source", "size", "salt", ahead(W.partitionBy("source", "size").orderBy("salt")).alias("of_salts"))
     sources = sources.withColumnRenamed("source", "t_source")
     steps = steps.join(sources, F.col("source").eqNullSafe(F.col("t_source"))).select(
-        F.col("source").alias("k_source"), F.col("size").alias("k_size"), "of_smaller", "source_size", "target"
-    )
-    cells = cells.join(steps, cells["source"].eqNullSafe(F.col("k_source")) & (cells["size"] == F.col("k_size"))).select(
-        "k_source", "k_size", F.col("salt").alias("k_salt"), (F.col("of_smaller") + F.col("of_salts")).alias("before"), "source_size", "target"
-    )
-    rows = slim.withColumn("nth", F.row_number().over(W.partitionBy("source", "size", "salt").orderBy("doc_id")))
-    rows = rows.join(
-        cells, rows["source"].eqNullSafe(F.col("k_source")) & (rows["size"] == F.col("k_size")) & (rows["salt"] == F.col("k_salt"))
+        F.col("source").alias("s_source"), F.col("size").alias("s_size"), "of_smaller", "source_size", "target"
     )
-    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    drawn = F.substring(F.md5(F.concat(F.coalesce("source", F.lit("")), F.lit(f"/{seed}"))), 1, 7)
+    cells = cells.join(steps, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("size") == F.col("s_size"))).select(
+        *[F.col(c).alias(f"{size}_{c}") for c in ("source", "size", "salt")],
+        (F.col("of_smaller") + F.col("of_salts")).alias(f"{size}_before"), F.col("source_size").alias(source_size), F.col("target").alias(target),
+    )
+    # Rows that are equal here too are equal but for columns that do not count.
+    rows = sized.withColumn(nth, F.row_number().over(W.partitionBy(n, size, key).orderBy("doc_id", nth)))
+    rows = rows.join(cells, F.col(n).eqNullSafe(F.col(f"{size}_source")) & (F.col(size) == F.col(f"{size}_size")) & (F.col(key) == F.col(f"{size}_salt")))
+    expected = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(0.0)
+    drawn = F.substring(F.md5(F.concat(F.coalesce(F.col(n), F.lit("")), F.lit(f"/{seed}"))), 1, 7)
     offset = F.conv(drawn, 16, 10).cast("double") / F.lit(float(1 << 28))
-    last = F.col("before") + F.col("nth")
-    copies = F.floor(last * expected + offset) - F.floor((last - 1) * expected + offset)
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    last = F.col(f"{size}_before") + F.col(nth)
+    taken = F.floor(last * expected + offset) - F.floor((last - 1) * expected + offset)
+    return rows.select(*[F.col(f"`{c}`") for c in columns], size, source_size, target, taken.cast("long").alias(copies))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with the same columns; rows are told apart by doc_id."""
-    plan = mix_plan(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
-    taken = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_mix_id")))
-    repeated = taken.withColumn("_mix_copies", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+def mix_plan(
+    docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = (3.0, 1.0, 2.0), seed: int = 17
+) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies): how often each row of (doc_id, source, text) is emitted."""
+    plan = with_copies(docs.select("doc_id", "source", "text"), ["doc_id", "source"], share, most, weights, seed)
+    return plan.select("doc_id", "source", *[F.col(c).alias(c.removeprefix("mix_")) for c in INNER[:4]])
+
+
+def mixed_documents(
+    docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = (3.0, 1.0, 2.0), seed: int = 17
+) -> DataFrame:
+    """The rows of docs, each as often as ``mix_plan`` emits it, with the same columns. Rows are numbered where they are emitted, so none is looked up by its doc_id."""
+    own = [F.col(f"`{c}`").alias(f"doc_{k}") for k, c in enumerate(docs.columns) if c not in ("doc_id", "source", "text")]
+    plain = docs.select("doc_id", "source", "text", *own)
+    plan = with_copies(plain, plain.columns, share, most, weights, seed).where(F.col(INNER[3]) > 0)
+    repeated = plan.withColumn(INNER[3], F.explode(F.sequence(F.lit(1), F.col(INNER[3]).cast("int"))))
+    return repeated.select(*[F.col(c if c in ("doc_id", "source", "text") else f"doc_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
