@@ -16,8 +16,9 @@ each local component, which is all that the groups need.
 Groups are the connected components of the links, found by rounds of joins with pointer jumping.
 
 Defined cases: a text of one to four words is one shingle of all its words; texts without words are in no link and each
-is a class of its own; repeated rows are copies; rows with a null doc_id are left out of ``near_groups`` and kept by
-``one_of_each_group``; an empty table gives an empty result; further columns are ignored or kept likewise.
+is a class of its own; repeated rows are copies, and rows of one doc_id with different texts are documents of their own;
+rows with a null doc_id are left out of ``near_groups`` and kept by ``one_of_each_group``; an empty table gives an empty
+result; further columns are ignored by ``near_groups`` and kept, whatever they are called, by ``one_of_each_group``.
 """
 
 from __future__ import annotations
@@ -29,11 +30,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import text as T
-from .storage import saved
+from .storage import saved, unused
 
 
 def runs_for(recall: float, similarity: float, levels: int) -> int:
@@ -59,29 +61,33 @@ def chosen(tokens: np.ndarray, runs: int, levels: int, similarity: float) -> tup
     return slots, np.concatenate(hit)
 
 
+def set_key(tokens: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(tokens.tobytes())
+
+
 def set_table(docs: DataFrame, n: int, runs: int, levels: int, similarity: float) -> DataFrame:
-    """(doc_id, key, size, slots, picks) for each document with words; equal sets have equal keys."""
+    """(doc_id, h, key, slots, picks) for each row of (doc_id, h, text) with words; equal sets have equal keys."""
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        ids, keys, sizes, slots, picks = [], [], [], [], []
-        for i, t in zip(batch.column("doc_id").to_pylist(), T.texts(batch.column("text")), strict=True):
+        ids, hashes, keys, slots, picks = [], [], [], [], []
+        for i, h, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h")), T.texts(batch.column("text")), strict=True):
             s = T.shingles(t, n)
             if len(s):
                 a, b = chosen(s, runs, levels, similarity)
                 ids.append(i)
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sizes.append(len(s))
+                hashes.append(h)
+                keys.append(set_key(s))
                 slots.append(a)
                 picks.append(T.signed(b))
         return {
             "doc_id": pa.array(ids, pa.int64()),
+            "h": pa.array(hashes, pa.int64()),
             "key": pa.array(keys, pa.binary()),
-            "size": pa.array(sizes, pa.int32()),
             "slots": T.lists(slots, pa.int16()),
             "picks": T.lists(picks, pa.int64()),
         }
 
-    return T.per_batch(docs, run, "doc_id long, key binary, size int, slots array<smallint>, picks array<long>", rows=500)
+    return T.per_batch(docs, run, "doc_id long, h long, key binary, slots array<smallint>, picks array<long>", rows=500)
 
 
 def buckets(sets: DataFrame, runs: int, levels: int, limit: int) -> DataFrame:
@@ -177,7 +183,7 @@ def compared(entries: DataFrame, words: int, similarity: float, block: int) -> D
     rows = entries.withColumn("parts", parts).withColumn("own", own)
     # Each block meets each block of its bucket once: a row goes to the tasks of its block's row and column.
     others = F.expr("transform(sequence(0, parts - 1), p -> struct(least(own, p) as i, greatest(own, p) as j))")
-    rows = rows.withColumn("task", F.explode(others)).select("bucket", "id", "text", "buckets", "copies", "own", F.col("task.i").alias("i"), F.col("task.j").alias("j"))
+    rows = rows.withColumn("task", F.explode(others)).select("bucket", "id", "key", "text", "buckets", "copies", "own", F.col("task.i").alias("i"), F.col("task.j").alias("j"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, key = [], set(), None
@@ -206,7 +212,7 @@ def compared(entries: DataFrame, words: int, similarity: float, block: int) -> D
 
         for batch in batches:
             texts = T.texts(batch.column("text"))
-            rest = {c: batch.column(c).to_pylist() for c in ("bucket", "i", "j", "id", "own", "copies", "buckets")}
+            rest = {c: batch.column(c).to_pylist() for c in ("bucket", "i", "j", "id", "key", "own", "copies", "buckets")}
             for k, t in enumerate(texts):
                 new = (rest["bucket"][k], rest["i"][k], rest["j"][k])
                 if new != key:
@@ -214,8 +220,10 @@ def compared(entries: DataFrame, words: int, similarity: float, block: int) -> D
                         yield result()
                     held, seen, key = [], set(), new
                 if rest["id"][k] not in seen:  # a row that repeats
-                    seen.add(rest["id"][k])
-                    held.append({c: rest[c][k] for c in ("id", "own", "copies", "buckets")} | {"tokens": T.shingles(t, words)})
+                    tokens = T.shingles(t, words)
+                    if set_key(tokens) == rest["key"][k]:  # else another text of this doc_id
+                        seen.add(rest["id"][k])
+                        held.append({c: rest[c][k] for c in ("id", "own", "copies", "buckets")} | {"tokens": tokens})
         if held:
             yield result()
 
@@ -223,16 +231,17 @@ def compared(entries: DataFrame, words: int, similarity: float, block: int) -> D
     return dealt.mapInArrow(run, "id long, links long, to long")
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root) for the ends of the edges (a, b): root is the smallest id of its connected component.
 
     Each round takes the smallest root among a node's neighbours, then jumps to that one's own root; a long chain halves
-    in each round. Rounds end when no root changes; nothing but that count reaches the driver.
+    in each round. Rounds go on until no root changes; nothing but that count reaches the driver.
     """
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
     both = saved(both.distinct(), "edges")
     roots = saved(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")), "roots")
-    for k in range(most):
+    changed, k = 1, 0
+    while changed:
         near = both.join(roots.select(F.col("x").alias("y"), F.col("root").alias("r")), "y").groupBy("x").agg(F.min("r").alias("r"))
         # The neighbours' smallest root becomes the root of the own root as well.
         told = roots.join(near, "x").select("x", "root", F.least("root", "r").alias("low"))
@@ -242,50 +251,81 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
         now = now.join(jump, F.col("root") == F.col("j"), "left").select("x", F.least("root", F.coalesce("jr", "root")).alias("root"), "old")
         now = saved(now, f"round{k}")
         changed = now.where("root <> old").limit(1).count()
-        roots = now.select("x", "root")
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
+        roots, k = now.select("x", "root"), k + 1
     return roots.withColumnRenamed("x", "id")
 
 
-def near_groups(
-    docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999, levels: int = 2, limit: int = 128, block: int = 512
+def grouped(
+    docs: DataFrame, n: int, similarity: float, recall: float, levels: int, limit: int, block: int
 ) -> DataFrame:
-    """(doc_id, class_id, n_links): the smallest doc_id of the group and the number of other documents linked to this one."""
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, h, group, root, n_links) of each row of (doc_id, h, text) with words; the root is the set that is first in the group.
+
+    Sets have numbers of their own, so that a doc_id may stand in several rows with different texts.
+    """
     runs = runs_for(recall, similarity, levels)
     table = saved(set_table(docs, n, runs, levels, similarity), "sets")
-    classes = table.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    classes = saved(classes, "classes")
-    members = table.select("doc_id", F.col("key").alias("m_key")).join(classes, F.col("m_key") == F.col("key")).select("doc_id", "id", "copies")
-    members = saved(members, "members")
-    first = members.where("doc_id = id").select(F.col("id").alias("f_id"), "copies").distinct()
-    sets = table.join(first, F.col("doc_id") == F.col("f_id")).select(F.col("doc_id").alias("id"), "slots", "picks")
+    classes = table.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("copies"))
+    classes = saved(classes.select("key", "first", "copies", F.monotonically_increasing_id().alias("id")), "classes")
+    names = classes.select(F.col("key").alias("c_key"), "first", "copies", "id")
+    members = saved(table.select("doc_id", "h", "key").join(names, F.col("key") == F.col("c_key")).select("doc_id", "h", "id", "copies", "first"), "members")
+    one = names.select("c_key", "id", F.col("first.doc_id").alias("f_id"))
+    sets = table.join(one, (F.col("key") == F.col("c_key")) & (F.col("doc_id") == F.col("f_id"))).select("id", "slots", "picks")
     kept = buckets(saved(sets, "first_sets"), runs, levels, limit)
-    of_set = saved(
-        kept.groupBy("id").agg(F.collect_set("bucket").alias("buckets")).join(first, F.col("id") == F.col("f_id")).select("id", "buckets", "copies"), "of_set"
-    )
+    of_set = kept.groupBy("id").agg(F.collect_set("bucket").alias("buckets")).join(classes.select(F.col("id").alias("c_id"), "key", "copies", "first"), F.col("id") == F.col("c_id"))
+    of_set = saved(of_set.select("id", "buckets", "copies", "key", F.col("first.doc_id").alias("f_id")), "of_set")
     # The entries grow with the corpus: a plan that broadcasts them while they are few would not last.
     entries = kept.join(of_set, "id").hint("shuffle_hash")
-    entries = docs.join(entries, F.col("doc_id") == F.col("id")).drop("doc_id")
+    entries = docs.join(entries, F.col("doc_id") == F.col("f_id")).drop("doc_id", "h")
     found = saved(compared(entries, n, similarity, block), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.where("to IS NOT NULL").select(F.col("id").alias("a"), F.col("to").alias("b")))
     links = links.join(roots.withColumnRenamed("id", "r_id"), F.col("id") == F.col("r_id"), "left")
-    links = links.select(F.col("id").alias("l_id"), "links", "root")
-    out = members.join(links, F.col("id") == F.col("l_id"), "left").select(
-        "doc_id", F.coalesce("root", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    links = saved(links.select(F.col("id").alias("l_id"), "links", F.coalesce("root", "id").alias("root")), "rooted")
+    # The first row of each group: sets in links have it from their root, the others are groups by themselves.
+    firsts = links.join(classes.select("id", "first"), F.col("l_id") == F.col("id")).groupBy("root").agg(F.min("first").alias("top"))
+    links = saved(links.join(firsts, "root").select("l_id", "links", "top"), "tops")
+    return members.join(links, F.col("id") == F.col("l_id"), "left").select(
+        "doc_id", "h", F.coalesce("top", "first").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    bare = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select("doc_id")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, text) of the rows with a doc_id; h tells rows of one doc_id apart by their texts."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    return slim.select("doc_id", F.xxhash64("text").alias("h"), "text")
+
+
+def near_groups(
+    docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999, levels: int = 2, limit: int = 128, block: int = 512
+) -> DataFrame:
+    """(doc_id, class_id, n_links): the smallest doc_id of the group and the number of other rows linked to this one."""
+    docs = keyed(docs)
+    out = grouped(docs, n, similarity, recall, levels, limit, block).select("doc_id", F.col("first.doc_id").alias("class_id"), "n_links")
+    bare = docs.where(~has_words("text")).select("doc_id")
     return out.unionByName(bare.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
-def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group, with the same columns; rows that repeat it go."""
-    gone = near_groups(docs, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(saved(gone, "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+def has_words(text: str) -> Column:
+    return F.coalesce(F.col(text).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
+def one_of_each_group(
+    docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999, levels: int = 2, limit: int = 128, block: int = 512
+) -> DataFrame:
+    """One row of docs of each group, with the same columns: that with the smallest doc_id, and of these the smallest text hash.
+
+    Rows without words and rows without a doc_id all stay; of rows that repeat doc_id and text one stays.
+    """
+    gone_id, gone_h, row, nth = unused(docs, "gone_id", "gone_h", "row_h", "nth")
+    gone = grouped(keyed(docs), n, similarity, recall, levels, limit, block).where("doc_id <> first.doc_id OR h <> first.h")
+    gone = saved(gone.select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h)).distinct(), "gone").hint("shuffle_hash")
+    # Only rows with a doc_id and words can repeat; the others are not brought together.
+    may = F.col("doc_id").isNotNull() & has_words("text")
+    own = F.col("doc_id").cast("long")
+    left = docs.where(may).withColumn(row, F.xxhash64(F.col("text").cast("string")))
+    left = left.join(gone, (own == F.col(gone_id)) & (F.col(row) == F.col(gone_h)), "left_anti")
+    once = left.withColumn(nth, F.row_number().over(W.partitionBy(own, row).orderBy(F.lit(0)))).where(F.col(nth) == 1)
+    return once.drop(row, nth).unionByName(docs.where(~may))
 
 
 def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
