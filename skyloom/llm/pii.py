@@ -1,11 +1,18 @@
 """Personal data in texts, also where it is disguised.
 
 Base detectors find e-mail addresses, IPv4-like addresses, payment card numbers and telephone numbers in the text as it
-stands. Where a text may hold disguises, small transducers rewrite it: homoglyphs, full-width and styled digits become
-ASCII, invisible characters go, spelled digits become digits in runs of any length and next to written ones, bracketed or
-spelled "at" and "dot" become signs.
-Every character of the rewritten text keeps the start and end of the source characters that it came from. The same
-detectors then run on the rewritten text, and what they find is mapped back and added where it touches no base span.
+stands. Where a text may hold disguises, transducers rewrite it, one after the other:
+
+* characters: homoglyphs and styled letters become ASCII, decimal digits of any script become ASCII digits, and
+  characters that do not show go;
+* digits: the names of digits in four languages become digits, in runs of any length and next to written ones;
+* signs: bracketed or spelled "at" and "dot" of these languages become signs. A spelled English "at" is one only before
+  a spelled dot and a known top-level domain, or between a local part that no word looks like and a known domain.
+
+Every output character carries the start and end of the source characters that it came from, through all transducers.
+The same detectors then run on the rewritten text, and what they find is mapped back and added where it touches no base
+span, or where it is an e-mail address that goes on beyond a base one. Where numbers are set apart by commas, both readings
+are tried: the numbers joined, then each by itself.
 
 Defined cases: a null or empty text has no spans; repeated rows each have their own result; an empty table gives an
 empty result; further columns are ignored by ``pii_spans`` and kept by ``masked_documents``. Time is linear in the text:
@@ -53,6 +60,8 @@ def narrow(c: str) -> str:
     """The ASCII character that c stands for, or c."""
     if c in LOOKALIKES or c in SIGNS:
         return LOOKALIKES.get(c) or SIGNS[c]
+    if c.isdecimal():
+        return str(unicodedata.decimal(c))
     if "！" <= c <= "～" or "\U0001d400" <= c <= "\U0001d7ff":
         plain = unicodedata.normalize("NFKC", c)
         return plain if len(plain) == 1 and plain.isascii() else c
@@ -60,17 +69,37 @@ def narrow(c: str) -> str:
 
 
 _DIGIT = "|".join(sorted(DIGITS, key=len, reverse=True))
-ODD = re.compile(f"[{''.join(LOOKALIKES)}{''.join(SIGNS)}{HIDDEN}！-～\U0001d400-\U0001d7ff]")
+ODD = re.compile(f"[{''.join(LOOKALIKES)}{''.join(SIGNS)}{HIDDEN}！-～\U0001d400-\U0001d7ff]|(?![0-9])\\d")
 _UNIT = rf"(?:(?:{_DIGIT})(?!\w)|[0-9]++(?!\w))"
-_BETWEEN = r"(?:[ ]{1,2}(?:dot|punkt|point|punto)[ ]{1,2}|[ ,.()-]{1,3})"
+# Names of the full stop and of @ in English, German, French and Spanish; the latter without the English one, which is a common word.
+_DOT = "dot|punkt|point|punto"
+_AT = "arroba|arobase|arobas|klammeraffe|ät"
+# Top-level domains that are no common words of these languages.
+TOP = frozenset("com org net edu gov mil info biz io co uk de fr eu ch nl pl se dk fi cz jp cn kr ru br au nz ca us mx cl pe ve tv app dev xyz online site tech".split())
+_BETWEEN = rf"(?:[ ]{{1,2}}(?:{_DOT})[ ]{{1,2}}|[ ,.()-]{{1,3}})"
 #: Spelled and written digits next to each other, in runs of any length; whether they are personal data is up to the detectors.
 SPELLED = re.compile(rf"(?<!\w)(?:plus[ ,.-]{{1,3}})?{_UNIT}(?:{_BETWEEN}{_UNIT})*+", re.I)
 SPELLED_DIGIT = re.compile(rf"(?<!\w)(?:{_DIGIT})(?!\w)", re.I)
 PART = re.compile(rf"(plus[ ,.-]{{1,3}})|({_DIGIT})(?!\w)|([0-9]++)|({_BETWEEN})", re.I)
-BRACKET_AT = re.compile(r"[ ]{0,2}[\[({<][ ]{0,2}(?:at|@)[ ]{0,2}[\])}>][ ]{0,2}", re.I)
-BRACKET_DOT = re.compile(r"[ ]{0,2}[\[({<][ ]{0,2}(?:dot|punkt|point|punto|\.)[ ]{0,2}[\])}>][ ]{0,2}", re.I)
-WORD_AT = re.compile(r"(?<=[A-Za-z0-9])[ ]{1,2}at[ ]{1,2}(?=[A-Za-z0-9-]{1,63}(?:[ ]{1,2}dot[ ]{1,2}|\.)[A-Za-z0-9])", re.I)
-WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])[ ]{1,2}dot[ ]{1,2}(?=[A-Za-z0-9])", re.I)
+BRACKET_AT = re.compile(rf"[ ]{{0,2}}[\[({{<][ ]{{0,2}}(?:at|@|{_AT})[ ]{{0,2}}[\])}}>][ ]{{0,2}}", re.I)
+BRACKET_DOT = re.compile(rf"[ ]{{0,2}}[\[({{<][ ]{{0,2}}(?:{_DOT}|\.)[ ]{{0,2}}[\])}}>][ ]{{0,2}}", re.I)
+_LABEL = r"[A-Za-z0-9-]{1,63}"
+_SAID_DOT = rf"(?:[ ]{{1,2}}(?:{_DOT})[ ]{{1,2}}|[ ]{{0,2}}[\[({{<][ ]{{0,2}}(?:{_DOT})[ ]{{0,2}}[\])}}>][ ]{{0,2}})"
+#: What follows a spelled "at": a domain with a spelled dot, or any domain; the last label is group 1.
+_SAID = rf"(?={_LABEL}(?:(?:{_SAID_DOT}|\.){_LABEL}){{0,4}}(?:{_SAID_DOT})({_LABEL})(?![\w-]))"
+_ANY = rf"(?={_LABEL}(?:(?:{_SAID_DOT}|\.){_LABEL}){{0,4}}(?:{_SAID_DOT}|\.)({_LABEL})(?![\w-]))"
+WORD_AT = re.compile(rf"(?<=[A-Za-z0-9])[ ]{{1,2}}at[ ]{{1,2}}{_SAID}", re.I)
+ANY_AT = re.compile(rf"(?<=[A-Za-z0-9])[ ]{{1,2}}at[ ]{{1,2}}{_ANY}", re.I)
+#: The end of a local part with a digit or a sign inside of it, which no word has.
+ODD_LOCAL = re.compile(r"(?<![A-Za-z0-9._%+-])(?:[A-Za-z]+[0-9]|[A-Za-z0-9]+[._+-][A-Za-z0-9])[A-Za-z0-9._%+-]*\Z")
+FOREIGN_AT = re.compile(rf"(?<=[A-Za-z0-9])[ ]{{1,2}}(?:{_AT})[ ]{{1,2}}{_ANY}", re.I)
+#: Spelled dots before a label.
+WORD_DOT = re.compile(rf"(?<=[A-Za-z0-9])[ ]{{1,2}}(?:{_DOT})[ ]{{1,2}}(?={_LABEL}(?![\w-]))", re.I)
+WORD_DOT_LAST = re.compile(rf"({_LABEL})(?![\w-])", re.I)
+
+DIGIT_DOT = re.compile(rf"(?<=[0-9])[ ]{{1,2}}(?:{_DOT})[ ]{{1,2}}(?=[0-9])", re.I)
+QUICK_DOT = re.compile(rf" (?:{_DOT}) ")
+QUICK_AT = re.compile(rf" (?:at|{_AT}) ")
 
 #: Quick test for spelled digits.
 DIGIT_WORDS, SPACED = frozenset(DIGITS), str.maketrans(dict.fromkeys(",.()-+[]{}<>:;!?/\"'", " "))
@@ -152,8 +181,8 @@ class Mapped:
             self.start, self.end = starts + self.start[last:], ends + self.end[last:]
 
 
-def spelled(t: str) -> Iterator[tuple[int, int, str]]:
-    """Edits that make digits of the spelled ones in t, and join them with digits next to them.
+def spelled(t: str, commas: bool) -> Iterator[tuple[int, int, str]]:
+    """Edits that make digits of the spelled ones in t, and join them with digits next to them; over commas only where these are to be.
 
     Written digits of more than one place keep what stands between them, as the detectors know it. A full stop or "dot"
     stays one if no space follows the stop; else it ends a sentence.
@@ -170,31 +199,73 @@ def spelled(t: str) -> Iterator[tuple[int, int, str]]:
                 yield *p.span(), DIGITS[p[2].lower()]
             elif p[4] and (p[4].strip().isalpha() or p[4] == "."):
                 yield *p.span(), "."
-            elif p[4] and (parts[k - 1][2] or parts[k + 1][2] or single[k - 1] and single[k + 1]):
+            elif p[4] and (commas or "," not in p[4]) and (parts[k - 1][2] or parts[k + 1][2] or single[k - 1] and single[k + 1]):
                 yield *p.span(), ""
 
 
+def at_signs(t: str) -> Iterator[tuple[int, int, str]]:
+    """Edits that make signs of the spelled "at"s in t, in order."""
+    found = {m.span(): "@" for m in FOREIGN_AT.finditer(t)}
+    found |= {m.span(): "@" for m in WORD_AT.finditer(t) if m[1].lower() in TOP}
+    found |= {m.span(): "@" for m in ANY_AT.finditer(t) if m[1].lower() in TOP and ODD_LOCAL.search(t, max(0, m.start() - 65), m.start())}
+    last = 0
+    for (a, b), sign in sorted(found.items()):
+        if a >= last:
+            yield a, b, sign
+            last = b
+
+
+def dot_signs(t: str) -> Iterator[tuple[int, int, str]]:
+    """Edits that make full stops of spelled dots in domains that end in a known top level."""
+    chain: list[tuple[int, int]] = []
+    end, label = -1, ""
+    for m in WORD_DOT.finditer(t):
+        if m.start() != end:
+            if label in TOP:
+                yield from ((a, b, ".") for a, b in chain)
+            chain = []
+        chain.append(m.span())
+        last = WORD_DOT_LAST.match(t, m.end())
+        end, label = last.end(), last[1].lower()
+    if label in TOP:
+        yield from ((a, b, ".") for a, b in chain)
+
+
+def rewritten(t: str, odd: bool, commas: bool) -> Mapped:
+    """t through all transducers."""
+    m = Mapped(t)
+    if odd:
+        m.rewrite(ODD, lambda x: "" if x[0] in HIDDEN else narrow(x[0]))
+    m.replace(spelled(m.text, commas))
+    m.rewrite(BRACKET_AT, lambda _: "@")
+    m.replace(at_signs(m.text))
+    m.rewrite(BRACKET_DOT, lambda _: ".")
+    if "@" in m.text:
+        m.replace(dot_signs(m.text))
+    if re.search("[0-9]", m.text):
+        m.rewrite(DIGIT_DOT, lambda _: ".")
+    return m
+
+
 def disguised(t: str, base: list[Span]) -> list[Span]:
     """Spans found only after rewriting, in source positions."""
-    odd, low = not t.isascii() and ODD.search(t), t.lower()
-    named = not DIGIT_WORDS.isdisjoint(low.translate(SPACED).split()) and len(SPELLED_DIGIT.findall(t)) + len(re.findall("[0-9]", t)) >= FEWEST
+    odd, low = not t.isascii() and bool(ODD.search(t)), t.lower()
+    named = not DIGIT_WORDS.isdisjoint(low.translate(SPACED).split()) and len(SPELLED_DIGIT.findall(t)) + len(re.findall(r"\d", t)) >= FEWEST
     signs = any(c in t for c in "[({<") and (BRACKET_AT.search(t) or BRACKET_DOT.search(t))
-    signs = signs or (" dot " in low and WORD_DOT.search(t)) or (" at " in low and WORD_AT.search(t))
+    signs = signs or (QUICK_DOT.search(low) and ("@" in t or re.search("[0-9]", t))) or (QUICK_AT.search(low) and next(at_signs(t), None))
     if not (odd or named or signs):
         return []
-    m = Mapped(t)
-    if odd:
-        m.rewrite(ODD, lambda x: "" if x[0] in HIDDEN else narrow(x[0]))
-    m.replace(spelled(m.text))
-    for pattern, sign in ((BRACKET_AT, "@"), (BRACKET_DOT, "."), (WORD_AT, "@")):
-        m.rewrite(pattern, lambda _, s=sign: s)
-    if "@" in m.text or re.search(r"[0-9][ ]{1,2}dot", m.text, re.I):
-        m.rewrite(WORD_DOT, lambda _: ".")
     taken, out = [(a, b) for _, a, b in base], []
-    for kind, a, b in detect(m.text):
-        span = (m.start[a], m.end[b - 1])
-        if m.text[a:b] != t[span[0] : span[1]] and not any(span[0] < y and x < span[1] for x, y in taken):
-            out.append((kind, *span))
+    mails = [(a, b) for kind, a, b in base if kind == "email"]
+    for commas in (True, False) if named else (True,):
+        m = rewritten(t, odd, commas)
+        for kind, a, b in detect(m.text):
+            x, y = m.start[a], m.end[b - 1]
+            touched = [s for s in taken if x < s[1] and s[0] < y]
+            beyond = kind == "email" and all(s in mails and x <= s[0] and s[1] <= y and s != (x, y) for s in touched)
+            if m.text[a:b] != t[x:y] and (not touched or beyond):
+                out.append((kind, x, y))
+                taken.append((x, y))
     return out
 
 
