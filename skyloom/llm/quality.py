@@ -13,8 +13,8 @@ with the weight of ``prior`` rows against its own: smoothly, and alike at every
 squared Mahalanobis distance to the estimate of its language and source is above the cutoff.
 
 Estimates use every document. Only one row for each group and start reaches Python; distances and moments are Spark
-expressions. Tables of one row a group are written before they are joined, so that Spark broadcasts them where they are
-known to be small, and can split a hot group among tasks where they are not.
+expressions. Tables of one row a group are written before they are joined. They are broadcast where there are at most
+``few`` groups, by a count; else Spark joins them by its own choice and can split a hot group among tasks.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null language or source is a value of its
 own; repeated rows count as often as they occur, and rows of one doc_id are told apart by text, language and source; an
@@ -25,7 +25,7 @@ kept, whatever they are called, by ``good_documents``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
@@ -121,6 +121,8 @@ def with_groups(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"g0": named(0), "g1": named(1, "lang"), "g2": named(2, "lang", "source")})
 
 
+#: Marks a table of one row a group for broadcast where there are few groups.
+Side = Callable[[DataFrame], DataFrame]
 XS = [f"x{i}" for i in range(DIMS)]
 MS = [f"m{i}" for i in range(DIMS)]
 LEVELS, STARTS = ("g0", "g1", "g2"), (0, 1, 2)
@@ -172,14 +174,14 @@ def distance() -> Column:
     return sum((1 if i == j else 2) * F.col(f"p{i}{j}") * diff[i] * diff[j] for i, j in PAIRS)
 
 
-def starts(rows: DataFrame) -> DataFrame:
+def starts(rows: DataFrame, side: Side) -> DataFrame:
     """PARAMS for each group and start."""
     rows = in_groups(rows)
     centre = saved(rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(m) for x, m in zip(XS, MS, strict=True)]), "centre")
     spread = [F.percentile_approx(F.abs(F.col(x) - F.col(m)), 0.5, 10_000).alias(f"d{i}") for i, (x, m) in enumerate(zip(XS, MS, strict=True))]
-    spread = saved(rows.join(centre, "g").groupBy("g", *MS).agg(*spread), "spread")
+    spread = saved(rows.join(side(centre), "g").groupBy("g", *MS).agg(*spread), "spread")
     scale = [F.sqrt(F.pow(F.lit(1.4826) * F.col(f"d{i}"), 2) + F.lit(FLOORS[i] ** 2)) for i in range(DIMS)]
-    z = rows.join(spread, "g").select("g", *[((F.col(x) - F.col(m)) / d).alias(f"z{i}") for i, (x, m, d) in enumerate(zip(XS, MS, scale, strict=True))])
+    z = rows.join(side(spread), "g").select("g", *[((F.col(x) - F.col(m)) / d).alias(f"z{i}") for i, (x, m, d) in enumerate(zip(XS, MS, scale, strict=True))])
     z = z.withColumns({f"t{i}": F.tanh(f"z{i}") for i in range(DIMS)}).withColumn("norm", sum(F.col(f"z{i}") * F.col(f"z{i}") for i in range(DIMS)))
     tanh = [F.sum(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"t{i}{j}") for i, j in PAIRS] + [F.sum(f"t{i}").alias(f"t{i}") for i in range(DIMS)]
     sign = [F.sum(F.when(F.col("norm") > 0, F.col(f"z{i}") * F.col(f"z{j}") / F.col("norm")).otherwise(0.0)).alias(f"u{i}{j}") for i, j in PAIRS]
@@ -202,16 +204,16 @@ def starts(rows: DataFrame) -> DataFrame:
     return saved(sums.join(spread, "g").mapInPandas(run, f"g long, s int, {PARAMS}"), "starts")
 
 
-def mcd(rows: DataFrame, share: float) -> DataFrame:
+def mcd(rows: DataFrame, share: float, side: Side) -> DataFrame:
     """PARAMS for each group of rows (g0, g1, g2, x0...), before reweighting."""
     every, scale = in_groups(rows, STARTS), share / chi2_cdf(chi2_quantile(share, DIMS // 2), DIMS // 2 + 1)
     names = [f.split()[0] for f in PARAMS.split(", ")]
-    now = starts(rows).withColumn("moves", F.lit(True))
+    now = starts(rows, side).withColumn("moves", F.lit(True))
     k, moving = 0, True
     while moving:
-        at = every.join(now.where("moves"), ["g", "s"]).select("g", "s", *XS, distance().alias("d2"))
+        at = every.join(side(now.where("moves")), ["g", "s"]).select("g", "s", *XS, distance().alias("d2"))
         nearest = saved(at.groupBy("g", "s").agg(F.percentile_approx("d2", share, 10_000).alias("most")), f"nearest{k}")
-        new = saved(estimates(moments(at.join(nearest, ["g", "s"]).where("d2 <= most")), scale), f"step{k}")
+        new = saved(estimates(moments(at.join(side(nearest), ["g", "s"]).where("d2 <= most")), scale), f"step{k}")
         new = new.select(F.col("g").alias("n_g"), F.col("s").alias("n_s"), *[F.col(c).alias(f"n_{c}") for c in names])
         both = now.join(new, (F.col("g") == F.col("n_g")) & (F.col("s") == F.col("n_s")), "left")
         better = F.coalesce(F.col("n_logdet") < F.col("logdet") - 1e-6, F.lit(False))
@@ -221,10 +223,10 @@ def mcd(rows: DataFrame, share: float) -> DataFrame:
     return saved(best.select("g", F.lit(0).alias("s"), *[F.col(f"b.{c}").alias(c) for c in names]), "mcd")
 
 
-def drawn(rows: DataFrame, raw: DataFrame, prior: float) -> DataFrame:
+def drawn(rows: DataFrame, raw: DataFrame, prior: float, side: Side) -> DataFrame:
     """PARAMS and g for each group g2, reweighted, and drawn to those of its language and of all rows."""
     edge = 0.975
-    inside = in_groups(rows).join(raw, ["g", "s"]).where(distance() <= chi2_quantile(edge, DIMS // 2)).select("g", "s", *XS)
+    inside = in_groups(rows).join(side(raw), ["g", "s"]).where(distance() <= chi2_quantile(edge, DIMS // 2)).select("g", "s", *XS)
     better = estimates(moments(inside), edge / chi2_cdf(chi2_quantile(edge, DIMS // 2), DIMS // 2 + 1))
     better = saved(better, "reweighted")
     every = better.unionByName(raw.join(better.select("g"), "g", "left_anti"))
@@ -250,13 +252,14 @@ def drawn(rows: DataFrame, raw: DataFrame, prior: float) -> DataFrame:
     return saved(cells.mapInPandas(run, f"g long, {PARAMS}"), "drawn")
 
 
-def quality_verdicts(docs: DataFrame, share: float = 0.75, prior: float = 200.0, level: float = 0.9999) -> DataFrame:
+def quality_verdicts(docs: DataFrame, share: float = 0.75, prior: float = 200.0, level: float = 0.9999, few: int = 10_000) -> DataFrame:
     """(doc_id, h, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, d2, kept) for every document."""
     found = saved(stats(docs), "stats")
     columns = ["doc_id", "h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     passed = with_groups(found.where(~F.col("base_failed"))).select(*columns, *LEVELS, *[x.alias(n) for n, x in zip(XS, vector(), strict=True)])
     passed = saved(passed, "vectors")
-    judged = passed.join(drawn(passed, mcd(passed, share), prior), F.col("g2") == F.col("g")).select(*columns, distance().alias("d2"))
+    side: Side = F.broadcast if passed.select("g2").distinct().count() <= few else lambda df: df
+    judged = passed.join(side(drawn(passed, mcd(passed, share, side), prior, side)), F.col("g2") == F.col("g")).select(*columns, distance().alias("d2"))
     judged = judged.withColumn("kept", F.col("d2") <= chi2_quantile(level, DIMS // 2))
     failed = found.where("base_failed").select(*columns, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))
     return judged.unionByName(failed)
