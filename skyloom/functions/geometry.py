@@ -143,59 +143,77 @@ def with_nest_of_ring(df: DataFrame, ring: str, nside: int, name: str = "nest")
     return with_nest_pixel(df, "_cx", "_cy", "_cz", nside, name).drop("_cx", "_cy", "_cz")
 
 
+def _between_rings(x: str, y: str, z: str, n: int) -> dict[str, str]:
+    """Colatitude, longitude and the ring above; the ring below is the next one, and rings 0 and 4n are the poles."""
+    return {
+        "_r": f"nullif(sqrt(({x})*({x}) + ({y})*({y}) + ({z})*({z})), 0D)",
+        "_z": f"({z}) / _r",
+        "_theta": f"atan2(sqrt(({x})*({x}) + ({y})*({y})), {z})",
+        "_phi": f"pmod(atan2({y}, {x}), {TAU!r}D)",
+        "_cap": f"cast(floor({n} * sqrt(3D * (1D - abs(_z)))) as long)",
+        "_u": f"case when abs(_z) <= 0.6666666666666666D then cast(floor({n} * (2D - 1.5D * _z)) as long) when _z > 0 then _cap else {4 * n - 1} - _cap end",
+    }
+
+
+def _pair(p: str) -> dict[str, str]:
+    """The two pixels p and q of a ring at a longitude, and the weight w of q."""
+    return {
+        f"{p}pos": f"_phi * {p}size / {TAU!r}D - 0.5D * {p}shift",
+        f"{p}k": f"cast(floor({p}pos) as long)",
+        f"{p}w": f"{p}pos - {p}k",
+        f"{p}p": f"{p}start + pmod({p}k, {p}size)",
+        f"{p}q": f"{p}start + pmod({p}k + 1, {p}size)",
+    }
+
+
+def _shares(n: int) -> dict[str, str]:
+    """From the colatitudes _ath and _bth of the rings: what is dealt to the ring above, to that below, and evenly around a pole."""
+    return {
+        "_wt": f"case when _u = 0 then _theta / _bth when _u = {4 * n - 1} then (_theta - _ath) / ({math.pi!r}D - _ath) else (_theta - _ath) / (_bth - _ath) end",
+        "_pole": f"case when _u = 0 then (1D - _wt) / 4D when _u = {4 * n - 1} then _wt / 4D else 0D end",
+        "_ua": "if(_u = 0, 0D, 1D - _wt)",
+        "_ub": f"if(_u = {4 * n - 1}, 0D, _wt)",
+    }
+
+
+def _across(ring: str, pix: str, n: int) -> str:
+    """The pixel itself, or the one on the other side of the pole in place of a ring that is one."""
+    last = 12 * n * n - 4
+    return f"if(_u = 0, ({pix} + 2) % 4, {pix})" if ring == "above" else f"if(_u = {4 * n - 1}, {last} + ({pix} + 2 - {last}) % 4, {pix})"
+
+
 def with_interpolation(df: DataFrame, x: str, y: str, z: str, nside: int, name: str = "near") -> DataFrame:
     """array<struct<pix, w>> of the four RING pixels around a direction, with weights that add up to 1.
 
     Weights are linear in longitude inside the rings above and below, and linear in colatitude between them. Between a pole
     and the ring next to it, the distance to the pole deals the rest evenly to the four pixels of that ring.
     """
-    n, npix, own = nside, 12 * nside * nside, set(df.columns)
-    df = stepped(
-        df,
-        False,
-        _r=f"nullif(sqrt(({x})*({x}) + ({y})*({y}) + ({z})*({z})), 0D)",
-        _z=f"({z}) / _r",
-        _theta=f"atan2(sqrt(({x})*({x}) + ({y})*({y})), {z})",
-        _phi=f"pmod(atan2({y}, {x}), {TAU!r}D)",
-        _cap=f"cast(floor({n} * sqrt(3D * (1D - abs(_z)))) as long)",
-        _u=f"case when abs(_z) <= 0.6666666666666666D then cast(floor({n} * (2D - 1.5D * _z)) as long) when _z > 0 then _cap else {4 * n - 1} - _cap end",
-        _l="_u + 1",
-    )
-    for p, i in (("_a", "greatest(_u, 1L)"), ("_b", f"least(_l, {4 * n - 1}L)")):
-        df = df.withColumn(f"{p}i", F.expr(i))
-        df = stepped(
-            df,
-            False,
-            **_ring(f"{p}i", n, p),
-            **{
-                f"{p}th": f"acos({p}z)",
-                f"{p}pos": f"_phi * {p}size / {TAU!r}D - 0.5D * {p}shift",
-                f"{p}k": f"cast(floor({p}pos) as long)",
-                f"{p}w": f"{p}pos - {p}k",
-                f"{p}p": f"{p}start + pmod({p}k, {p}size)",
-                f"{p}q": f"{p}start + pmod({p}k + 1, {p}size)",
-            },
-        )
-    df = stepped(
-        df,
-        False,
-        _wt=f"case when _u = 0 then _theta / _bth when _l = {4 * n} then (_theta - _ath) / ({math.pi!r}D - _ath) else (_theta - _ath) / (_bth - _ath) end",
-        _north="if(_u = 0, (1D - _wt) / 4D, 0D)",
-        _south=f"if(_l = {4 * n}, _wt / 4D, 0D)",
-        _ua="if(_u = 0, 0D, 1D - _wt)",
-        _ub=f"if(_l = {4 * n}, 0D, _wt)",
-    )
-    entries = (
-        ("if(_u = 0, (_bp + 2) % 4, _ap)", "_ua * (1D - _aw) + _north + _south"),
-        ("if(_u = 0, (_bq + 2) % 4, _aq)", "_ua * _aw + _north + _south"),
-        (f"if(_l = {4 * n}, {npix - 4} + (_ap + 2 - {npix - 4}) % 4, _bp)", "_ub * (1D - _bw) + _north + _south"),
-        (f"if(_l = {4 * n}, {npix - 4} + (_aq + 2 - {npix - 4}) % 4, _bq)", "_ub * _bw + _north + _south"),
-    )
+    n, own = nside, set(df.columns)
+    df = stepped(df, False, **_between_rings(x, y, z, n))
+    for p, i in (("_a", "greatest(_u, 1L)"), ("_b", f"least(_u + 1, {4 * n - 1}L)")):
+        df = stepped(df, False, **{f"{p}i": i}, **_ring(f"{p}i", n, p), **{f"{p}th": f"acos({p}z)"}, **_pair(p))
+    df = stepped(df, False, **_shares(n))
+    entries = [(_across(ring, f"{p}{c}", n), f"{u} * {w} + _pole") for ring, p, u in (("above", "_a", "_ua"), ("below", "_b", "_ub")) for c, w in (("p", f"(1D - {p}w)"), ("q", f"{p}w"))]
     listed = ", ".join(f"named_struct('pix', cast({p} as long), 'w', {w})" for p, w in entries)
     df = df.withColumn(name, F.expr(f"if(_r is null, null, array({listed}))"))
     return df.drop(*[c for c in df.columns if c not in own and c != name])
 
 
+def interpolation_rows(df: DataFrame, x: str, y: str, z: str, nside: int, columns: list[str]) -> DataFrame:
+    """(columns, pix, w): the four entries of ``with_interpolation`` as rows, for directions that are not null.
+
+    The formulas are cut in three by generators of two rows, one for each ring and then one for each pixel of it. So no
+    generated method is too large for the JVM to compile, and the ring formulas stand in one of them once.
+    """
+    n = nside
+    df = stepped(df, False, **_between_rings(x, y, z, n)).select(*columns, "_theta", "_phi", "_u", F.explode(F.array(F.lit(True), F.lit(False))).alias("_above"))
+    both = {c: e for p, i in (("_a", "greatest(_u, 1L)"), ("_b", f"least(_u + 1, {4 * n - 1}L)")) for c, e in ({f"{p}i": i} | _ring(f"{p}i", n, p)).items() if c[2:] in ("i", "j", "z")}
+    df = stepped(df, False, **both, _ath="acos(_az)", _bth="acos(_bz)", **_shares(n), _i="if(_above, _ai, _bi)", **_ring("_i", n, "_g"), **_pair("_g"), _o="if(_above, _ua, _ub)")
+    pix = {c: f"cast(if(_above, {_across('above', f'_g{c}', n)}, {_across('below', f'_g{c}', n)}) as long)" for c in "pq"}
+    df = stepped(df, False, _pp=pix["p"], _pq=pix["q"], _wp="_o * (1D - _gw) + _pole", _wq="_o * _gw + _pole")
+    return df.select(*columns, F.inline(F.expr("array(named_struct('pix', _pp, 'w', _wp), named_struct('pix', _pq, 'w', _wq))")))
+
+
 def parent_pixel(nest: str | Column, levels: int) -> Column:
     """The NESTED pixel that holds this one, `levels` halvings of nside up."""
     return F.shiftright(F.col(nest) if isinstance(nest, str) else nest, 2 * levels)

@@ -25,7 +25,6 @@ class Constants:
     boltzmann: float = 1.3806488e-16
     gamma: float = 5.0 / 3.0
     mu: float = 0.59
-    mu_electron: float = 1.14
     primordial_helium: float = 0.24
     hubble: float = 0.6766
 
@@ -68,14 +67,18 @@ def gas_temperature(uu: Column, mu: Column, a: Column, k: Constants = Constants(
 
 
 def gas_state(mass: Column, rho: Column, zmet: Column, yhe: Column, a: Column, k: Constants = Constants()) -> dict[str, Column]:
-    """SPH volume, physical density (g/cm3), hydrogen fraction, helium to primordial ratio and hydrogen density (1/cm3)."""
+    """SPH volume (cm3), density (g/cm3), hydrogen fraction, metal-free helium fraction and hydrogen density (1/cm3), all physical.
+
+    mass and rho are in solar masses over h and comoving (Mpc/h)^3.
+    """
     density = rho * F.lit(k.solar_mass / k.megaparsec**3 * k.hubble**2) / (a * a * a)
     hydrogen = F.lit(1.0) - yhe - zmet
+    helium = F.try_divide(yhe, hydrogen)
     return {
-        "volume": F.try_divide(mass, rho),
+        "volume": F.try_divide(mass, rho) * F.lit(k.megaparsec**3 / k.hubble**3) * (a * a * a),
         "density": density,
         "hydrogen": hydrogen,
-        "helium_ratio": yhe / (F.lit(1.0) + yhe),
+        "helium_ratio": helium / (F.lit(1.0) + helium),
         "n_h": density * hydrogen / F.lit(k.proton_mass),
     }
 
@@ -92,17 +95,34 @@ def sz_weights(mass: Column, mu: Column, uu: Column, a: Column, d2: Column, v: C
     raise ValueError("mode is 'adiabatic', or 'ne' with a column of electrons")
 
 
-def sz_factors(k: Constants = Constants(), sample_rate: float = 1.0, pixel_size: float = 1.0) -> dict[str, float]:
-    """Factors from weights to the Compton y and the kinetic decrement, for a pixel solid angle."""
-    area = k.megaparsec**2 / (k.hubble * sample_rate * pixel_size)
-    per_gram = k.thomson * k.solar_mass / (k.mu_electron * k.proton_mass) / k.megaparsec**4 * area
-    energy = (k.gamma - 1) * k.proton_mass / (k.electron_mass * k.light_speed**2)
-    return {"tsz": per_gram * energy * 1e10, "ksz": -per_gram * 1e5 / k.light_speed}
+def sz_factors(k: Constants = Constants(), sample_rate: float = 1.0, pixel_size: float = 1.0, helium_electrons: float = 2.0) -> dict[str, float]:
+    """Factors from weights to the Compton y, the kinetic decrement and the flux for each unit of solid angle, for a pixel's solid angle.
+
+    Masses are in solar masses over h and distances in comoving Mpc/h, so a power of h is left of mass over distance squared.
+    """
+    mu_electron = 2.0 / (2.0 - k.primordial_helium)
+    free = (1.0 - k.primordial_helium * (1.0 - helium_electrons / 4.0)) / (1.0 - k.primordial_helium / 2.0)
+    electrons = k.thomson * free / mu_electron * k.solar_mass / k.megaparsec**2 * k.hubble / (sample_rate * pixel_size)
+    return {
+        "tsz": (k.gamma - 1) * electrons / (k.electron_mass * k.light_speed**2) * 1e10,
+        "ksz": -electrons / k.proton_mass * 1e5 / k.light_speed,
+        "xray": 1.0 / (sample_rate * pixel_size * 4 * math.pi),
+    }
 
 
 def xray_flux(luminosity: Column, d2: Column, a: Column, k: Constants = Constants()) -> Column:
-    """Flux of a band at the observer, for a distance squared in comoving (Mpc/h)^2."""
-    return F.try_divide(luminosity * a * a * F.lit(k.hubble**2), d2 * F.lit(4 * math.pi * k.megaparsec**2))
+    """Weight of a band at the observer, L a^2 / d^2, for a distance squared in comoving (Mpc/h)^2; the factor of 4 pi is in ``sz_factors``."""
+    return F.try_divide(luminosity * a * a * F.lit(k.hubble**2), d2 * F.lit(k.megaparsec**2))
+
+
+def metal_ratio(zmet: Column, hydrogen: Column, solar: float = 0.7381 / 0.0134) -> Column:
+    """Metals over hydrogen in units of the sun's; solar is the sun's hydrogen over metals."""
+    return F.try_divide(F.lit(solar) * zmet, hydrogen)
+
+
+def luminosity(volume: Column, n_h: Column, log_table: Column) -> Column:
+    """erg/s of a band from the logarithm of luminosity over hydrogen density squared."""
+    return volume * n_h * n_h * F.pow(F.lit(10.0), log_table)
 
 
 def rel_change(new: Column, old: Column) -> Column:

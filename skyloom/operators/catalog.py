@@ -168,11 +168,17 @@ def exact_sample(df: DataFrame, rate: float, keys: tuple[str, ...], seed: int =
     return whole.select(*df.columns).unionByName(last.select(*df.columns))
 
 
-def pixel_offsets(df: DataFrame, pix: str = "pix", step: str = "step") -> DataFrame:
+def pixel_offsets(df: DataFrame, pix: str = "pix", step: str = "step", block_pixels: int = 1 << 16) -> DataFrame:
     """(step, pixel_id, start_idx, count_idx): rows of each pixel and where they start when written in pixel order."""
     counts = df.groupBy(step, F.col(pix).alias("pixel_id")).agg(F.count("*").alias("count_idx"))
-    before = W.partitionBy(step).orderBy("pixel_id").rowsBetween(W.unboundedPreceding, -1)
-    return counts.select(step, "pixel_id", F.coalesce(F.sum("count_idx").over(before), F.lit(0)).alias("start_idx"), "count_idx")
+    # Running sums over blocks of pixels, then within a block: no window holds the pixels of a step.
+    block = F.floor(F.col("pixel_id") / block_pixels)
+    blocks = counts.groupBy(F.col(step).alias("_step"), block.alias("_block")).agg(F.sum("count_idx").alias("_n"))
+    ahead = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("_step", "_block", ahead("_n", W.partitionBy("_step").orderBy("_block")).alias("_ahead"))
+    both = counts.withColumn("_in", block).join(blocks, F.col(step).eqNullSafe(F.col("_step")) & (F.col("_in") == F.col("_block")))
+    within = ahead("count_idx", W.partitionBy(step, "_in").orderBy("pixel_id"))
+    return both.select(step, "pixel_id", (F.col("_ahead") + within).alias("start_idx"), "count_idx")
 
 
 def next_steps(df: DataFrame, step: str = "step") -> DataFrame:

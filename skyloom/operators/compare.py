@@ -42,12 +42,12 @@ def match_counts(pairs: DataFrame) -> DataFrame:
 def pair_statistics(pairs: DataFrame, columns: tuple[str, ...], guard: float = 0.0) -> DataFrame:
     """(var, mean_diff, std_diff, max_frac, mean_q, std_q, n) for each column of aligned pairs, in one pass.
 
-    Differences are b - a; std is the sample deviation; max_frac is the largest |b - a| / |a| over values with |a| above
+    Differences are a - b; std is the sample deviation; max_frac is the largest |a - b| / |a| over values with |a| above
     the guard (0 leaves out exact zeros).
     """
     both = pairs.where("in_a AND in_b") if "in_a" in pairs.columns else pairs
     stacked = ", ".join(f"'{c}', a_{c}, b_{c}" for c in columns)
-    rows = both.selectExpr(f"stack({len(columns)}, {stacked}) AS (var, a, b)").withColumn("d", F.col("b") - F.col("a"))
+    rows = both.selectExpr(f"stack({len(columns)}, {stacked}) AS (var, a, b)").withColumn("d", F.col("a") - F.col("b"))
     frac = F.when(F.abs("a") > guard, F.abs(F.col("d")) / F.nullif(F.abs("a"), F.lit(0.0)))
     return rows.groupBy("var").agg(
         F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("std_diff"), F.max(frac).alias("max_frac"), F.avg("a").alias("mean_q"),
@@ -154,7 +154,7 @@ def exact_compare(a: DataFrame, b: DataFrame, keys: tuple[str, ...], columns: tu
     """(var, identical, n_different, max_diff, min_diff, max_rel, min_rel) over keys that both sides hold."""
     pairs = aligned(a, b, keys, columns).where("in_a AND in_b")
     stacked = ", ".join(f"'{c}', a_{c}, b_{c}" for c in columns)
-    rows = pairs.selectExpr(f"stack({len(columns)}, {stacked}) AS (var, a, b)").withColumn("d", F.col("b") - F.col("a"))
+    rows = pairs.selectExpr(f"stack({len(columns)}, {stacked}) AS (var, a, b)").withColumn("d", F.col("a") - F.col("b"))
     rel = F.try_divide(F.col("d"), F.col("a"))
     n = F.count_if(~F.col("a").eqNullSafe(F.col("b")))
     return rows.groupBy("var").agg(

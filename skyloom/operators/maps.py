@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import geometry as G
 from ..functions import physics as P
@@ -38,8 +39,7 @@ def ngp_map(df: DataFrame, nside: int, keys: tuple[str, ...] = ("step",), order:
 
 def spread_over_pixels(df: DataFrame, nside: int, columns: tuple[str, ...]) -> DataFrame:
     """Four rows for each particle, one for each interpolation pixel, with idx and w; only the columns asked for go on."""
-    # inline_outer: for inline, Catalyst adds a filter on the array, which it would push down as the whole formula.
-    near = G.with_interpolation(off_centre(df), "x", "y", "z", nside, "near").select(*columns, F.inline_outer("near"))
+    near = G.interpolation_rows(off_centre(df), "x", "y", "z", nside, list(columns))
     return near.withColumnRenamed("pix", "idx")
 
 
@@ -59,11 +59,13 @@ HYDRO = ("rho", "phi", "vel", "tsz", "ksz", "xray1", "xray2", "xray3", "xray4",
 def hydro_maps(
     df: DataFrame, nside: int, k: P.Constants = P.Constants(), sample_rate: float = 1.0, is_gas: Column | None = None, bands: dict[str, Column] | None = None,
     mode: str = "adiabatic", electrons: Column | None = None, quantities: tuple[str, ...] = HYDRO, keys: tuple[str, ...] = ("step",), factors: dict[str, float] | None = None,
+    least: float | None = None,
 ) -> DataFrame:
     """(keys, idx, quantities): mass, potential and momentum of all particles, the rest of gas only, by interpolation weights.
 
     bands gives the luminosities xray1 to xray4 (from grid_interpolate, or any Column); without them the X-ray maps are 0.
-    temp is the flux-weighted temperature sum: temperature times the flux of xray4. factors replaces the unit factors.
+    temp is the flux-weighted temperature sum: temperature times the weight of xray4, which has no unit factor. factors replaces the unit factors.
+    With least, pixels whose weights add up to no more are left out.
     """
     area = 4 * math.pi / (12 * nside * nside)
     df = with_motion(df)
@@ -72,12 +74,13 @@ def hydro_maps(
     unit = P.sz_factors(k, sample_rate, area) | (factors or {})
     flux = {n: P.xray_flux(bands[n], F.col("_d2"), F.col("a"), k) if bands and n in bands else F.lit(0.0) for n in ("xray1", "xray2", "xray3", "xray4")}
     weights = {"rho": F.col("mass") / F.lit(area), "phi": F.col("mass") * F.col("phi"), "vel": F.col("mass") * F.col("_v")}
-    of_gas = {"tsz": tsz * F.lit(unit["tsz"]), "ksz": ksz * F.lit(unit["ksz"])} | flux
+    of_gas = {"tsz": tsz * F.lit(unit["tsz"]), "ksz": ksz * F.lit(unit["ksz"])} | {n: c * F.lit(unit["xray"]) for n, c in flux.items()}
     of_gas["temp"] = P.gas_temperature(F.col("uu"), F.col("mu"), F.col("a"), k) * flux["xray4"]
     weights |= {n: F.when(gas, c).otherwise(0.0) for n, c in of_gas.items()}
     slim = df.select(*keys, "x", "y", "z", *[weights[q].alias(f"q_{q}") for q in quantities])
     rows = spread_over_pixels(slim, nside, (*keys, *[f"q_{q}" for q in quantities]))
-    return rows.groupBy(*keys, "idx").agg(*[F.sum(F.col("w") * F.col(f"q_{q}")).alias(q) for q in quantities])
+    out = rows.groupBy(*keys, "idx").agg(*[F.sum(F.col("w") * F.col(f"q_{q}")).alias(q) for q in quantities], *([] if least is None else [F.sum("w").alias("_w")]))
+    return out if least is None else out.where(F.col("_w") > least).drop("_w")
 
 
 def gas_summary(df: DataFrame, k: P.Constants = P.Constants(), is_gas: Column | None = None) -> DataFrame:
@@ -178,10 +181,40 @@ def stack_maps(df: DataFrame, values: tuple[str, ...], slices: list[int] | None
     return df.withColumn("slice", number).groupBy("slice", idx).agg(*[F.sum(v).alias(v) for v in values])
 
 
-def map_median(df: DataFrame, values: tuple[str, ...], exact: bool = True) -> DataFrame:
-    """(map, median); exact holds the distinct values of a map, else a sketch does."""
-    f = F.median("v") if exact else F.percentile_approx("v", 0.5, 10_000)
-    return _unpivot(df, values).groupBy("map").agg(f.alias("median"))
+def map_median(df: DataFrame, values: tuple[str, ...], exact: bool = True, accuracy: int = 10_000) -> DataFrame:
+    """(map, median) of the values that are not null; for an even number of them the mean of the middle two.
+
+    exact takes two values from a sketch that lie just around the middle, by twice its largest error, counts what is below
+    them, and ranks only what is between them. Else the sketch alone answers.
+    """
+    rows = _unpivot(df, values).where("v IS NOT NULL").withColumn("v", F.col("v") + F.lit(0.0))
+    if not exact:
+        return rows.groupBy("map").agg(F.percentile_approx("v", 0.5, accuracy).alias("median"))
+    around = F.percentile_approx("v", F.array(F.lit(0.5 - 2 / accuracy), F.lit(0.5 + 2 / accuracy)), accuracy)
+    cuts = rows.groupBy("map").agg(around.alias("cut"), F.count("*").alias("total"))
+    cuts = cuts.select(F.col("map").alias("c_map"), F.col("cut")[0].alias("lo"), F.col("cut")[1].alias("hi"), "total")
+    # maps are few: a row for each
+    both = rows.join(F.broadcast(cuts), F.col("map") == F.col("c_map"))
+    below = both.groupBy(F.col("map").alias("b_map")).agg(F.count_if(F.col("v") < F.col("lo")).alias("below"))
+    near = both.where(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy("map", "v", "total").agg(F.count("*").alias("n"))
+    near = near.join(F.broadcast(below), F.col("map") == F.col("b_map"))
+    upto = F.col("below") + F.sum("n").over(W.partitionBy("map").orderBy("v"))
+    near = near.select("map", "v", "n", upto.alias("upto"), F.floor((F.col("total") + 1) / 2).alias("low"), (F.floor(F.col("total") / 2) + 1).alias("high"))
+    holds = lambda k: F.max(F.when((F.col("upto") - F.col("n") < F.col(k)) & (F.col(k) <= F.col("upto")), F.col("v")))
+    return near.groupBy("map").agg(((holds("low") + holds("high")) / 2).alias("median"))
+
+
+def with_luminosities(df: DataFrame, table: DataFrame, axes: dict[str, tuple[float, float, int]], bands: tuple[str, ...], k: P.Constants = P.Constants()) -> DataFrame:
+    """df with the luminosities of its rows in the bands, from a table of log10(L / nH^2) on a grid.
+
+    The table's index columns are among a (scale factor), yp (metal-free helium fraction), r (metals to the sun's), nh and t
+    (logarithms of hydrogen density and temperature); axes gives the range and the number of points of each.
+    """
+    state = P.gas_state(*[F.col(c) for c in ("mass", "rho", "zmet", "yhe", "a")], k)
+    t = P.gas_temperature(F.col("uu"), F.col("mu"), F.col("a"), k)
+    at = {"a": F.col("a"), "yp": state["helium_ratio"], "r": P.metal_ratio(F.col("zmet"), state["hydrogen"]), "nh": F.log10(state["n_h"]), "t": F.log10(t)}
+    found = grid_interpolate(df.withColumn("_row", F.monotonically_increasing_id()), table, {n: (at[n], *axes[n]) for n in axes}, bands, (*df.columns, "_row"))
+    return found.select(*df.columns, *[P.luminosity(state["volume"], state["n_h"], F.col(b)).alias(b) for b in bands])
 
 
 def map_rms(df: DataFrame, values: tuple[str, ...], npix: int) -> DataFrame:
@@ -222,9 +255,10 @@ def grid_interpolate(df: DataFrame, table: DataFrame, axes: dict[str, tuple[Colu
     for bits in range(1 << len(names)):
         up = [bits >> k & 1 for k in range(len(names))]
         w = reduce(lambda a, b: a * b, [F.col(f"_{n}_f") if u else 1 - F.col(f"_{n}_f") for n, u in zip(names, up, strict=True)])
-        corners.append(F.struct(w.alias("w"), *[(F.col(f"_{n}_i") + u).alias(n) for n, u in zip(names, up, strict=True)]))
+        corners.append(F.struct(w.alias("w"), *[(F.col(f"_{n}_i") + u).alias(f"_{n}_c") for n, u in zip(names, up, strict=True)]))
     rows = df.select(*key, F.inline(F.array(*corners[1:])))
-    both = rows.where("w <> 0").join(table.select(*names, *values), names, "left")
+    table = table.select(*[F.col(n).alias(f"_{n}_t") for n in names], *values)
+    both = rows.where("w <> 0").join(table, reduce(lambda a, b: a & b, [F.col(f"_{n}_c") == F.col(f"_{n}_t") for n in names]), "left")
     # A sum would pass over nulls; a missing corner must not.
     whole = lambda v: F.when(F.count(v) == F.count("*"), F.sum(F.col("w") * F.col(v)))
     return both.groupBy(*key).agg(*[whole(v).alias(v) for v in values])

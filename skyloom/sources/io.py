@@ -74,8 +74,8 @@ def write_sample(df: DataFrame, path: str, rate: float, keys: tuple[str, ...], s
 
 
 def write_by_pixel(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Folders zrange / pix / step. Rows are brought together by all three, so each folder has one file of one task."""
-    df.repartition("zrange", "pix", "step").write.mode(mode).partitionBy("zrange", "pix", "step").parquet(path)
+    """Folders zrange / pix / step. Rows are brought together by all three; Spark deals a large pixel over several tasks, each with a file of its own."""
+    df.hint("rebalance", "zrange", "pix", "step").write.mode(mode).partitionBy("zrange", "pix", "step").parquet(path)
 
 
 def write_slabs(df: DataFrame, path: str, slabs: int, mode: str = "errorifexists") -> None:
@@ -99,9 +99,10 @@ def write_rescaled(df: DataFrame, path: str, kind: str, nside: int, particle_mas
     write_map(out.select("step", "idx", *described), path, mode)
 
 
-def write_text(df: DataFrame, path: str, order: tuple[str, ...] = (), mode: str = "errorifexists") -> None:
-    """A small table as one ordered CSV: histograms, logs, lists of distances, flat maps."""
-    (df.orderBy(*order) if order else df).coalesce(1).write.mode(mode).csv(path, header=True)
+def write_text(df: DataFrame, path: str, order: tuple[str, ...] = (), mode: str = "errorifexists", bounded: bool = False) -> None:
+    """A table as CSV: lists of distances, flat maps. Files are ranges in the order asked for; a table of bounded size, such as bins or steps, is one file."""
+    df = df.orderBy(*order) if order else df
+    (df.coalesce(1) if bounded else df).write.mode(mode).csv(path, header=True)
 
 
 def write_histogram2d(df: DataFrame, path: str, n: int, mode: str = "errorifexists") -> None:
@@ -109,9 +110,9 @@ def write_histogram2d(df: DataFrame, path: str, n: int, mode: str = "errorifexis
     wide = df.groupBy("i").pivot("j", list(range(n))).agg(F.sum("n"))
     every = df.sparkSession.range(n).select(F.col("id").cast("int").alias("_i"))
     out = every.join(wide, F.col("_i") == F.col("i"), "left").drop("i").fillna(0)
-    write_text(out.withColumnRenamed("_i", "i"), path, ("i",), mode)
+    write_text(out.withColumnRenamed("_i", "i"), path, ("i",), mode, bounded=True)
 
 
 def write_logs(qa: DataFrame, path: str, statistic: str, names: list[str], mode: str = "errorifexists") -> None:
     """One line for each step, one value for each map, of one statistic of map_qa."""
-    write_text(qa.groupBy("step").pivot("map", names).agg(F.first(statistic)), path, ("step",), mode)
+    write_text(qa.groupBy("step").pivot("map", names).agg(F.first(statistic)), path, ("step",), mode, bounded=True)
