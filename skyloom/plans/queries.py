@@ -482,11 +482,12 @@ def j9_select_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.select_ids(view(spark, sf_dir, "particles"), view(spark, sf_dir, "id_list")).select(*KEYS, "step", "fof_halo_tag")
 
 
-@query("SELECT count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT fof_halo_tag FROM $id_list)")
+@query("SELECT 'lineitem.parquet' AS file, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT fof_halo_tag FROM $id_list) HAVING count(*) > 0")
 def j10_locate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with listed ids in the files that hold them, added up."""
+    """The files that hold rows with listed ids, and how many; a table of several files counts by its own name."""
     ids = view(spark, sf_dir, "id_list").select(F.col("fof_halo_tag").alias("l_orderkey"))
-    return C.locate_ids(view(spark, sf_dir, "lineitem"), ids, "l_orderkey").agg(F.sum("n").alias("n"))
+    found = C.locate_ids(view(spark, sf_dir, "lineitem"), ids, "l_orderkey")
+    return found.groupBy(F.regexp_extract("file", r"([^/]*\.parquet)(?:/[^/]*)?$", 1).alias("file")).agg(F.sum("n").alias("n"))
 
 
 @query(
@@ -641,7 +642,11 @@ def a3_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return single(out, "mean_a", "std_a", "max_a", "mean_b", "std_b", "max_b")
 
 
-@query("FROM (SELECT 'a' AS side, p.* FROM $lightcone_a p ANTI JOIN $lightcone_b q USING (id, replication) UNION ALL BY NAME SELECT 'b' AS side, q.* FROM $lightcone_b q ANTI JOIN $lightcone_a p USING (id, replication))")
+@query(
+    "FROM (SELECT 'a' AS side, p.* FROM ka p ANTI JOIN kb q USING (id, replication) UNION ALL BY NAME SELECT 'b' AS side, q.* FROM kb q ANTI JOIN ka p USING (id, replication))",
+    "ka AS MATERIALIZED (SELECT * FROM $lightcone_a)",
+    "kb AS MATERIALIZED (SELECT * FROM $lightcone_b)",
+)
 def j11_missing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose key the other side lacks."""
     return K.missing_rows(view(spark, sf_dir, "lightcone_a"), view(spark, sf_dir, "lightcone_b"), KEYS)
@@ -740,6 +745,7 @@ def a7_histogram2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPEC = {f"center_{c}": (f"fof_halo_center_{c}", 0.0, 256.0, 16) for c in "xyz"} | {f"velocity_{c}": (f"fof_halo_com_v{c}", -1000.0, 1000.0, 20) for c in "xyz"}
+SPEC |= {"spin": ("sqrt(fof_halo_angmom_x*fof_halo_angmom_x + fof_halo_angmom_y*fof_halo_angmom_y + fof_halo_angmom_z*fof_halo_angmom_z)/fof_halo_mass", 1.3e-3, 9.17e-2, 20)}
 SPEC |= {f"angmom_{c}": (f"fof_halo_angmom_{c}", -2.71e11, 2.73e11, 20) for c in "xyz"}
 
 
@@ -750,8 +756,17 @@ SPEC |= {f"angmom_{c}": (f"fof_halo_angmom_{c}", -2.71e11, 2.73e11, 20) for c in
     ),
 )
 def a8_halo_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions, velocities and angular momenta of a catalogue in one pass."""
-    return H.halo_histograms(view(spark, sf_dir, "halos_a"), {k: (F.col(c), lo, hi, n, "linear") for k, (c, lo, hi, n) in SPEC.items()})
+    """Positions, velocities, angular momenta and spins of a catalogue in one pass."""
+    return H.halo_histograms(view(spark, sf_dir, "halos_a"), {k: (F.expr(c), lo, hi, n, "linear") for k, (c, lo, hi, n) in SPEC.items()})
+
+
+@query(
+    f"""SELECT i::INT AS i, j::INT AS j, count(*) AS n FROM (SELECT trunc((log10(s) - log10(1.3e-3))/((log10(9.17e-2) - log10(1.3e-3))/12)) AS i,
+  trunc((log10(m) - log10(1.3e10))/((log10(7e12) - log10(1.3e10))/12)) AS j FROM (SELECT {SPEC["spin"][0]} AS s, fof_halo_mass AS m FROM $halos_a)) WHERE i BETWEEN 0 AND 11 AND j BETWEEN 1 AND 11 GROUP BY ALL""",
+)
+def a8_spin_by_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spin over mass in logarithmic bins."""
+    return H.histogram2d_log(view(spark, sf_dir, "halos_a"), F.expr(SPEC["spin"][0]), F.col("fof_halo_mass"), 12, (1.3e-3, 9.17e-2), (1.3e10, 7e12))
 
 
 def plane_sql(src: str) -> str:
@@ -813,12 +828,28 @@ def directions(spark: SparkSession, sf_dir: str, nside: int) -> DataFrame:
     return G.with_ring_pixel(d, "x", "y", "z", nside, "idx").groupBy("idx").agg(F.count("*").alias("n"))
 
 
+LMAX = 2 * NSIDE
+#: Legendre polynomials of t by their recursion, each from the two columns before.
+LEGENDRE = ", ".join(["1e0 AS p0", "t AS p1", *[f"({2 * k - 1}*t*p{k - 1} - {k - 1}*p{k - 2})/{k}e0 AS p{k}" for k in range(2, LMAX + 1)]])
+
+
+@query(
+    f"""SELECT l::INT AS l, SIG(a) AS c_a, SIG(b) AS c_b, SIG(abs(b - a)/a) AS change FROM (SELECT unnest(range(1, {LMAX + 1})) AS l,
+  unnest([{", ".join(f"sum(u*v*p{k})*{AREA}^2/(4*pi())" for k in range(1, LMAX + 1))}]) AS a, unnest([{", ".join(f"sum(u*v*h*p{k})*{AREA}^2/(4*pi())" for k in range(1, LMAX + 1))}]) AS b FROM leg)""",
+    rings(NSIDE),
+    centres(NSIDE),
+    "dirs AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)",
+    ring("dirs", "rn", NSIDE),
+    "cnt AS (SELECT pix, px, py, pz, count(r.ring) AS n FROM pixels o LEFT JOIN rn r ON o.pix = r.ring GROUP BY ALL)",
+    "dlt AS MATERIALIZED (SELECT pix, px, py, pz, (n - m)/m AS d FROM cnt, (SELECT avg(n) AS m FROM cnt))",
+    f"two AS (SELECT p.d AS u, q.d AS v, CASE WHEN p.pix < {6 * NSIDE * NSIDE} AND q.pix < {6 * NSIDE * NSIDE} THEN 1e0 ELSE 0e0 END AS h, p.px*q.px + p.py*q.py + p.pz*q.pz AS t FROM dlt p, dlt q)",
+    f"leg AS (SELECT u, v, h, {LEGENDRE} FROM two)",
+)
 def a31_power_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Angular power spectra of all directions and of a part of them, and their change."""
     everywhere = spark.range(12 * NSIDE * NSIDE).select(F.col("id").alias("pix"), F.lit(True).alias("inside"))
     dense = M.overdensity(directions(spark, sf_dir, NSIDE), everywhere)
     upper = dense.withColumn("delta", F.when(F.col("idx") < 6 * NSIDE * NSIDE, F.col("delta")).otherwise(0.0))
-    return single(M.compare_spectra(*[M.power_spectrum(m, NSIDE, 2 * NSIDE) for m in (dense, upper)]), "c_a", "c_b", "change")
-
-
-QUERIES["a31_power_spectrum"] = a31_power_spectrum
+    found = M.compare_spectra(*[M.power_spectrum(m, NSIDE, 2 * NSIDE) for m in (dense, upper)])
+    # the mean is taken off, so there is nothing at l = 0
+    return single(found.where("l > 0").select("l", "c_a", "c_b", "change"), "c_a", "c_b", "change")
