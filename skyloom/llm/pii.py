@@ -99,10 +99,10 @@ WORD_DOT_LAST = re.compile(rf"({_LABEL})(?![\w-])", re.I)
 
 DIGIT_DOT = re.compile(rf"(?<=[0-9])[ ]{{1,2}}(?:{_DOT})[ ]{{1,2}}(?=[0-9])", re.I)
 QUICK_DOT = re.compile(rf" (?:{_DOT}) ")
-QUICK_AT = re.compile(rf" (?:at|{_AT}) ")
+QUICK_AT = re.compile(" (?=(?:" + "|".join(f"{w}|{w.capitalize()}|{w.upper()}" for w in ("at", *_AT.split("|"))) + ") )")
 
 #: Quick test for spelled digits.
-DIGIT_WORDS, SPACED = frozenset(DIGITS), str.maketrans(dict.fromkeys(",.()-+[]{}<>:;!?/\"'", " "))
+DIGIT_WORDS, SPACED = frozenset(w.encode() for w in DIGITS), bytes.maketrans(b",.()-+[]{}<>:;!?/\"'", b" " * 19)
 #: No detector matches fewer digits (an address has four).
 FEWEST = 4
 
@@ -162,6 +162,11 @@ class Mapped:
     def __init__(self, text: str):
         self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
 
+    def copy(self) -> Mapped:
+        other = Mapped("")
+        other.text, other.start, other.end = self.text, list(self.start), list(self.end)
+        return other
+
     def rewrite(self, pattern: re.Pattern, by) -> None:
         """Replaces each match m by the string by(m); the new characters all stand for the whole match."""
         self.replace((*m.span(), by(m)) for m in pattern.finditer(self.text))
@@ -181,8 +186,8 @@ class Mapped:
             self.start, self.end = starts + self.start[last:], ends + self.end[last:]
 
 
-def spelled(t: str, commas: bool) -> Iterator[tuple[int, int, str]]:
-    """Edits that make digits of the spelled ones in t, and join them with digits next to them; over commas only where these are to be.
+def spelled(t: str) -> Iterator[tuple[int, int, str]]:
+    """Edits that make digits of the spelled ones in t, and join them with digits next to them.
 
     Written digits of more than one place keep what stands between them, as the detectors know it. A full stop or "dot"
     stays one if no space follows the stop; else it ends a sentence.
@@ -199,20 +204,23 @@ def spelled(t: str, commas: bool) -> Iterator[tuple[int, int, str]]:
                 yield *p.span(), DIGITS[p[2].lower()]
             elif p[4] and (p[4].strip().isalpha() or p[4] == "."):
                 yield *p.span(), "."
-            elif p[4] and (commas or "," not in p[4]) and (parts[k - 1][2] or parts[k + 1][2] or single[k - 1] and single[k + 1]):
+            elif p[4] and (parts[k - 1][2] or parts[k + 1][2] or single[k - 1] and single[k + 1]):
                 yield *p.span(), ""
 
 
 def at_signs(t: str) -> Iterator[tuple[int, int, str]]:
     """Edits that make signs of the spelled "at"s in t, in order."""
-    found = {m.span(): "@" for m in FOREIGN_AT.finditer(t)}
-    found |= {m.span(): "@" for m in WORD_AT.finditer(t) if m[1].lower() in TOP}
-    found |= {m.span(): "@" for m in ANY_AT.finditer(t) if m[1].lower() in TOP and ODD_LOCAL.search(t, max(0, m.start() - 65), m.start())}
     last = 0
-    for (a, b), sign in sorted(found.items()):
-        if a >= last:
-            yield a, b, sign
-            last = b
+    for at in QUICK_AT.finditer(t):
+        start = at.start() - (t[at.start() - 1 : at.start()] == " ")
+        m = FOREIGN_AT.match(t, start)
+        if not m:
+            m = WORD_AT.match(t, start) or ANY_AT.match(t, start)
+            if not m or m[1].lower() not in TOP or m.re is ANY_AT and not ODD_LOCAL.search(t, max(0, start - 65), start):
+                continue
+        if start >= last:
+            yield *m.span(), "@"
+            last = m.end()
 
 
 def dot_signs(t: str) -> Iterator[tuple[int, int, str]]:
@@ -231,12 +239,8 @@ def dot_signs(t: str) -> Iterator[tuple[int, int, str]]:
         yield from ((a, b, ".") for a, b in chain)
 
 
-def rewritten(t: str, odd: bool, commas: bool) -> Mapped:
-    """t through all transducers."""
-    m = Mapped(t)
-    if odd:
-        m.rewrite(ODD, lambda x: "" if x[0] in HIDDEN else narrow(x[0]))
-    m.replace(spelled(m.text, commas))
+def rewritten(m: Mapped) -> Mapped:
+    """m through the transducers of signs."""
     m.rewrite(BRACKET_AT, lambda _: "@")
     m.replace(at_signs(m.text))
     m.rewrite(BRACKET_DOT, lambda _: ".")
@@ -247,18 +251,33 @@ def rewritten(t: str, odd: bool, commas: bool) -> Mapped:
     return m
 
 
+def readings(t: str, odd: bool, named: bool) -> Iterator[Mapped]:
+    """t through all transducers, with numbers joined over commas, and if there are such, with each by itself."""
+    m = Mapped(t)
+    if odd:
+        m.rewrite(ODD, lambda x: "" if x[0] in HIDDEN else narrow(x[0]))
+    edits = list(spelled(m.text)) if named else []
+    kept = [e for e in edits if e[2] or "," not in m.text[e[0] : e[1]]]
+    apart = m.copy() if len(kept) < len(edits) else None
+    m.replace(edits)
+    yield rewritten(m)
+    if apart:
+        apart.replace(kept)
+        yield rewritten(apart)
+
+
 def disguised(t: str, base: list[Span]) -> list[Span]:
     """Spans found only after rewriting, in source positions."""
     odd, low = not t.isascii() and bool(ODD.search(t)), t.lower()
-    named = not DIGIT_WORDS.isdisjoint(low.translate(SPACED).split()) and len(SPELLED_DIGIT.findall(t)) + len(re.findall(r"\d", t)) >= FEWEST
+    named = "plus " in low or not DIGIT_WORDS.isdisjoint(low.encode().translate(SPACED).split())
+    named = named and len(SPELLED_DIGIT.findall(t)) + len(re.findall(r"\d", t)) >= FEWEST
     signs = any(c in t for c in "[({<") and (BRACKET_AT.search(t) or BRACKET_DOT.search(t))
-    signs = signs or (QUICK_DOT.search(low) and ("@" in t or re.search("[0-9]", t))) or (QUICK_AT.search(low) and next(at_signs(t), None))
+    signs = signs or (QUICK_DOT.search(low) and ("@" in t or re.search("[0-9]", t))) or next(at_signs(t), None)
     if not (odd or named or signs):
         return []
     taken, out = [(a, b) for _, a, b in base], []
     mails = [(a, b) for kind, a, b in base if kind == "email"]
-    for commas in (True, False) if named else (True,):
-        m = rewritten(t, odd, commas)
+    for m in readings(t, odd, named):
         for kind, a, b in detect(m.text):
             x, y = m.start[a], m.end[b - 1]
             touched = [s for s in taken if x < s[1] and s[0] < y]
