@@ -6,7 +6,7 @@ that says where the directory is. Tasks write archives to the shared folder unde
 that Spark commits names the ones that count.
 
 ``MemberSource`` is a Spark data source over such a folder. Its plan is one partition for each range of ``rangeBytes`` of
-each archive in the manifest; a task reads the directory and the members that start in its range, in runs of about
+each archive in the manifest, or of more where these would be over ``mostRanges``; a task reads the directory and the members that start in its range, in runs of about
 ``batchBytes``, and hands them on as Arrow batches. A member that cannot be read or fails its CRC is read again by itself
 from its offset, with the archive opened anew, up to ``retries`` times; then the task fails, and Spark runs it again.
 
@@ -112,6 +112,7 @@ class MemberReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.folder = options["path"]
         self.range_bytes = int(options.get("rangeBytes", 16 << 20))
+        self.most_ranges = int(options.get("mostRanges", 100_000))
         self.batch_bytes = int(options.get("batchBytes", 4 << 20))
         self.retries = int(options.get("retries", 3))
 
@@ -120,11 +121,10 @@ class MemberReader(DataSourceReader):
 
         system, path = filesystem(f"{self.folder}/manifest")
         table = ds.dataset(path, filesystem=system, format="parquet").to_table(["archive", "data_bytes"])
-        return [
-            Range(archive, a, min(size, a + self.range_bytes))
-            for archive, size in zip(table["archive"].to_pylist(), table["data_bytes"].to_pylist(), strict=True)
-            for a in range(0, size, self.range_bytes)
-        ]
+        archives = list(zip(table["archive"].to_pylist(), table["data_bytes"].to_pylist(), strict=True))
+        # The plan is the driver's: ranges grow with the archives, so that their number does not.
+        step = max(self.range_bytes, -(-sum(size for _, size in archives) // self.most_ranges))
+        return [Range(archive, a, min(size, a + step)) for archive, size in archives for a in range(0, size, step)]
 
     def directory(self, system, path: str) -> np.ndarray:
         with system.open_input_file(path) as f:

@@ -1,8 +1,8 @@
 """Conflict-constrained best-fit packing of documents into sequences of fixed length.
 
 Documents are cut into pieces of at most ``capacity``; full pieces are bins of their own. The others are dealt by hash over
-shards of about ``shard_rows`` pieces, however many documents share a source or a text, and each shard is packed by itself:
-longest piece first, into the bin with the smallest residual that is large enough and has no conflict. Bins are kept in
+shards of about ``shard_rows`` pieces, however many documents share a source or a text, and each shard is packed by itself
+(with ``shard_rows=None`` all in one, exactly, in one task; README has what sharding costs): longest piece first, into the bin with the smallest residual that is large enough and has no conflict. Bins are kept in
 order of residual; the search starts at the tightest and goes on to its successors until one is compatible, and a new bin
 is opened only after the last one. Bitmaps of a bin say which sources and which duplicate clusters it holds: a cluster may
 stand in a bin once, a source ``per_source`` times (one bitmap for each time).
@@ -63,11 +63,11 @@ def pieces(docs: DataFrame, capacity: int) -> DataFrame:
     return docs.select("doc_id", "source", "cluster", F.posexplode(cut).alias("piece", "length"))
 
 
-def packed(docs: DataFrame, capacity: int = 2048, per_source: int = 2, shard_rows: int = 8192) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = 2048, per_source: int = 2, shard_rows: int | None = 8192) -> DataFrame:
     """(doc_id, piece, length, bin, start) for (doc_id, length, source, cluster)."""
     docs = docs.select("doc_id", F.greatest(F.coalesce("length", F.lit(0)), F.lit(0)).cast("long").alias("length"), "source", "cluster")
     every = saved(pieces(docs, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
-    shards = max(1, -(-every.count() // shard_rows))
+    shards = 1 if shard_rows is None else max(1, -(-every.count() // shard_rows))
     every = every.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(shards)))
     alone = every.where(F.col("length") == capacity).select(
         "doc_id", "piece", "length", (-1 - F.col("row")).alias("bin"), F.lit(0).cast("long").alias("start")

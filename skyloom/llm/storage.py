@@ -8,37 +8,49 @@ that count, so a task that is lost and run again leaves at most an unnamed file
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.folders import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset in local mode, under a temporary one."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = spark.conf.get("skyloom.local.shared", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("skyloom.local.shared", base)
-    if "://" not in base:
-        base = f"file://{base}" if base.startswith("/") else base.replace("file:/", "file:///", 1)
-    return f"{base.rstrip('/')}/skyloom-{uuid.uuid4().hex}"
+#: Folders that this session has saved tables in.
+_MADE: list[str] = []
 
 
 def saved(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """The same rows, written once as Parquet to the shared folder and read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
+    folder = shared_dir(spark)
+    path = f"{folder}/{name}"
+    _MADE.append(folder)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make returns, saved; the tables saved on the way to it are deleted, for nothing reads them any more."""
+    before = len(_MADE)
+    out = saved(make(), name)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in _MADE[before:-1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    del _MADE[before:-1]
+    return out
+
+
+def trained_dictionary(samples: list[bytes], size: int) -> bytes:
+    """A Zstandard dictionary trained on the samples; of too few of them to train on, their own content serves as one."""
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-size:]
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """For each name one that no column of df has, for columns that are put beside those of a user's table."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -11,7 +11,7 @@ One document is read by finding its block through the min/max statistics of ``fi
 out of ``data`` by the offset index, and inflating that frame alone.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are stored as often as they occur, ties in doc_id
-ordered by the frame order of their range; a null doc_id sorts first; an empty table gives an empty store; further
+ordered by a hash of the text; a null doc_id sorts first; an empty table gives an empty store; further
 columns of the input are ignored.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import text as T
-from .storage import shared_dir
+from .storage import shared_dir, trained_dictionary
 
 BLOCKS = (
     "shard int, block int, first_id long, last_id long, ids array<long>, n_tokens array<int>, offsets array<int>, "
@@ -138,20 +138,17 @@ def encoder(path: str, end_id: int, dtype: str) -> Encoder:
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, dtype: str, sample_docs: int, sample_chars: int, size: int) -> bytes:
-    """A dictionary from the serialized ids of the `sample_docs` documents of up to `sample_chars` characters with the smallest hash.
+    """A dictionary from the serialized ids of `sample_docs` documents, those with the smallest hash of the ones of up to `sample_chars` characters.
 
-    The bound is a parameter; the dictionary only affects size, never content. Too few samples give an empty dictionary.
+    Only where there are fewer of them, longer ones are cut to that length. The bounds are parameters; the dictionary only
+    affects size, never content.
     """
-    keys = docs.where(F.length("text").between(1, sample_chars)).select("doc_id", F.xxhash64("doc_id", "text").alias("h"))
-    chosen = keys.orderBy("h", "doc_id").limit(sample_docs).select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h")).distinct()
-    sample = docs.join(F.broadcast(chosen), (F.col("doc_id") == F.col("s_id")) & (F.xxhash64("doc_id", "text") == F.col("s_h")))
-    rows = [r.text.encode() for r in sample.select("text").limit(sample_docs).collect()]
-    if len(rows) < 64:
-        return b""
-    try:
-        return zstandard.train_dictionary(size, encoder(path, end_id, dtype).many(rows)).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    # keys first, so that no text is sorted
+    keys = docs.where(F.length("text") > 0).select("doc_id", (F.length("text") > sample_chars).alias("long"), F.xxhash64("doc_id", "text").alias("h"))
+    chosen = keys.orderBy("long", "h", "doc_id").limit(sample_docs).select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h")).distinct()
+    sample = docs.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.xxhash64("doc_id", "text") == F.col("s_h")))
+    rows = [r.t.encode() for r in sample.select(F.substring("text", 1, sample_chars).alias("t")).limit(sample_docs).collect()]
+    return trained_dictionary(encoder(path, end_id, dtype).many(rows), size)
 
 
 def write_store(
@@ -213,7 +210,8 @@ def write_store(
         if ids:
             yield row()
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows that are equal in both are the same row again
+    ordered = docs.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "h").drop("h")
     ordered.mapInArrow(pack, BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .storage import filesystem, new_file, saved, shared_dir
+from .storage import filesystem, new_file, saved, shared_dir, trained_dictionary
 
 SKIPPABLE = 0x184D2A5D
 #: Upper halves of the record ids of pages with and without a page_id.
@@ -84,29 +84,28 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def with_first(pages: DataFrame, least: int) -> DataFrame:
-    """(page_id, url, html, first): the smallest page_id of the pages with this payload, null where no other has it."""
+    """(page_id, url, html, first): the smallest page_id of the pages with this payload, null where that is this one."""
     pages = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     )
-    # Short payloads stay apart: their key is null, which joins nothing.
+    # Short payloads stay apart: their key is null, which joins nothing. Keys alone are brought together, and what is found
+    # goes back to the pages by their ids, so that a payload of many pages burdens no task with their html.
     key = F.when(F.octet_length("html") >= least, F.sha1("html"))
-    pages = pages.withColumn("sha", key)
-    same = pages.groupBy(F.col("sha").alias("k")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return pages.join(same, F.col("sha") == F.col("k"), "left").select("page_id", "url", "html", "first")
+    keys = pages.select("page_id", key.alias("sha"))
+    same = keys.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND sha IS NOT NULL")
+    same = saved(same.select(F.col("sha").alias("k"), "first"), "same")
+    again = keys.join(same, F.col("sha") == F.col("k")).where("NOT first <=> page_id").select(F.col("page_id").alias("a_id"), F.col("sha").alias("a_sha"), "first").distinct()
+    found = pages.withColumn("sha", key).join(saved(again, "again"), F.col("page_id").eqNullSafe(F.col("a_id")) & (F.col("sha") == F.col("a_sha")), "left")
+    return found.select("page_id", "url", "html", "first")
 
 
 def trained(pages: DataFrame, sample_pages: int, sample_chars: int, size: int) -> bytes:
-    """A dictionary from the records of the `sample_pages` pages of up to `sample_chars` characters with the smallest hash."""
-    keys = pages.where(F.length("html").between(1, sample_chars)).select("page_id", F.xxhash64("page_id", "html").alias("h"))
-    chosen = keys.orderBy("h", "page_id").limit(sample_pages).select(F.col("page_id").alias("s_id"), F.col("h").alias("s_h")).distinct()
-    sample = pages.join(F.broadcast(chosen), (F.col("page_id") == F.col("s_id")) & (F.xxhash64("page_id", "html") == F.col("s_h")))
-    rows = [page_record(r.page_id, r.url, r.html.encode(), None) for r in sample.select("page_id", "url", "html").limit(sample_pages).collect()]
-    if len(rows) < 16:
-        return b""
-    try:
-        return zstandard.train_dictionary(size, rows).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    """A dictionary from the records of `sample_pages` pages, those with the smallest hash of the ones of up to `sample_chars` characters; only where there are fewer, longer ones are cut to that length."""
+    keys = pages.where(F.length("html") > 0).select("page_id", (F.length("html") > sample_chars).alias("long"), F.xxhash64("page_id", "html").alias("h"))
+    chosen = keys.orderBy("long", "h", "page_id").limit(sample_pages).select(F.col("page_id").alias("s_id"), F.col("h").alias("s_h")).distinct()
+    sample = pages.join(F.broadcast(chosen), F.col("page_id").eqNullSafe(F.col("s_id")) & (F.xxhash64("page_id", "html") == F.col("s_h")))
+    rows = sample.select("page_id", "url", F.substring("html", 1, sample_chars).alias("html")).limit(sample_pages).collect()
+    return trained_dictionary([page_record(r.page_id, r.url, r.html.encode(), None) for r in rows], size)
 
 
 MANIFEST = "archive string, start long, end long, records int"
