@@ -2,7 +2,12 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame that works on every row its predecessor kept. All but the last
 return the columns of documents. ``run`` applies them in order and writes each result as Parquet to the shared folder,
-so that a lost executor costs at most the tasks of one stage.
+so that a lost executor costs at most the tasks of one stage. What a stage saved on its way is deleted after that.
+
+Rows, in every stage: a null text is one without words (stage 1 rejects it), a null source or language is a value of its
+own, a null doc_id is kept; rows that repeat a doc_id are documents of their own, told apart by their texts (stage 2 keeps
+one of equal ones); ties go by doc_id and a hash of the text; an empty table gives an empty result; further columns are
+kept by all stages but the last, whatever they are called.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.llm import jaccard, mixing, packing, pii, quality
-from skyloom.llm.storage import saved
+from skyloom.llm.storage import settled
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +58,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = saved(stage(spark, docs, sf_dir), f"stage{k + 1}")
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage{k + 1}")
     return docs
