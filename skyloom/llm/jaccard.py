@@ -39,12 +39,13 @@ from .storage import saved, unused
 
 
 def runs_for(recall: float, similarity: float, levels: int) -> int:
-    """Runs until two sets of that similarity have met with probability `recall`, if all levels are gone through.
+    """Runs until two sets of at least that similarity have met with probability `recall`, if all levels are gone through.
 
-    Sets of similarity s share at least 2s / (1 + s) of their mean size; each shared token is chosen by both with
-    probability 1 / (s n), so the number of tokens that both choose in a level is about Poisson with at least this mean.
+    Both sets choose a shared token if its hash is below the larger set's threshold, 1 / (s n). The larger set shares at
+    least s n of its n tokens, so the number of tokens that both choose in a level is about Poisson with a mean of at least
+    1; it is that for a set inside of another, and 2 / (1 + s) for sets of equal size.
     """
-    meet = (1 - math.exp(-2 / (1 + similarity))) ** levels
+    meet = (1 - math.exp(-1)) ** levels
     return math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
@@ -330,3 +331,15 @@ def one_of_each_group(
 
 def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All pairs that share a shingle, and the components of their links by what each document reaches.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(words[i : i + 4], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT id AS doc_id, min(other) AS class_id, (SELECT count(*) FROM e WHERE e.a = r.id) AS n_links FROM r GROUP BY id
+"""

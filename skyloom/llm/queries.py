@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, substrings, warc
+from . import jaccard, mixing, substrings, warc
 from .extract import op9_main_text
 from .jaccard import op3_near_copies
 from .media import op2_media
@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix": mixing.OP4_SQL, "op6_repeated_passages": substrings.OP6_SQL, "op8_warc": warc.OP8_SQL}
+    return {"op3_near_copies": jaccard.OP3_SQL, "op4_mix": mixing.OP4_SQL, "op6_repeated_passages": substrings.OP6_SQL, "op8_warc": warc.OP8_SQL}
