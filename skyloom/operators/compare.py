@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import physics as P
+from ..sources.folders import checkpointed
 
 
 def drop_duplicated_keys(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -94,12 +95,11 @@ def bag_diff_count(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> DataFra
     return net.agg(F.coalesce(F.sum(F.greatest("s", F.lit(0))), F.lit(0)).alias("only_a"), F.coalesce(F.sum(F.greatest(-F.col("s"), F.lit(0))), F.lit(0)).alias("only_b"))
 
 
-def match_by_position(a: DataFrame, b: DataFrame, tol: float = 0.05, mass_tol: float = 0.05, two_sided: bool = False, key: str = "tag", mass: str = "mass") -> DataFrame:
-    """(a_key, b_key, d2): one-to-one pairs whose coordinates each differ by less than tol and whose masses agree.
+def near_pairs(a: DataFrame, b: DataFrame, tol: float, mass_tol: float, two_sided: bool, key: str, mass: str) -> DataFrame:
+    """(a_key, b_key, d2) of all pairs whose coordinates each differ by less than tol and whose masses agree.
 
     Both sides are cut into cubes of edge tol; b is put into the 27 cubes around its own, so equal cubes hold every pair
-    that can match. Of the candidates, those stay that are the nearest of both their rows; equal distances go by key.
-    Rows of one key count as one, at their smallest distance.
+    that can match. Rows of one key count as one, at their smallest distance.
     """
     xyz = ("x", "y", "z")
     cube = [F.floor(F.col(c) / tol).cast("long") for c in xyz]
@@ -111,12 +111,46 @@ def match_by_position(a: DataFrame, b: DataFrame, tol: float = 0.05, mass_tol: f
     near = reduce(lambda p, q: p & q, [F.abs(v) < tol for v in d])
     change = F.try_divide(F.col("a_m") - F.col("b_m"), F.col("a_m"))
     near = near & ((F.abs(change) if two_sided else change) < mass_tol)
-    pairs = left.join(right, [f"c{c}" for c in xyz]).where(near).groupBy("a_key", "b_key").agg(F.min(P.dist2(*d)).alias("d2"))
+    return left.join(right, [f"c{c}" for c in xyz]).where(near).groupBy("a_key", "b_key").agg(F.min(P.dist2(*d)).alias("d2"))
+
+
+def mutual(pairs: DataFrame) -> DataFrame:
+    """The pairs that are the nearest of both their rows; equal distances go by key."""
     first = lambda x, y: F.row_number().over(W.partitionBy(x).orderBy("d2", y))
     ranked = pairs.withColumn("ra", first("a_key", "b_key")).withColumn("rb", first("b_key", "a_key"))
     return ranked.where("ra = 1 AND rb = 1").select("a_key", "b_key", "d2")
 
 
+def match_by_position(a: DataFrame, b: DataFrame, tol: float = 0.05, mass_tol: float = 0.05, two_sided: bool = False, key: str = "tag", mass: str = "mass") -> DataFrame:
+    """(a_key, b_key, d2): one-to-one pairs by place and mass, each the nearest of both its rows."""
+    return mutual(near_pairs(a, b, tol, mass_tol, two_sided, key, mass))
+
+
+def match_remainder(a: DataFrame, b: DataFrame, tol: float = 0.05, mass_tol: float = 0.05, two_sided: bool = False, key: str = "tag", mass: str = "mass") -> DataFrame:
+    """(a_key, b_key, d2): as match_by_position, then the same among the rows that are left, until no pair is left.
+
+    Each round takes at least the nearest pair of all, and mostly nearly all; what is left is checkpointed, so that plans
+    stay short.
+    """
+    left = checkpointed(near_pairs(a, b, tol, mass_tol, two_sided, key, mass))
+    found = None
+    while found is None or not left.isEmpty():
+        new = checkpointed(mutual(left))
+        found = new if found is None else found.unionByName(new)
+        left = left.join(new.select("a_key"), "a_key", "left_anti").join(new.select("b_key"), "b_key", "left_anti")
+        left = checkpointed(left.select("a_key", "b_key", "d2"))
+    return found
+
+
+def match_report(a: DataFrame, b: DataFrame, columns: tuple[str, ...], limit: float, key: str = "tag", **options) -> tuple[DataFrame, DataFrame]:
+    """(statistics with verdicts over the pairs, and (n_pairs, only_a, only_b) in keys); of a repeated key the smallest row counts."""
+    pairs = match_remainder(a, b, key=key, **options)
+    one = lambda df, s: df.groupBy(F.col(key).alias(f"{s}_key")).agg(F.min(F.struct(*columns)).alias(s))
+    both = pairs.select("a_key", "b_key").join(one(a, "a"), "a_key", "full_outer").join(one(b, "b"), "b_key", "full_outer")
+    wide = both.select(*[F.col(f"{s}.{c}").cast("double").alias(f"{s}_{c}") for s in "ab" for c in columns], F.col("a").isNotNull().alias("in_a"), F.col("b").isNotNull().alias("in_b"))
+    return verdicts(pair_statistics(wide, columns), limit), match_counts(wide)
+
+
 def compare_distributions(a: DataFrame, b: DataFrame, columns: tuple[str, ...], limit: float) -> DataFrame:
     """(var, mean_a, std_a, max_a, mean_b, std_b, max_b, row_difference, passed) without pairing rows; a NaN mean passes."""
     stacked = ", ".join(f"'{c}', cast({c} as double)" for c in columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, prefix: str = "skyloom") -> str:
@@ -22,3 +22,11 @@ def shared_dir(spark: SparkSession, prefix: str = "skyloom") -> str:
     if "://" not in base:
         base = f"file://{base}" if base.startswith("/") else base.replace("file:/", "file:///", 1)
     return f"{base.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows, written to the checkpoint folder: the session's own, where it names one."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession, "checkpoints"))
+    return df.checkpoint()

@@ -115,3 +115,42 @@ def test_repeated_halos_are_paired_once(spark):
     # 3 and 4 are as far from 5, and 3 stands twice
     b = spark.createDataFrame([(4, 7.03125, 7.0, 7.0, 1.0), (3, 6.96875, 7.0, 7.0, 1.0), (3, 6.96875, 7.0, 7.0, 1.0), (2, 1.0, 1.0, 1.0, 1.0), (2, 1.0, 1.0, 1.0, 1.0)], place)
     assert sorted(tuple(r)[:2] for r in K.match_by_position(a, b).collect()) == [(1, 2), (5, 3)]
+
+
+def test_remainder_is_matched_too(spark):
+    place = "tag long, x double, y double, z double, mass double"
+    # 1 and 2 both have 11 as their nearest; 2 loses it and takes 12
+    a = spark.createDataFrame([(1, 1.0, 0.0, 0.0, 1.0), (2, 1.02, 0.0, 0.0, 1.0), (3, 9.0, 9.0, 9.0, 1.0)], place)
+    b = spark.createDataFrame([(11, 1.005, 0.0, 0.0, 1.0), (12, 1.04, 0.0, 0.0, 1.0), (13, 5.0, 5.0, 5.0, 1.0)], place)
+    assert [tuple(r)[:2] for r in K.match_by_position(a, b).collect()] == [(1, 11)]
+    assert sorted(tuple(r)[:2] for r in K.match_remainder(a, b).collect()) == [(1, 11), (2, 12)]
+    stats, counts = K.match_report(a, b, ("x", "mass"), 0.1)
+    assert tuple(counts.first()) == (2, 1, 1)
+    assert {r["var"]: (r.n, round(r.mean_diff, 4)) for r in stats.collect()} == {"x": (2, -0.0125), "mass": (2, 0.0)}
+    assert K.match_remainder(a.limit(0), b).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 5000, 5001])
+def test_median_is_exact(spark, n):
+    rows = spark.range(n).selectExpr("1 AS step", "id AS idx", "cast((id * 7919) % 104729 AS double) AS v", "cast(id % 3 AS double) AS w", "cast(null AS double) AS none")
+    got = {r["map"]: r["median"] for r in M.map_median(rows, ("v", "w", "none")).collect()}
+    want = rows.agg(F.median("v"), F.median("w")).first()
+    assert got == {"v": want[0], "w": want[1]}
+
+
+def test_offsets_over_blocks(spark):
+    rows = spark.range(1000).selectExpr("id * id % 97 AS pix", "cast(id % 2 AS int) AS step")
+    assert sorted(map(tuple, C.pixel_offsets(rows, block_pixels=5).collect())) == sorted(map(tuple, C.pixel_offsets(rows).collect()))
+    last = C.pixel_offsets(rows, block_pixels=5).groupBy("step").agg(F.max(F.col("start_idx") + F.col("count_idx"))).collect()
+    assert sorted(tuple(r) for r in last) == [(0, 500), (1, 500)]
+
+
+def test_luminosity_by_a_table(spark):
+    table = spark.createDataFrame([(i, j, -23.0 + i + 2 * j) for i in range(2) for j in range(2)], "nh int, t int, band double")
+    row = spark.createDataFrame([(1e11, 1e6, 0.01, 0.24, 0.5, 1e5, 0.6)], "mass double, rho double, zmet double, yhe double, a double, uu double, mu double")
+    got = M.with_luminosities(row, table, {"nh": (-12.0, -8.0, 2), "t": (4.0, 8.0, 2)}, ("band",)).first()
+    k = P.Constants()
+    n_h = 1e6 * k.solar_mass / k.megaparsec**3 * k.hubble**2 / 0.125 * 0.75 / k.proton_mass
+    t = 2 / 3 * k.proton_mass / k.boltzmann * 1e10 * 0.6 * 1e5 * 0.25
+    log = -23 + (math.log10(n_h) + 12) / 4 + 2 * (math.log10(t) - 4) / 4
+    assert got.band == pytest.approx(1e5 * k.megaparsec**3 / k.hubble**3 * 0.125 * n_h**2 * 10**log, rel=1e-9)
