@@ -184,6 +184,21 @@ def same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return bag_diff_count(a.select(key), b.select(key), (key,)).select(((F.col("only_a") == 0) & (F.col("only_b") == 0)).alias("same"))
 
 
+def at_positions(df: DataFrame, key: str) -> DataFrame:
+    """(at, key): where each row of a table that is read from files stands, counted over the files in order of their names."""
+    rows = df.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"), key)
+    # one row a file
+    sizes = rows.groupBy(F.col("_file").alias("_f")).agg(F.count("*").alias("_n"))
+    starts = sizes.select("_f", F.coalesce(F.sum("_n").over(W.orderBy("_f").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return rows.join(starts, F.col("_file") == F.col("_f")).select((F.col("_start") + F.col("_row")).alias("at"), key)
+
+
+def same_order(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(n, n_different): rows of the longer table, and how many of them have another key than the row at that place in the other one."""
+    both = at_positions(a, key).join(at_positions(b, key).select("at", F.col(key).alias("_b")), "at", "full_outer")
+    return both.agg(F.count("*").alias("n"), F.count_if(~F.col(key).eqNullSafe(F.col("_b"))).alias("n_different"))
+
+
 def exact_compare(a: DataFrame, b: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
     """(var, identical, n_different, max_diff, min_diff, max_rel, min_rel) over keys that both sides hold."""
     pairs = aligned(a, b, keys, columns).where("in_a AND in_b")

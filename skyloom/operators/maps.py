@@ -33,7 +33,8 @@ def ngp_map(df: DataFrame, nside: int, keys: tuple[str, ...] = ("step",), order:
     """(keys, idx, rho, phi, vel, n): each particle on the pixel that holds it; rho is counts for each unit of solid angle."""
     pixel = G.with_ring_pixel if order == "ring" else G.with_nest_pixel
     area = 4 * math.pi / (12 * nside * nside)
-    out = pixel(with_motion(off_centre(df)), "x", "y", "z", nside, "idx").groupBy(*keys, "idx")
+    # sealed, so that the formula and what made df are not one method, too large for the JVM to compile
+    out = pixel(with_motion(G.sealed(off_centre(df), x="x", y="y", z="z")), "x", "y", "z", nside, "idx").groupBy(*keys, "idx")
     return out.agg((F.count("*") / F.lit(area)).alias("rho"), F.sum("phi").alias("phi"), F.sum("_v").alias("vel"), F.count("*").alias("n"))
 
 

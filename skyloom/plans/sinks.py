@@ -172,3 +172,14 @@ def s25_selected_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = view(spark, sf_dir, "id_list")
     io.write_steps(view(spark, sf_dir, "membership_a").join(ids, "fof_halo_tag"), path)
     return io.scan_steps(spark, path, columns=["step", "fof_halo_tag", "id"])
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (fof_halo_count % 9 = 4) AS n_different FROM $halos_a")
+def j12_row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether two tables hold the same tags row by row, both written in one order."""
+    a = view(spark, sf_dir, "halos_a").select("k", "fof_halo_tag", "fof_halo_count").orderBy("k", "fof_halo_tag")
+    b = a.withColumn("fof_halo_tag", F.col("fof_halo_tag") + F.when(F.col("fof_halo_count") % 9 == 4, 1).otherwise(0))
+    paths = [shared_dir(spark), shared_dir(spark)]
+    for df, path in zip((a, b), paths, strict=True):
+        df.select("fof_halo_tag").write.parquet(path)
+    return K.same_order(*[spark.read.parquet(path) for path in paths], "fof_halo_tag")
