@@ -264,6 +264,17 @@ def a20_gas_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return single(M.gas_summary(view(spark, sf_dir, "particles")), "mean_a", "mean_temperature", "min_temperature", "max_temperature", "mean_mu")
 
 
+@query(
+    f"""SELECT SIG(avg(a)) AS mean_a, min(a) AS min_a, max(a) AS max_a, SIG(avg({T_K})) AS mean_temperature, SIG(min({T_K})) AS min_temperature, SIG(max({T_K})) AS max_temperature,
+SIG(avg(mu)) AS mean_mu, min(mu) AS min_mu, max(mu) AS max_mu, count(*) AS n FROM cut WHERE mask & 4 <> 0""",
+    CUT,
+)
+def a20_halo_gas_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of the gas in the outskirts of heavy halos."""
+    cut = C.halo_cut(view(spark, sf_dir, "particles"), view(spark, sf_dir, "halos_a"), 5e11, 300.0)
+    return single(M.gas_summary(cut), "mean_a", "mean_temperature", "min_temperature", "max_temperature", "mean_mu")
+
+
 @query(
     """SELECT SIG(sum(mass*mu*uu/(x*x + y*y + z*z))) AS adiabatic, SIG(sum(mass*0.59e0*uu/(x*x + y*y + z*z))) AS constant_mu, SIG(sum(2*mass*mu*uu/(x*x + y*y + z*z))) AS ne
 FROM $particles WHERE mask & 4 <> 0""",
@@ -741,14 +752,22 @@ def a27_ratio_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT rule, violations, n AS rows FROM (SELECT count(*) AS n, count(*) FILTER (NOT fof_halo_count >= 20) AS a, count(*) FILTER (NOT fof_halo_mass > 0) AS b,
-  count(*) FILTER (NOT ((sod_halo_mass = -101e0) = (fof_halo_count < 500))) AS c FROM $halos_a) UNPIVOT (violations FOR rule IN (a AS 'minimum count', b AS 'positive mass', c AS 'fill below 500'))""",
+  count(*) FILTER (NOT ((sod_halo_mass = -101e0) = (fof_halo_count < 500))) AS c, count(*) FILTER (NOT abs(fof_halo_mass/(fof_halo_count*1.1e9) - 1) < 0.5e0) AS d,
+  count(*) FILTER (NOT sqrt((fof_halo_center_x - 128.3e0)^2 + (fof_halo_center_y - 128.3e0)^2 + (fof_halo_center_z - 128.3e0)^2) < 300*sod_halo_radius) AS e,
+  (SELECT coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM $halos_a GROUP BY fof_halo_tag HAVING count(*) > 1)) AS f FROM $halos_a)
+UNPIVOT (violations FOR rule IN (a AS 'minimum count', b AS 'positive mass', c AS 'fill below 500', d AS 'mass by count', e AS 'near the middle', f AS 'tag stands once'))""",
 )
 def a34_catalog_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that break rules of sanity."""
+    """Rows that break rules of sanity; the view's masses follow no count, so that rule is broken often."""
+    x, y, z = (F.col(f"fof_halo_center_{c}") - 128.3 for c in "xyz")
     rules = {
         "minimum count": F.col("fof_halo_count") >= 20, "positive mass": F.col("fof_halo_mass") > 0, "fill below 500": (F.col("sod_halo_mass") == -101) == (F.col("fof_halo_count") < 500),
+        "mass by count": F.abs(F.col("fof_halo_mass") / (F.col("fof_halo_count") * 1.1e9) - 1) < 0.5, "near the middle": P.distance(x, y, z) < 300 * F.col("sod_halo_radius"),
     }
-    return K.catalog_rules(view(spark, sf_dir, "halos_a"), rules)
+    h = view(spark, sf_dir, "halos_a")
+    found = K.catalog_rules(h, rules)
+    twice = K.duplicated_keys(h.select("fof_halo_tag"), ("fof_halo_tag",)).select(F.lit("tag stands once").alias("rule"), F.col("n_duplicate_rows").alias("violations"))
+    return found.unionByName(twice.crossJoin(h.agg(F.count("*").alias("rows"))))
 
 
 def hist_sql(bin_: str, n: int, src: str, where: str = "true") -> str:
