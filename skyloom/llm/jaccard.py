@@ -99,7 +99,8 @@ def buckets(sets: DataFrame, runs: int, levels: int, limit: int) -> DataFrame:
     open_ = every.where("level = 0").select(F.xxhash64("run", "pick").alias("bucket"), "id", "run")
     done = None
     for k in range(levels):
-        sizes = open_.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        # written first, so that Spark can split a hot bucket in the join
+        sizes = saved(open_.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), f"sizes{k}")
         open_ = open_.join(sizes, "bucket")
         if k < levels - 1:
             open_ = saved(open_, f"level{k}")
