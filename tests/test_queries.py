@@ -1,6 +1,7 @@
 import pytest
 
 from skyloom.plans import queries as Q
+from skyloom.plans import sinks  # noqa: F401  registers its queries too
 from tests.compare import connect, same
 
 SF = "/root/testdata/sf0.001"
