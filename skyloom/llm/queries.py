@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import jaccard, mixing, substrings, warc
+from .alignment import op11_token_alignment
 from .extract import op9_main_text
 from .jaccard import op3_near_copies
 from .media import op2_media
@@ -20,6 +21,7 @@ from .warc import op8_warc
 
 QUERIES = (
     op1_token_store, op2_media, op3_near_copies, op4_mix, op5_robust_outliers, op6_repeated_passages, op7_best_fit, op8_warc, op9_main_text, op10_pii,
+    op11_token_alignment,
 )
 
 
