@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, substrings, warc
+from . import chat, jaccard, mixing, substrings, warc
 from .alignment import op11_token_alignment
+from .chat import op13_chat
 from .extract import op9_main_text
 from .jaccard import op3_near_copies
 from .media import op2_media
@@ -21,7 +22,7 @@ from .warc import op8_warc
 
 QUERIES = (
     op1_token_store, op2_media, op3_near_copies, op4_mix, op5_robust_outliers, op6_repeated_passages, op7_best_fit, op8_warc, op9_main_text, op10_pii,
-    op11_token_alignment,
+    op11_token_alignment, op13_chat,
 )
 
 
@@ -30,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_copies": jaccard.OP3_SQL, "op4_mix": mixing.OP4_SQL, "op6_repeated_passages": substrings.OP6_SQL, "op8_warc": warc.OP8_SQL}
+    return {"op3_near_copies": jaccard.OP3_SQL, "op4_mix": mixing.OP4_SQL, "op6_repeated_passages": substrings.OP6_SQL, "op8_warc": warc.OP8_SQL, "op13_chat": chat.OP13_SQL}
