@@ -16,13 +16,14 @@ from .mixing import op4_mix
 from .packing import op7_best_fit
 from .pii import op10_pii
 from .quality import op5_robust_outliers
+from .repair import op12_repair
 from .substrings import op6_repeated_passages
 from .token_store import op1_token_store
 from .warc import op8_warc
 
 QUERIES = (
     op1_token_store, op2_media, op3_near_copies, op4_mix, op5_robust_outliers, op6_repeated_passages, op7_best_fit, op8_warc, op9_main_text, op10_pii,
-    op11_token_alignment, op13_chat,
+    op11_token_alignment, op12_repair, op13_chat,
 )
 
 
