@@ -23,11 +23,11 @@ def stepped(df: DataFrame, drop: bool, **steps: str) -> DataFrame:
     return sealed(df, **{last: steps[last]}).drop(*before) if drop else df
 
 
-def sealed(df: DataFrame, **last: str) -> DataFrame:
+def sealed(df: DataFrame, **last: str | Column) -> DataFrame:
     """Adds expressions by a generator of one row. Catalyst pushes no filter through it: one on a pixel, such as the one
     that it adds for a join, would else be pushed down as the whole formula, at each of its steps anew."""
-    fields = ", ".join(f"'{n}', {t}" for n, t in last.items())
-    return df.select(*[F.col(c) for c in df.columns if c not in last], F.inline_outer(F.expr(f"array(named_struct({fields}))")))
+    fields = [(F.expr(t) if isinstance(t, str) else t).alias(n) for n, t in last.items()]
+    return df.select(*[F.col(c) for c in df.columns if c not in last], F.inline_outer(F.array(F.struct(*fields))))
 
 
 def _direction(x: str, y: str, z: str, n: int) -> dict[str, str]:

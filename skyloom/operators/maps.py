@@ -16,6 +16,8 @@ from ..functions import physics as P
 
 #: Of each map quantity, the weight of a particle: columns of particle tables.
 GRAVITY = {"rho": "1D", "phi": "phi", "vel": "_v"}
+#: Bytes that the packed form of a table may take, of which each executor holds a copy.
+PACKED_BYTES = 1 << 30
 
 
 def with_motion(df: DataFrame) -> DataFrame:
@@ -205,17 +207,21 @@ def map_median(df: DataFrame, values: tuple[str, ...], exact: bool = True, accur
     return near.groupBy("map").agg(((holds("low") + holds("high")) / 2).alias("median"))
 
 
-def with_luminosities(df: DataFrame, table: DataFrame, axes: dict[str, tuple[float, float, int]], bands: tuple[str, ...], k: P.Constants = P.Constants()) -> DataFrame:
-    """df with the luminosities of its rows in the bands, from a table of log10(L / nH^2) on a grid.
+def with_luminosities(
+    df: DataFrame, table: DataFrame, axes: dict[str, tuple[float, float, int]], bands: tuple[str, ...], k: P.Constants = P.Constants(), is_gas: Column | None = None, packed_bytes: int = PACKED_BYTES
+) -> DataFrame:
+    """df with the luminosities of its rows in the bands, from a table of log10(L / nH^2) on a grid; null for what is no gas of a positive temperature.
 
     The table's index columns are among a (scale factor), yp (metal-free helium fraction), r (metals to the sun's), nh and t
-    (logarithms of hydrogen density and temperature); axes gives the range and the number of points of each.
+    (logarithms of hydrogen density and temperature); axes gives the range and the number of points of each. With a as
+    the first axis, a row meets only the two time slices around its own.
     """
     state = P.gas_state(*[F.col(c) for c in ("mass", "rho", "zmet", "yhe", "a")], k)
     t = P.gas_temperature(F.col("uu"), F.col("mu"), F.col("a"), k)
+    hot = (P.has_bit(F.col("mask")) if is_gas is None else is_gas) & (t > 0)
     at = {"a": F.col("a"), "yp": state["helium_ratio"], "r": P.metal_ratio(F.col("zmet"), state["hydrogen"]), "nh": F.log10(state["n_h"]), "t": F.log10(t)}
-    found = grid_interpolate(df.withColumn("_row", F.monotonically_increasing_id()), table, {n: (at[n], *axes[n]) for n in axes}, bands, (*df.columns, "_row"))
-    return found.select(*df.columns, *[P.luminosity(state["volume"], state["n_h"], F.col(b)).alias(b) for b in bands])
+    found = grid_interpolate(df, table, {n: (F.when(hot, at[n]), *axes[n]) for n in axes}, bands, tuple(df.columns), packed_bytes)
+    return G.sealed(found, **{b: P.luminosity(state["volume"], state["n_h"], F.col(b)) for b in bands})
 
 
 def map_rms(df: DataFrame, values: tuple[str, ...], npix: int) -> DataFrame:
@@ -240,29 +246,83 @@ def rescale_map(df: DataFrame, kind: str, nside: int, particle_mass: float = 1.0
     raise ValueError("kind is 'go' or 'hydro'")
 
 
-def grid_interpolate(df: DataFrame, table: DataFrame, axes: dict[str, tuple[Column, float, float, int]], values: tuple[str, ...], key: tuple[str, ...]) -> DataFrame:
+def grid_interpolate(
+    df: DataFrame, table: DataFrame, axes: dict[str, tuple[Column, float, float, int]], values: tuple[str, ...], key: tuple[str, ...], packed_bytes: int = PACKED_BYTES
+) -> DataFrame:
     """(key, values): multi-linear interpolation of a gridded table at each row of df.
 
-    axes gives, for each index column of the table, (value, lo, hi, n). Each row becomes its 2^d corners with weights; one
-    join on the indices and one sum bring them together. Values outside of the grid are taken at its edge. A cell with a
-    corner that the table lacks has null values.
+    axes gives, for each index column of the table, (value, lo, hi, n). Values outside of the grid are taken at its edge; a
+    null or NaN coordinate gives nulls, and so does a cell with a corner of some weight that the table lacks. Of repeated
+    grid points the largest values count.
+
+    The table is packed along its first axis: a row for each pair of neighbouring slices, with an array for each slice and
+    value. A row of df meets its pair by one broadcast join and picks its corners by index arithmetic, so rows are neither
+    multiplied nor shuffled. The size follows from axes and values alone; a table of more than packed_bytes is joined corner
+    by corner.
     """
-    df = df.select(*key, *[c.cast("double").alias(f"_{n}") for n, (c, *_) in axes.items()])
+    n_first, *rest = [n for _, _, _, n in axes.values()]
+    cells = math.prod(rest)
+    place = {n: (f"_{n}_i", f"_{n}_f") for n in axes}
+    # Each sealed step is a method of its own; together they would be too large for the JVM to compile.
+    df = G.sealed(df, **{f"_{n}": c.cast("double") for n, (c, *_) in axes.items()})
     for n, (_, lo, hi, size) in axes.items():
-        df = df.withColumn(f"_{n}", F.least(F.greatest((F.col(f"_{n}") - F.lit(lo)) / F.lit((hi - lo) / (size - 1)), F.lit(0.0)), F.lit(float(size - 1))))
-        df = df.withColumn(f"_{n}_i", F.least(F.floor(f"_{n}").cast("int"), F.lit(size - 2))).withColumn(f"_{n}_f", F.col(f"_{n}") - F.col(f"_{n}_i"))
-    corners = [F.struct(F.lit(1.0).alias("w"))]
+        at = F.least(F.greatest((F.col(f"_{n}") - F.lit(float(lo))) / F.lit((hi - lo) / (size - 1)), F.lit(0.0)), F.lit(float(size - 1)))
+        df = df.withColumn(f"_{n}", F.when(F.col(f"_{n}").isNotNull() & ~F.isnan(f"_{n}"), at)).withColumn(place[n][0], F.least(F.floor(f"_{n}").cast("int"), F.lit(size - 2)))
+    df = G.sealed(df, **{c: e for n, (i, f) in place.items() for c, e in ((i, i), (f, f"_{n} - {i}"))}).drop(*[f"_{n}" for n in axes])
+    if n_first < 2 or min(rest, default=2) < 2 or 2 * n_first * cells * len(values) * 8 > packed_bytes:
+        return _interpolate_by_corners(df, table, axes, values, key)
+    first, *others = axes
+    slices = packed_slices(table, {n: axes[n][3] for n in axes}, values)
+    strides = [math.prod(rest[k + 1 :]) for k in range(len(rest))]
+    base = " + ".join(f"_{n}_i * {m}" for n, m in zip(others, strides, strict=True)) or "0"
+    out = df.withColumn("_base", F.expr(f"cast({base} as int)")).join(F.broadcast(slices), F.col(f"_{first}_i") == F.col("_slice"), "left")
+    for v in values:
+
+        def corner(k: int, at: int, v: str = v) -> str:
+            return f"get(`_p_{v}`, _base + {at})" if k == len(others) else weighed(corner(k + 1, at), corner(k + 1, at + strides[k]), f"_{others[k]}_f")
+
+        out = G.sealed(out, _before=corner(0, 0))
+        out = G.sealed(out, _after=corner(0, cells)).drop(f"_p_{v}")
+        out = out.withColumn(f"_v_{v}", F.expr(weighed("_before", "_after", f"_{first}_f"))).drop("_before", "_after")
+    return out.select(*key, *[F.col(f"_v_{v}").alias(v) for v in values])
+
+
+def weighed(low: str, high: str, f: str) -> str:
+    """Between two values; one of no weight may be missing."""
+    return f"(if({f} = 1D, 0D, {low} * (1D - {f})) + if({f} = 0D, 0D, {high} * {f}))"
+
+
+def packed_slices(table: DataFrame, sizes: dict[str, int], values: tuple[str, ...]) -> DataFrame:
+    """(_slice, _p_<value>): for each index of the first axis but the last, an array of its slice and the next one, each in order of the other indices."""
+    first, *others = sizes
+    cells = math.prod([sizes[n] for n in others])
+    flat = " + ".join([f"`{first}` * {cells}L", *[f"`{n}` * {math.prod([sizes[m] for m in others[k + 1 :]])}L" for k, n in enumerate(others)]])
+    inside = reduce(lambda a, b: a & b, [F.col(n).between(0, k - 1) for n, k in sizes.items()])
+    points = table.where(inside).select(F.expr(flat).alias("id"), *[F.col(v).cast("double").alias(v) for v in values])
+    # a row without values for every grid point, so that each has a place
+    every = table.sparkSession.range(sizes[first] * cells).select("id", *[F.lit(None).cast("double").alias(v) for v in values])
+    points = points.unionByName(every).groupBy("id").agg(*[F.max(v).alias(v) for v in values])
+    both = points.select(F.explode(F.expr(f"array(cast(id div {cells} as int), cast(id div {cells} - 1 as int))")).alias("_slice"), "id", *values)
+    rows = both.where(F.col("_slice").between(0, sizes[first] - 2)).groupBy("_slice").agg(F.array_sort(F.collect_list(F.struct("id", *values))).alias("_l"))
+    return rows.select("_slice", *[F.col("_l").getField(v).alias(f"_p_{v}") for v in values])
+
+
+def _interpolate_by_corners(df: DataFrame, table: DataFrame, axes: dict[str, tuple[Column, float, float, int]], values: tuple[str, ...], key: tuple[str, ...]) -> DataFrame:
+    """The same for a table of any size: the corners of a row as rows with weights, one join on the indices, one sum."""
     names = list(axes)
+    corners = []
     for bits in range(1 << len(names)):
         up = [bits >> k & 1 for k in range(len(names))]
         w = reduce(lambda a, b: a * b, [F.col(f"_{n}_f") if u else 1 - F.col(f"_{n}_f") for n, u in zip(names, up, strict=True)])
         corners.append(F.struct(w.alias("w"), *[(F.col(f"_{n}_i") + u).alias(f"_{n}_c") for n, u in zip(names, up, strict=True)]))
-    rows = df.select(*key, F.inline(F.array(*corners[1:])))
-    table = table.select(*[F.col(n).alias(f"_{n}_t") for n in names], *values)
-    both = rows.where("w <> 0").join(table, reduce(lambda a, b: a & b, [F.col(f"_{n}_c") == F.col(f"_{n}_t") for n in names]), "left")
+    known = reduce(lambda a, b: a & b, [F.col(f"_{n}_f").isNotNull() for n in names])  # least() passes over nulls, so an index is always there
+    rows = df.where(known).withColumn("_row", F.monotonically_increasing_id()).select("_row", *key, F.inline(F.array(*corners))).where("w <> 0")
+    table = table.groupBy(*[F.col(n).alias(f"_{n}_t") for n in names]).agg(*[F.max(F.col(v).cast("double")).alias(f"_v_{v}") for v in values])
+    both = rows.join(table, reduce(lambda a, b: a & b, [F.col(f"_{n}_c") == F.col(f"_{n}_t") for n in names]), "left")
     # A sum would pass over nulls; a missing corner must not.
     whole = lambda v: F.when(F.count(v) == F.count("*"), F.sum(F.col("w") * F.col(v)))
-    return both.groupBy(*key).agg(*[whole(v).alias(v) for v in values])
+    found = both.groupBy("_row", *key).agg(*[whole(f"_v_{v}").alias(v) for v in values])
+    return found.select(*key, *values).unionByName(df.where(~known).select(*key, *[F.lit(None).cast("double").alias(v) for v in values]))
 
 
 def overdensity(counts: DataFrame, mask: DataFrame, idx: str = "idx") -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,11 +92,49 @@ def test_positions_at_cell_borders(spark):
     assert [(r.a_key, r.b_key) for r in K.match_by_position(a, b, two_sided=True).collect()] == [(1, 7)]
 
 
-def test_grid_lookup_outside_and_missing(spark):
+@pytest.mark.parametrize("packed_bytes", [M.PACKED_BYTES, 0])
+def test_grid_lookup_outside_and_missing(spark, packed_bytes):
     table = spark.createDataFrame([(i, j, float(i + 10 * j)) for i in range(3) for j in range(2) if (i, j) != (2, 1)], "i int, j int, v double")
-    df = spark.createDataFrame([(1, 0.5, 0.5), (2, -4.0, 9.0), (3, 1.5, 0.5)], "k long, x double, y double")
-    out = M.grid_interpolate(df, table, {"i": (F.col("x"), 0, 2, 3), "j": (F.col("y"), 0, 1, 2)}, ("v",), ("k",))
-    assert {r.k: r.v for r in out.collect()} == {1: 5.5, 2: 10.0, 3: None}
+    table = table.unionByName(table.where("i = 0"))  # a grid point that is there twice
+    nan = float("nan")
+    rows = [(1, 0.5, 0.5), (2, -4.0, 9.0), (3, 1.5, 0.5), (4, None, 0.5), (5, 0.5, nan), (6, nan, None), (7, 2.0, 0.0), (8, 1.0, 1.0), (8, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k long, x double, y double")
+    out = M.grid_interpolate(df, table, {"i": (F.col("x"), 0, 2, 3), "j": (F.col("y"), 0, 1, 2)}, ("v",), ("k",), packed_bytes)
+    want = [(1, 5.5), (2, 10.0), (3, None), (4, None), (5, None), (6, None), (7, 2.0), (8, 11.0), (8, 11.0)]
+    assert sorted((tuple(r) for r in out.collect()), key=lambda r: r[0]) == want
+    assert out.where("v > 2 AND k = 1").count() == 1
+
+
+@pytest.mark.parametrize("packed_bytes", [M.PACKED_BYTES, 0])
+def test_grid_lookup_in_five_axes_against_numpy(spark, packed_bytes):
+    rng, sizes = np.random.default_rng(3), (3, 2, 4, 3, 5)
+    grids = {v: rng.normal(size=sizes) for v in ("v", "w")}
+    names = tuple("abcde")
+    table = spark.createDataFrame([(*map(int, at), *(float(g[at]) for g in grids.values())) for at in np.ndindex(*sizes)], "a int, b int, c int, d int, e int, v double, w double")
+    points = rng.uniform(-0.2, 1.2, (200, 5))
+    df = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(points)], "k int, " + ", ".join(f"x{n} double" for n in names))
+    out = M.grid_interpolate(df, table, {n: (F.col(f"x{n}"), 0.0, 1.0, s) for n, s in zip(names, sizes, strict=True)}, ("v", "w"), ("k",), packed_bytes)
+    at = np.clip(points, 0, 1) * (np.array(sizes) - 1)
+    low = np.minimum(at.astype(int), np.array(sizes) - 2)
+    for r in out.collect():
+        f = at[r.k] - low[r.k]
+        for v, g in grids.items():
+            want = sum(np.prod([x if u else 1 - x for x, u in zip(f, up, strict=True)]) * g[tuple(low[r.k] + up)] for up in np.ndindex(2, 2, 2, 2, 2))
+            assert r[v] == pytest.approx(want, abs=1e-12)
+    assert out.count() == 200
+
+
+def test_luminosities_cost_one_exchange(spark):
+    names = [*"xyz", "vx", "vy", "vz", "phi", "a", "mass", "uu", "mu", "rho", "zmet", "yhe"]
+    df = spark.range(8).select(*[F.lit(1.0 + k).alias(n) for k, n in enumerate(names)], F.lit(0.5).alias("a2"), F.lit(4).alias("mask"), F.lit(1).alias("step")).drop("a").withColumnRenamed("a2", "a")
+    axes = {"a": (0.0, 1.0, 3), "t": (2.0, 9.0, 4)}
+    table = spark.createDataFrame([(i, j, 1.0) for i in range(3) for j in range(4)], "a int, t int, xray4 double")
+    lum = M.with_luminosities(df, table, axes, ("xray4",))
+    assert "Exchange" not in [w for line in lum._jdf.queryExecution().executedPlan().toString().split("Broadcast")[0].splitlines() for w in line.split() if w == "Exchange"]
+    # nothing but gas of a positive temperature has one
+    for change in ({"mask": F.lit(3)}, {"uu": F.lit(0.0)}, {"mu": F.lit(-1.0)}):
+        assert M.with_luminosities(df.withColumns(change), table, axes, ("xray4",)).where("xray4 IS NOT NULL").count() == 0
+    assert lum.where("xray4 > 0").count() == 8
 
 
 def test_wide_steps(spark):
@@ -147,7 +186,7 @@ def test_offsets_over_blocks(spark):
 
 def test_luminosity_by_a_table(spark):
     table = spark.createDataFrame([(i, j, -23.0 + i + 2 * j) for i in range(2) for j in range(2)], "nh int, t int, band double")
-    row = spark.createDataFrame([(1e11, 1e6, 0.01, 0.24, 0.5, 1e5, 0.6)], "mass double, rho double, zmet double, yhe double, a double, uu double, mu double")
+    row = spark.createDataFrame([(1e11, 1e6, 0.01, 0.24, 0.5, 1e5, 0.6, 4)], "mass double, rho double, zmet double, yhe double, a double, uu double, mu double, mask int")
     got = M.with_luminosities(row, table, {"nh": (-12.0, -8.0, 2), "t": (4.0, 8.0, 2)}, ("band",)).first()
     k = P.Constants()
     n_h = 1e6 * k.solar_mass / k.megaparsec**3 * k.hubble**2 / 0.125 * 0.75 / k.proton_mass
