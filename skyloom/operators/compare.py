@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import physics as P
 from ..sources.folders import checkpointed
+from . import graph
 
 
 def drop_duplicated_keys(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -96,7 +97,7 @@ def bag_diff_count(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> DataFra
 
 
 def near_pairs(a: DataFrame, b: DataFrame, tol: float, mass_tol: float, two_sided: bool, key: str, mass: str) -> DataFrame:
-    """(a_key, b_key, d2) of all pairs whose coordinates each differ by less than tol and whose masses agree.
+    """(a_key, b_key, d2, cx, cy, cz: a cube of theirs) of all pairs whose coordinates each differ by less than tol and whose masses agree.
 
     Both sides are cut into cubes of edge tol; b is put into the 27 cubes around its own, so equal cubes hold every pair
     that can match. Rows of one key count as one, at their smallest distance.
@@ -111,7 +112,7 @@ def near_pairs(a: DataFrame, b: DataFrame, tol: float, mass_tol: float, two_side
     near = reduce(lambda p, q: p & q, [F.abs(v) < tol for v in d])
     change = F.try_divide(F.col("a_m") - F.col("b_m"), F.col("a_m"))
     near = near & ((F.abs(change) if two_sided else change) < mass_tol)
-    return left.join(right, [f"c{c}" for c in xyz]).where(near).groupBy("a_key", "b_key").agg(F.min(P.dist2(*d)).alias("d2"))
+    return left.join(right, [f"c{c}" for c in xyz]).where(near).groupBy("a_key", "b_key").agg(F.min(P.dist2(*d)).alias("d2"), *[F.min(f"c{c}").alias(f"c{c}") for c in xyz])
 
 
 def mutual(pairs: DataFrame) -> DataFrame:
@@ -126,20 +127,36 @@ def match_by_position(a: DataFrame, b: DataFrame, tol: float = 0.05, mass_tol: f
     return mutual(near_pairs(a, b, tol, mass_tol, two_sided, key, mass))
 
 
-def match_remainder(a: DataFrame, b: DataFrame, tol: float = 0.05, mass_tol: float = 0.05, two_sided: bool = False, key: str = "tag", mass: str = "mass") -> DataFrame:
+def without(pairs: DataFrame, taken: DataFrame) -> DataFrame:
+    """The pairs of which neither row is in a pair that is taken."""
+    return pairs.join(taken.select("a_key"), "a_key", "left_anti").join(taken.select("b_key"), "b_key", "left_anti").select(*pairs.columns)
+
+
+def match_remainder(
+    a: DataFrame, b: DataFrame, tol: float = 0.05, mass_tol: float = 0.05, two_sided: bool = False, key: str = "tag", mass: str = "mass", one_task: int = 1_000_000
+) -> DataFrame:
     """(a_key, b_key, d2): as match_by_position, then the same among the rows that are left, until no pair is left.
 
-    Each round takes at least the nearest pair of all, and mostly nearly all; what is left is checkpointed, so that plans
-    stay short.
+    That is the matching that takes pairs nearest first (equal distances by key), wherever both rows are free. After one
+    round of mutual nearest pairs, components of what is left are matched each in a stream of its own, so the number of
+    jobs does not grow with chains of pairs that wait for each other. Components of more than one_task pairs are not put
+    into one task: from these, rounds of mutual nearest pairs are taken off until they fall apart.
     """
     left = checkpointed(near_pairs(a, b, tol, mass_tol, two_sided, key, mass))
     found = None
-    while found is None or not left.isEmpty():
+    while True:
         new = checkpointed(mutual(left))
         found = new if found is None else found.unionByName(new)
-        left = left.join(new.select("a_key"), "a_key", "left_anti").join(new.select("b_key"), "b_key", "left_anti")
-        left = checkpointed(left.select("a_key", "b_key", "d2"))
-    return found
+        left = checkpointed(without(left, new))
+        if left.isEmpty():
+            return found
+        parts = checkpointed(graph.components(left, ("cx", "cy", "cz")))
+        large = parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > one_task)
+        small = parts.join(large, "component", "left_anti")
+        found = found.unionByName(checkpointed(graph.greedy(small)))
+        left = parts.join(large, "component", "left_semi").select(*left.columns)
+        if left.isEmpty():
+            return found
 
 
 def match_report(a: DataFrame, b: DataFrame, columns: tuple[str, ...], limit: float, key: str = "tag", **options) -> tuple[DataFrame, DataFrame]:
