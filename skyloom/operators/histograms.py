@@ -29,9 +29,14 @@ def histogram(df: DataFrame, value: Column, n: int, lo: float, hi: float, scale:
 def histogram2d_log(
     df: DataFrame, x: Column, y: Column, n: int, x_range: tuple[float, float], y_range: tuple[float, float], skip_first_y: bool = True
 ) -> DataFrame:
-    """(i, j, n): counts in log10 bins of x and y; with skip_first_y the first bin of y is left out."""
-    cells = df.select(P.log_bin(x, *x_range, n).alias("i"), P.log_bin(y, *y_range, n).alias("j"))
-    return cells.where((F.col("i") >= 0) & (F.col("j") >= (1 if skip_first_y else 0))).groupBy("i", "j").agg(F.count("*").alias("n"))
+    """(i, j, n, fraction): counts in log10 bins of x and y, also over the number of all rows, those in no bin included.
+
+    With skip_first_y the first bin of y is left out.
+    """
+    cells = df.select(P.log_bin(x, *x_range, n).alias("i"), P.log_bin(y, *y_range, n).alias("j")).groupBy("i", "j").agg(F.count("*").alias("n"))
+    total = cells.agg(F.sum("n").alias("rows"))
+    kept = cells.where((F.col("i") >= 0) & (F.col("j") >= (1 if skip_first_y else 0)))
+    return kept.crossJoin(F.broadcast(total)).select("i", "j", "n", (F.col("n") / F.col("rows")).alias("fraction"))
 
 
 def halo_histograms(df: DataFrame, spec: dict[str, tuple[Column, float, float, int, str]]) -> DataFrame:

@@ -511,10 +511,10 @@ def a21_pixel_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.pixel_offsets(G.with_ring_pixel(view(spark, sf_dir, "particles"), "x", "y", "z", NSIDE))
 
 
-@query("SELECT step, lead(step) OVER (ORDER BY step) AS next_step FROM (SELECT DISTINCT step FROM $map_sparse WHERE step <> 1994)")
+@query("SELECT step, lead(step) OVER (ORDER BY step) AS next_step FROM (SELECT DISTINCT step FROM $map_sparse)")
 def w4_next_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The step that follows each one."""
-    return C.next_steps(view(spark, sf_dir, "map_sparse").where("step <> 1994"))
+    return C.next_steps(view(spark, sf_dir, "map_sparse"))
 
 
 def md5_draw(*columns: str) -> Column:
@@ -692,10 +692,13 @@ def a3_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return single(out, "mean_a", "std_a", "max_a", "mean_b", "std_b", "max_b")
 
 
+LC_LIST = ", ".join(("id", "replication", "x", "y", "z", "vx", "vy", "vz", "a", "phi"))
+
+
 @query(
-    "FROM (SELECT 'a' AS side, p.* FROM ka p ANTI JOIN kb q USING (id, replication) UNION ALL BY NAME SELECT 'b' AS side, q.* FROM kb q ANTI JOIN ka p USING (id, replication))",
-    "ka AS MATERIALIZED (SELECT * FROM $lightcone_a)",
-    "kb AS MATERIALIZED (SELECT * FROM $lightcone_b)",
+    " UNION ALL ".join(
+        f"SELECT '{s}' AS side, {LC_LIST} FROM $lightcone_{s} p WHERE NOT EXISTS (SELECT 1 FROM $lightcone_{t} q WHERE q.id = p.id AND q.replication = p.replication)" for s, t in ("ab", "ba")
+    ),
 )
 def j11_missing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose key the other side lacks."""
@@ -794,11 +797,11 @@ def a6_log_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT i::INT AS i, j::INT AS j, count(*) AS n FROM (SELECT trunc((log10(v) - log10(0.013e0))/((log10(490e0) - log10(0.013e0))/12)) AS i,
+    """SELECT i::INT AS i, j::INT AS j, count(*) AS n, count(*)/(SELECT count(*) FROM $values)::DOUBLE AS fraction FROM (SELECT trunc((log10(v) - log10(0.013e0))/((log10(490e0) - log10(0.013e0))/12)) AS i,
   trunc((log10(m) - log10(1.3e0))/((log10(5000e0) - log10(1.3e0))/12)) AS j FROM $values WHERE m > 0) WHERE i BETWEEN 0 AND 11 AND j BETWEEN 1 AND 11 GROUP BY ALL""",
 )
 def a7_histogram2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts over value and mass in logarithmic bins."""
+    """Counts over value and mass in logarithmic bins, and what part they are of all rows."""
     return H.histogram2d_log(view(spark, sf_dir, "values"), F.col("v"), F.nullif(F.col("m"), F.lit(0.0)), 12, (0.013, 490.0), (1.3, 5000.0))
 
 
@@ -819,7 +822,7 @@ def a8_halo_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT i::INT AS i, j::INT AS j, count(*) AS n FROM (SELECT trunc((log10(s) - log10(1.3e-3))/((log10(9.17e-2) - log10(1.3e-3))/12)) AS i,
+    f"""SELECT i::INT AS i, j::INT AS j, count(*) AS n, count(*)/(SELECT count(*) FROM $halos_a)::DOUBLE AS fraction FROM (SELECT trunc((log10(s) - log10(1.3e-3))/((log10(9.17e-2) - log10(1.3e-3))/12)) AS i,
   trunc((log10(m) - log10(1.3e10))/((log10(7e12) - log10(1.3e10))/12)) AS j FROM (SELECT {SPEC["spin"][0]} AS s, fof_halo_mass AS m FROM $halos_a)) WHERE i BETWEEN 0 AND 11 AND j BETWEEN 1 AND 11 GROUP BY ALL""",
 )
 def a8_spin_by_mass(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ from ..operators import maps as M
 from ..sources import io
 from ..sources.folders import shared_dir
 from .fixtures import view
-from .queries import DENSE, KEYS, LC, MAP, query, single
-from .sql import AREA, NSIDE, ring
+from .queries import DENSE, DRAW, KEYS, LC, MAP, OCT, QUERIES, SPEC, hist_sql, md5_draw, query, single
+from .sql import AREA, NSIDE, centres, ring, rings
 
 
 @query("SELECT step, id, replication, x, vx FROM $particles WHERE step BETWEEN 1996 AND 1998")
@@ -110,6 +110,61 @@ def s17_slabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offsets.join(rows, (F.col("step") == F.col("s")) & (F.col("pixel_id") == F.col("pix"))).select("step", "pixel_id", "start_idx", "count_idx", "ids")
 
 
+@query(
+    "SELECT p.step, p.id, p.replication, p.ring AS pix, SIG(p.x) AS x FROM rn p JOIN oct o ON p.ring = o.pix WHERE o.inside",
+    rings(NSIDE),
+    centres(NSIDE),
+    OCT,
+    ring("$particles", "rn", NSIDE),
+)
+def s17_rows_by_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of an octant's pixels, read at their offsets."""
+    path = shared_dir(spark)
+    io.write_slabs(G.with_ring_pixel(view(spark, sf_dir, "particles"), "x", "y", "z", NSIDE), path, 6)
+    rows = io.read_pixels(spark, path, C.octant_mask(spark, NSIDE).where("inside"))
+    return single(rows.select("step", "id", "replication", "pix", "x"), "x")
+
+
+@query("SELECT step, idx AS place, SIG(vel) AS vel FROM dense", DENSE)
+def s13_values_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dense map read by place, which is the pixel's number."""
+    path = shared_dir(spark)
+    io.write_dense(view(spark, sf_dir, "map_sparse"), path, NSIDE, ("vel",))
+    return single(io.read_places(spark, f"{path}/vel", ["vel"]), "vel")
+
+
+@query(
+    f"""SELECT step, k, fof_halo_tag, SIG(x) AS x FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY u, k, fof_halo_tag) AS nth, count(*) OVER (PARTITION BY step) AS n
+FROM (SELECT k % 5 AS step, k, fof_halo_tag, fof_halo_center_x AS x, {DRAW} AS u FROM $halos_a)) WHERE nth <= round(n*0.15e0)""",
+)
+def s14_sample_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exact share of each step, written and read back."""
+    path = shared_dir(spark)
+    h = view(spark, sf_dir, "halos_a").select((F.col("k") % 5).alias("step"), "k", "fof_halo_tag", F.col("fof_halo_center_x").alias("x"))
+    io.write_sample(h, path, 0.15, ("k", "fof_halo_tag"), draw=md5_draw("k", "fof_halo_tag"))
+    return single(io.scan_steps(spark, path).select(F.col("step").cast("long").alias("step"), "k", "fof_halo_tag", "x"), "x")
+
+
+@query(f"SELECT bin, SIG(fraction) AS fraction FROM ({hist_sql('(v - 10e0)/(390e0/30)', 30, '$values')})")
+def s20_histogram_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A histogram as text."""
+    path = shared_dir(spark)
+    io.write_histogram(QUERIES["a4_linear_histogram"](spark, sf_dir), path)
+    return single(spark.read.csv(path, header=True, schema="bin int, fraction double"), "fraction")
+
+
+@query(
+    f"""SELECT r.i::INT AS i, c.j::INT AS j, SIG(coalesce(n, 0)/(SELECT count(*) FROM $halos_a)::DOUBLE) AS value FROM range(12) r(i) CROSS JOIN range(12) c(j) LEFT JOIN (
+  SELECT i, j, count(*) AS n FROM (SELECT trunc((log10(s) - log10(1.3e-3))/((log10(9.17e-2) - log10(1.3e-3))/12)) AS i,
+    trunc((log10(m) - log10(1.3e10))/((log10(7e12) - log10(1.3e10))/12)) AS j FROM (SELECT {SPEC["spin"][0]} AS s, fof_halo_mass AS m FROM $halos_a)) GROUP BY ALL) h ON h.i = r.i AND h.j = c.j AND h.j > 0""",
+)
+def s20_histogram2d_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spin over mass as a matrix of text, in fractions of all halos."""
+    path = shared_dir(spark)
+    io.write_histogram2d(QUERIES["a8_spin_by_mass"](spark, sf_dir), path, 12)
+    return single(io.read_histogram2d(spark, path, 12), "value")
+
+
 @query("SELECT count(*) AS n, 0::BIGINT AS n_out_of_order FROM $map_sparse")
 def o1_sorted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O1: each file of a map is in order of step and pixel."""

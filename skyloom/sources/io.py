@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from ..operators import catalog, maps
 
@@ -68,9 +69,9 @@ def write_dense(df: DataFrame, path: str, nside: int, values: tuple[str, ...], m
         full.select("step", "idx", v).write.mode(mode).partitionBy("step").parquet(f"{path}/{v}")
 
 
-def write_sample(df: DataFrame, path: str, rate: float, keys: tuple[str, ...], seed: int = 607, mode: str = "errorifexists") -> None:
-    """An exact share of each step's particles."""
-    write_steps(catalog.exact_sample(df, rate, keys, seed), path, mode)
+def write_sample(df: DataFrame, path: str, rate: float, keys: tuple[str, ...], seed: int = 607, mode: str = "errorifexists", draw: Column | None = None) -> None:
+    """An exact share of each step's particles; draw as for exact_sample."""
+    write_steps(catalog.exact_sample(df, rate, keys, seed, draw=draw), path, mode)
 
 
 def write_by_pixel(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -84,6 +85,43 @@ def write_slabs(df: DataFrame, path: str, slabs: int, mode: str = "errorifexists
     catalog.pixel_offsets(df).write.mode(mode).partitionBy("step").parquet(f"{path}/offsets")
 
 
+def file_starts(spark: SparkSession, path: str) -> DataFrame:
+    """(step, file, n, start): the files of a table partitioned by step, and the place of each one's first row within its step.
+
+    Files of a step follow each other by name, which is the order that they were written in. Counting them reads no column.
+    """
+    rows = scan(spark, path).select("step", F.col("_metadata.file_path").alias("file"))
+    sizes = rows.groupBy("step", "file").agg(F.count("*").alias("n"))
+    before = W.partitionBy("step").orderBy("file").rowsBetween(W.unboundedPreceding, -1)  # one row a file
+    return sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def read_places(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """(step, place, columns): every row with its place within its step. Of a map written by ``write_dense`` that is its pixel, whose number is not read."""
+    starts = file_starts(spark, path).select("file", "start")
+    rows = scan(spark, path).select("step", *columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return rows.join(starts, F.col("_file") == F.col("file")).select("step", (F.col("start") + F.col("_row")).alias("place"), *columns)
+
+
+def pixel_ranges(spark: SparkSession, path: str, pixels: DataFrame) -> DataFrame:
+    """(file, lo, hi): where in the files of slabs the rows of the pixels (pix) stand."""
+    offsets = scan(spark, f"{path}/offsets").join(pixels.select(F.col("pix").alias("pixel_id")).distinct(), "pixel_id", "left_semi")
+    wanted = offsets.select(F.col("step").alias("w_step"), F.col("start_idx").alias("lo"), (F.col("start_idx") + F.col("count_idx")).alias("hi"))
+    files = file_starts(spark, f"{path}/rows")
+    meets = (F.col("step") == F.col("w_step")) & (F.col("lo") < F.col("start") + F.col("n")) & (F.col("hi") > F.col("start"))
+    return files.join(wanted, meets).select("file", (F.col("lo") - F.col("start")).alias("lo"), (F.col("hi") - F.col("start")).alias("hi"))
+
+
+def read_pixels(spark: SparkSession, path: str, pixels: DataFrame) -> DataFrame:
+    """The rows of the pixels (pix) from slabs, found by their offsets: only files with some of these rows are opened, and of these only the rows at the places."""
+    ranges, every = pixel_ranges(spark, path, pixels), scan(spark, f"{path}/rows")
+    names = sorted(r.file for r in ranges.select("file").distinct().collect())  # one name a file
+    rows = spark.read.option("basePath", f"{path}/rows").schema(every.schema).parquet(*names) if names else every.where("false")
+    found = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    inside = (F.col("_file") == F.col("file")) & (F.col("_row") >= F.col("lo")) & (F.col("_row") < F.col("hi"))
+    return found.join(ranges, inside).select(*rows.columns)
+
+
 #: What the columns of a rescaled map hold.
 DESCRIPTIONS = {
     "rho": "mass density", "phi": "potential", "vel": "line-of-sight velocity", "temp": "flux-weighted temperature", "tsz": "Compton y", "ksz": "kinetic decrement",
@@ -105,14 +143,25 @@ def write_text(df: DataFrame, path: str, order: tuple[str, ...] = (), mode: str
     (df.coalesce(1) if bounded else df).write.mode(mode).csv(path, header=True)
 
 
-def write_histogram2d(df: DataFrame, path: str, n: int, mode: str = "errorifexists") -> None:
-    """(i, j, n) as a matrix of text: a line for each i."""
-    wide = df.groupBy("i").pivot("j", list(range(n))).agg(F.sum("n"))
+def write_histogram(hist: DataFrame, path: str, value: str = "fraction", mode: str = "errorifexists") -> None:
+    """(bin, value) as text, a line for each bin."""
+    write_text(hist.select("bin", value), path, ("bin",), mode, bounded=True)
+
+
+def write_histogram2d(df: DataFrame, path: str, n: int, mode: str = "errorifexists", value: str = "fraction") -> None:
+    """(i, j, value) as a matrix of text: a line for each i with its number and n values, 0 for empty cells."""
+    wide = df.groupBy("i").pivot("j", list(range(n))).agg(F.sum(value))
     every = df.sparkSession.range(n).select(F.col("id").cast("int").alias("_i"))
     out = every.join(wide, F.col("_i") == F.col("i"), "left").drop("i").fillna(0)
     write_text(out.withColumnRenamed("_i", "i"), path, ("i",), mode, bounded=True)
 
 
+def read_histogram2d(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """(i, j, value) of a matrix of text, empty cells included."""
+    wide = spark.read.csv(path, header=True, schema="i int, " + ", ".join(f"`{j}` double" for j in range(n)))
+    return wide.selectExpr("i", f"stack({n}, {', '.join(f'{j}, `{j}`' for j in range(n))}) AS (j, value)")
+
+
 def write_logs(qa: DataFrame, path: str, statistic: str, names: list[str], mode: str = "errorifexists") -> None:
     """One line for each step, one value for each map, of one statistic of map_qa."""
     write_text(qa.groupBy("step").pivot("map", names).agg(F.first(statistic)), path, ("step",), mode, bounded=True)

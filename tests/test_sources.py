@@ -56,11 +56,30 @@ def test_pixel_sinks(spark, tmp_path):
 
 def test_text_sinks(spark, tmp_path):
     cells = spark.createDataFrame([(0, 1, 5), (2, 0, 7)], "i int, j int, n long")
-    io.write_histogram2d(cells, f"{tmp_path}/h", 3)
+    io.write_histogram2d(cells, f"{tmp_path}/h", 3, value="n")
+    assert sorted(tuple(r) for r in io.read_histogram2d(spark, f"{tmp_path}/h", 3).where("value > 0").collect()) == [(0, 1, 5.0), (2, 0, 7.0)]
     lines = [r.value for r in spark.read.text(f"{tmp_path}/h").collect()]
     assert lines == ["i,0,1,2", "0,0,5,0", "1,0,0,0", "2,7,0,0"]
     m = view(spark, SF, "map_sparse")
     io.write_logs(M.map_qa(m, ("rho", "vel"), 8), f"{tmp_path}/log", "least", ["rho", "vel"])
     assert len(spark.read.text(f"{tmp_path}/log").collect()) == 1 + m.select("step").distinct().count()
     io.write_sample(view(spark, SF, "particles"), f"{tmp_path}/s", 0.1, ("id", "replication", "x"))
-    assert spark.read.parquet(f"{tmp_path}/s").count() > 0
+    sizes = {r.step: r["count"] for r in view(spark, SF, "particles").groupBy("step").count().collect()}
+    got = {r.step: r["count"] for r in spark.read.parquet(f"{tmp_path}/s").groupBy("step").count().collect()}
+    assert got == {k: (n + 5) // 10 for k, n in sizes.items()}  # halves go up
+    assert spark.read.parquet(f"{tmp_path}/s").select("id", "replication", "x").exceptAll(view(spark, SF, "particles").select("id", "replication", "x")).count() == 0
+
+
+def test_rows_are_read_at_their_offsets(spark, tmp_path):
+    rows = spark.range(2000).select((F.col("id") % 3).cast("int").alias("step"), (F.col("id") * 7919 % 40).alias("pix"), "id").repartition(5)
+    io.write_slabs(rows, f"{tmp_path}/slab", 8)
+    for wanted in ([3], [0, 39], list(range(40)), [41], [12, 13, 14]):
+        pixels = spark.createDataFrame([(p,) for p in wanted * 2], "pix long")
+        got = io.read_pixels(spark, f"{tmp_path}/slab", pixels)
+        assert sorted(r.id for r in got.collect()) == sorted(r.id for r in rows.where(F.col("pix").isin(wanted)).collect())
+    files = len(spark.read.parquet(f"{tmp_path}/slab/rows").inputFiles())
+    one = io.pixel_ranges(spark, f"{tmp_path}/slab", spark.createDataFrame([(3,)], "pix long")).collect()
+    assert len({r.file for r in one}) == 3 < files  # a file for each step
+    io.write_dense(rows.groupBy("step", F.col("pix").alias("idx")).agg(F.sum("id").cast("double").alias("v")), f"{tmp_path}/dense", 2, ("v",))
+    back = io.read_places(spark, f"{tmp_path}/dense/v", ["idx", "v"])
+    assert back.count() == 3 * 48 and back.where("place <> idx").count() == 0
