@@ -11,8 +11,8 @@ from pyspark.sql import SparkSession
 from skyloom.plans import queries as Q
 
 HEADLINE = (
-    "flagship j7_drop_repeated a14_interp_map a15_hydro_maps a19_halo_cut_maps a22_sz_map a17_map_qa j1_compare_lightcones j2_compare_halos j4_membership "
-    "j5_match_by_position j6_match_properties a3_distributions a8_halo_histograms a9_projected_counts a21_pixel_offsets o3_exact_sample j14_grid_interpolate"
+    "flagship j7_drop_repeated a14_interp_map a14_fine_map a15_hydro_maps a15_fine_maps a15_xray_maps a19_halo_cut_maps a22_sz_map a17_map_qa j1_compare_lightcones j2_compare_halos j4_membership "
+    "j5_match_by_position j5_match_counts j6_match_properties a3_distributions a8_halo_histograms a9_projected_counts a21_pixel_offsets o3_exact_sample j14_grid_interpolate"
 ).split()
 
 

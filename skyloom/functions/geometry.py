@@ -214,6 +214,46 @@ def interpolation_rows(df: DataFrame, x: str, y: str, z: str, nside: int, column
     return df.select(*columns, F.inline(F.expr("array(named_struct('pix', _pp, 'w', _wp), named_struct('pix', _pq, 'w', _wq))")))
 
 
+def _tile(band: str, k: str, size: str, shift: str, n: int, rings: int) -> str:
+    """The tile of pixel number k of a ring: its band of rings and its sector of longitude, about as wide as the band is high."""
+    least = f"greatest(least({band} * {rings}, {4 * n} - ({band} + 1) * {rings} + 1, {n}), 0L)"  # the smallest ring of the band has 4 times this many pixels; a band with a ring next to a pole is one tile
+    return f"{band} * {1 << 32}L + (2 * {k} + {shift}) * greatest(({least} - 1) * 4 div {rings}, 1L) div (2 * {size})"
+
+
+def with_tile(df: DataFrame, x: str, y: str, z: str, nside: int, rings: int, name: str = "tile") -> DataFrame:
+    """A tile near to a direction, that of its first interpolation pixel: cheaper than all four of them."""
+    n, own = nside, df.columns
+    df = stepped(df, False, **_between_rings(x, y, z, n), _i="greatest(_u, 1L)", **_ring("_i", n, "_g"), **_pair("_g"), _band=f"_i div {rings}")
+    return sealed(df, **{name: f"cast({_tile('_band', 'pmod(_gk, _gsize)', '_gsize', '_gshift', n, rings)} as long)"}).select(*own, name)
+
+
+def interpolation_tiles(df: DataFrame, x: str, y: str, z: str, nside: int, columns: list[str], rings: int) -> DataFrame:
+    """(columns, tile, near): the interpolation pixels of a direction by the tile that holds them, near is array<struct<pix, w>>.
+
+    Tiles are bands of `rings` rings cut into sectors; the caps are one tile each. Most directions have their four pixels in
+    one tile and so are one row; only at the borders of tiles they are two or more.
+    """
+    n = nside
+    df = stepped(df, False, **_between_rings(x, y, z, n)).select(*columns, "_theta", "_phi", "_u")
+    rows = {c: e for p, i in (("_a", "greatest(_u, 1L)"), ("_b", f"least(_u + 1, {4 * n - 1}L)")) for c, e in ({f"{p}i": i} | _ring(f"{p}i", n, p)).items()}
+    df = stepped(df, False, **rows, _ath="acos(_az)", _bth="acos(_bz)", **_shares(n))
+    keep = [f"{p}{c}" for p in ("_a", "_b") for c in ("i", "size", "start", "shift")]
+    df = sealed(df.select(*columns, "_phi", "_u", *keep, "_pole", *[F.col(c).alias(f"{c}_") for c in ("_ua", "_ub")]), _share_a="_ua_", _share_b="_ub_").drop("_ua_", "_ub_")
+    df = stepped(df, False, **_pair("_a"), **_pair("_b"))
+    parts = {}
+    for ring, p, u in (("above", "_a", "_share_a"), ("below", "_b", "_share_b")):
+        for c, w, k in (("p", f"(1D - {p}w)", f"pmod({p}k, {p}size)"), ("q", f"{p}w", f"pmod({p}k + 1, {p}size)")):
+            parts |= {f"{p}{c}_t": _tile(f"({p}i div {rings})", k, f"{p}size", f"{p}shift", n, rings), f"{p}{c}_x": _across(ring, f"{p}{c}", n), f"{p}{c}_y": f"{u} * {w} + _pole"}
+    df = sealed(df, **{k: f"cast({e} as {'double' if k.endswith('y') else 'long'})" for k, e in parts.items()}).select(*columns, *parts)
+    four = [k[:-2] for k in parts if k.endswith("_t")]
+    near = ", ".join(f"named_struct('pix', {c}_x, 'w', {c}_y)" for c in four)
+    marked = ", ".join(f"named_struct('t', {c}_t, 'e', named_struct('pix', {c}_x, 'w', {c}_y))" for c in four)
+    tiles = ", ".join(f"{c}_t" for c in four)
+    same = " AND ".join(f"{four[0]}_t = {c}_t" for c in four[1:])
+    split = f"transform(array_distinct(array({tiles})), t -> named_struct('tile', t, 'near', transform(filter(array({marked}), m -> m.t = t), m -> m.e)))"
+    return df.select(*columns, F.inline(F.expr(f"if({same}, array(named_struct('tile', {four[0]}_t, 'near', array({near}))), {split})")))
+
+
 def parent_pixel(nest: str | Column, levels: int) -> Column:
     """The NESTED pixel that holds this one, `levels` halvings of nside up."""
     return F.shiftright(F.col(nest) if isinstance(nest, str) else nest, 2 * levels)

@@ -165,6 +165,27 @@ def a14_interp_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return single(out.where(F.col("rho") * (4 * math.pi / (12 * NSIDE * NSIDE)) * 2 > 1e-9), "rho", "phi", "vel")
 
 
+#: A map with many more pixels than a task has rows, and the bands of rings by which its rows are dealt out.
+FINE, RINGS = 1024, 32
+
+
+def fine(df: DataFrame, **units: tuple[float, int]) -> DataFrame:
+    """Columns in these units, to so many digits. At this nside a weight is the small difference of two large numbers, so its error is absolute and single precision would show it."""
+    return df.withColumns({c: F.round(F.col(c) / F.lit(u), n) + F.lit(0.0) for c, (u, n) in units.items()})
+
+
+@query(
+    "SELECT step, pix AS idx, round(sum(w), 5) + 0e0 AS rho, round(sum(w*phi)/1e4, 5) + 0e0 AS phi, round(sum(w*{v})/1e2, 5) + 0e0 AS vel FROM it GROUP BY ALL HAVING sum(w) > 1e-6".format(v=VLOS),
+    rings(FINE),
+    interpolation("$particles", "it", FINE),
+)
+def a14_fine_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gravity-only maps over four pixels at nside 1,024, each particle shuffled once to the tile of its pixels."""
+    area = 4 * math.pi / (12 * FINE * FINE)
+    out = M.interp_map(view(spark, sf_dir, "particles"), FINE, tile_rings=RINGS)
+    return fine(out.where(F.col("rho") * area > 1e-6), rho=(1 / area, 5), phi=(1e4, 5), vel=(1e2, 5))
+
+
 @query(
     f"SELECT step, nest AS idx, SIG(count(*)*4/{AREA}) AS rho, SIG(sum(phi)) AS phi, SIG(sum({VLOS})) AS vel, count(*) AS n FROM nn GROUP BY ALL",
     nest("$particles", "nn", 2 * NSIDE),
@@ -194,6 +215,18 @@ def a15_hydro_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return single(M.hydro_maps(p, NSIDE, quantities=q, factors=UNIT, bands={"xray4": F.lit(1e44) * F.col("mu")}, least=1e-9), *q)
 
 
+@query(
+    f"""SELECT step, pix AS idx, round(sum(w*mass)/1e11, 5) + 0e0 AS rho, round(sum(CASE WHEN mask & 4 <> 0 THEN w*mass*mu*uu/(x*x + y*y + z*z) ELSE 0 END)/1e14, 5) + 0e0 AS tsz,
+round(sum(CASE WHEN mask & 4 <> 0 THEN w*mass*{VLOS}/((x*x + y*y + z*z)*a) ELSE 0 END)/1e11, 5) + 0e0 AS ksz FROM it GROUP BY ALL HAVING sum(w) > 1e-6""",
+    rings(FINE),
+    interpolation("$particles", "it", FINE),
+)
+def a15_fine_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hydro maps at nside 1,024 by tiles."""
+    out = M.hydro_maps(view(spark, sf_dir, "particles"), FINE, quantities=("rho", "tsz", "ksz"), factors=UNIT, least=1e-6, tile_rings=RINGS)
+    return fine(out, rho=(1e11 / (4 * math.pi / (12 * FINE * FINE)), 5), tsz=(1e14, 5), ksz=(1e11, 5))
+
+
 #: A grid of log10(L / nH^2): range and points of each axis, and the slopes over the indices of each band.
 GRID5 = {"a": (0.4, 1.1, 3), "yp": (0.2, 0.4, 3), "r": (0.0, 2.0, 3), "nh": (-12.0, -8.0, 4), "t": (2.0, 8.0, 4)}
 SLOPES = {"xray1": (1, 2, 3, 4, 5), "xray2": (5, 4, 3, 2, 1), "xray3": (2, 0, 1, 0, 4), "xray4": (3, 1, 4, 1, 5)}
