@@ -152,18 +152,35 @@ def step_ranges(df: DataFrame, columns: tuple[str, ...] = ("a", "mu", "mass", "u
     return df.groupBy("step").agg(*[f(c).alias(f"{n}_{c}") for c in (*columns, "d2") for n, f in (("min", F.min), ("max", F.max))])
 
 
-def densify(df: DataFrame, nside: int, step: str | None = "step", idx: str = "idx") -> DataFrame:
-    """Every pixel of every step, zeros where the map is empty. Steps are few; pixels are generated in order, in parallel."""
-    spark, values = df.sparkSession, [c for c in df.columns if c not in (step, idx)]
-    full = spark.range(12 * nside * nside).withColumnRenamed("id", "_pix")
-    if step is None:
-        return full.join(df, F.col("_pix") == F.col(idx), "left").select(F.col("_pix").alias(idx), *values).fillna(0, values)
-    steps = df.select(F.col(step).alias("_step")).distinct()
-    # A row for each step and pixel is what the result is; the list of steps is made on each pixel's side.
-    listed = steps.agg(F.sort_array(F.collect_set("_step")).alias("_steps"))
-    every = full.crossJoin(F.broadcast(listed)).select("_pix", F.explode("_steps").alias("_step"))
-    out = every.join(df, (F.col("_pix") == F.col(idx)) & (F.col("_step") == F.col(step)), "left")
-    return out.select(F.col("_step").alias(step), F.col("_pix").alias(idx), *values).fillna(0, values)
+#: Pixels of a block in which gaps are filled.
+BLOCK = 1 << 16
+
+
+def densify(df: DataFrame, nside: int, step: str | None = "step", idx: str = "idx", in_order: bool = False, block: int = BLOCK) -> DataFrame:
+    """Every pixel of every step, zeros where the map is empty. Steps are few.
+
+    Rows meet the next row of their block of pixels and make what is missing between them where they stand; one more row for
+    each block covers its beginning. So only the sparse rows and these are shuffled, never what is made of them. With
+    in_order, blocks are dealt out by range, so that each partition's pixels follow those of the one before it.
+    """
+    spark, values, npix = df.sparkSession, [c for c in df.columns if c not in (step, idx)], 12 * nside * nside
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    keys = [] if step is None else [step]
+    rows = df.where(F.col(idx).between(0, npix - 1)) if step is None else df.where(F.col(idx).between(0, npix - 1) & F.col(step).isNotNull())
+    rows = rows.select(*keys, F.col(idx).cast("long").alias("_pix"), F.lit(True).alias("_own"), *values)
+    begins = spark.range(0, npix, block).withColumnRenamed("id", "_pix")
+    if step is not None:
+        listed = df.agg(F.sort_array(F.collect_set(step)).alias("_steps"))  # a row for each step and block, a few for each gap
+        begins = begins.crossJoin(F.broadcast(listed)).select(F.explode("_steps").alias(step), "_pix")
+    begins = begins.select(*keys, "_pix", F.lit(False).alias("_own"), *[F.lit(None).cast(kinds[v]).alias(v) for v in values])
+    both = rows.unionByName(begins).withColumn("_block", F.expr(f"_pix div {block}"))
+    both = both.repartitionByRange(*keys, "_block") if in_order else both
+    after = F.lead("_pix").over(W.partitionBy(*keys, "_block").orderBy("_pix", "_own"))
+    both = both.withColumn("_next", F.coalesce(after, F.least((F.col("_block") + 1) * block, F.lit(npix))))
+    made = F.when(F.col("_next") > F.col("_pix"), F.sequence("_pix", F.col("_next") - 1)).when(F.col("_own"), F.array("_pix")).otherwise(F.array().cast("array<bigint>"))
+    out = both.select(*keys, "_pix", "_own", *values, F.explode(made).alias("_idx"))
+    own = F.col("_own") & (F.col("_idx") == F.col("_pix"))
+    return out.select(*keys, F.col("_idx").alias(idx), *[F.when(own, F.col(v)).alias(v) for v in values]).fillna(0, values)
 
 
 def _unpivot(df: DataFrame, values: tuple[str, ...], *keys: str) -> DataFrame:

@@ -64,7 +64,7 @@ def write_map(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def write_dense(df: DataFrame, path: str, nside: int, values: tuple[str, ...], mode: str = "errorifexists") -> None:
     """One folder for each map, every pixel in order: a row's place is its pixel."""
-    full = maps.densify(df, nside).repartitionByRange("step", "idx").sortWithinPartitions("step", "idx")
+    full = maps.densify(df, nside, in_order=True).sortWithinPartitions("step", "idx")
     for v in values:
         full.select("step", "idx", v).write.mode(mode).partitionBy("step").parquet(f"{path}/{v}")
 

@@ -1,4 +1,4 @@
-"""Maps summed by tiles of sky against maps summed by pixel."""
+"""Maps at large nside: summed by tiles of sky, and made dense without a shuffle of what is generated."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,3 +47,32 @@ def test_rows_are_shuffled_about_once(rays):
 def test_one_exchange(rays):
     plan = M.interp_map(rays, 1024, tile_rings=32)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def joined(df, nside):
+    """Dense maps by a join with all pixels."""
+    have = {}
+    for r in df.collect():
+        have.setdefault((r.step, r.idx), []).append(r.v or 0.0)
+    steps = {r.step for r in df.collect() if r.step is not None}
+    return sorted((s, p, v) for s in steps for p in range(12 * nside * nside) for v in have.get((s, p), [0.0]))
+
+
+@pytest.mark.parametrize("block", [M.BLOCK, 1, 7, 64])
+@pytest.mark.parametrize("in_order", [False, True])
+def test_gaps_are_filled(spark, block, in_order):
+    rows = [(1, 0, 5.0), (1, 1, 6.0), (1, 7, 1.0), (1, 7, 2.0), (1, 47, None), (2, 13, 3.0), (4, 900, 1.0), (5, -1, 1.0), (None, 3, 1.0), (6, None, 2.0), (2, 0, 1.5), (2, 0, 2.5)]
+    df = spark.createDataFrame(rows, "step int, idx long, v double")
+    got = M.densify(df, 2, in_order=in_order, block=block)
+    assert sorted(tuple(r) for r in got.collect()) == joined(df, 2)
+    flat = M.densify(df.where("step = 2").select("idx", "v"), 2, None, block=block)
+    assert sorted(tuple(r) for r in flat.collect()) == [(p, v) for _, p, v in joined(df.where("step = 2"), 2)]
+    assert M.densify(df.where("step > 9"), 2).count() == 0
+
+
+def test_generated_pixels_are_not_shuffled(spark):
+    df = spark.range(50).select((F.col("id") % 2).cast("int").alias("step"), (F.col("id") * 37).alias("idx"), F.lit(1.0).alias("v"))
+    lines = M.densify(df, 64)._jdf.queryExecution().executedPlan().toString().splitlines()
+    made = next(k for k, line in enumerate(lines) if "Generate" in line)
+    assert not any("Exchange" in line or "Join" in line for line in lines[:made])
+    assert M.densify(df, 64).groupBy("step").agg(F.count("*").alias("n"), F.sum("v").alias("v")).where("n <> 49152 OR v <> 25").count() == 0
