@@ -95,16 +95,18 @@ def match_properties(lightcone: DataFrame, halos: DataFrame, tag: str = "fof_hal
 
 
 def drop_repeated_next_step(df: DataFrame, keys: tuple[str, ...] = ("id", "replication"), tie: tuple[str, ...] = (), step: str = "step") -> DataFrame:
-    """Rows that do not stand in the next step again, as a bag: n copies there take away n copies here.
+    """Rows that do not stand in the next step again, as a bag: n copies there take away n copies here, the first ones by `tie`.
 
-    Copies are numbered within (step, keys) by `tie`. The next step's copies are counted, not listed, so the window holds
-    one key of one step, and the join has one row for each of these.
+    All of it is one exchange by the keys and one sort: rows are numbered along the steps of a key, and counts over the
+    steps before and over the next one turn that into the number of a copy and the number of copies to take away. Tables
+    that are bucketed by the keys (``io.write_keyed``) need no exchange. A row with a null in keys or step never repeats.
     """
-    next_ = df.groupBy((F.col(step) - 1).alias("_step"), *[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("_again"))
-    on = reduce(lambda p, q: p & q, [F.col(k) == F.col(f"_{k}") for k in (step, *keys)])
-    nth = F.row_number().over(W.partitionBy(step, *keys).orderBy(*(tie or keys)))
-    out = df.withColumn("_nth", nth).join(next_, on, "left")
-    return out.where(F.col("_nth") > F.coalesce("_again", F.lit(0))).select(*df.columns)
+    along = W.partitionBy(*keys).orderBy(step, *(tie or keys))
+    of_steps = W.partitionBy(*keys).orderBy(step)
+    out = df.withColumn("_nth", F.row_number().over(along))
+    out = out.withColumn("_before", F.count("*").over(of_steps.rangeBetween(W.unboundedPreceding, -1))).withColumn("_again", F.count("*").over(of_steps.rangeBetween(1, 1)))
+    known = reduce(lambda p, q: p & q, [F.col(k).isNotNull() for k in (step, *keys)])
+    return out.where(~known | (F.col("_nth") - F.col("_before") > F.col("_again"))).select(*df.columns)
 
 
 def repeat_report(df: DataFrame, keys: tuple[str, ...] = ("id", "replication"), step: str = "step") -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import maps as M
 from ..sources import io
 from ..sources.folders import shared_dir
 from .fixtures import view
-from .queries import DENSE, DRAW, KEYS, LC, MAP, OCT, QUERIES, SPEC, hist_sql, md5_draw, query, single
+from .queries import DENSE, DRAW, KEYS, LC, MAP, OCT, QUERIES, SPEC, SQL, TIE, hist_sql, md5_draw, query, single
 from .sql import AREA, NSIDE, centres, ring, rings
 
 
@@ -165,6 +165,24 @@ def s20_histogram2d_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return single(io.read_histogram2d(spark, path, 12), "value")
 
 
+def keyed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view in 8 buckets of its particle keys."""
+    path = shared_dir(spark)
+    return io.write_keyed(view(spark, sf_dir, name), path.rpartition("/")[2].replace("-", "_"), path, KEYS, 8)
+
+
+@query(SQL["j7_drop_repeated"])
+def j7_keyed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The difference with the next step over a table that is kept by its keys, without an exchange."""
+    return C.drop_repeated_next_step(keyed(spark, sf_dir, "particles"), KEYS, TIE)
+
+
+@query(SQL["j1_match_counts"])
+def j1_keyed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lightcones that are kept by their keys, aligned without an exchange."""
+    return K.match_counts(K.aligned(keyed(spark, sf_dir, "lightcone_a"), keyed(spark, sf_dir, "lightcone_b"), KEYS, LC))
+
+
 @query("SELECT count(*) AS n, 0::BIGINT AS n_out_of_order FROM $map_sparse")
 def o1_sorted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O1: each file of a map is in order of step and pixel."""

@@ -69,6 +69,12 @@ def write_dense(df: DataFrame, path: str, nside: int, values: tuple[str, ...], m
         full.select("step", "idx", v).write.mode(mode).partitionBy("step").parquet(f"{path}/{v}")
 
 
+def write_keyed(df: DataFrame, table: str, path: str, keys: tuple[str, ...], buckets: int) -> DataFrame:
+    """The table, written in buckets of its keys and read back. Tables with the same keys and buckets are joined, and one of them grouped, by these keys without an exchange."""
+    df.write.option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table, format="parquet")
+    return df.sparkSession.table(table)
+
+
 def write_sample(df: DataFrame, path: str, rate: float, keys: tuple[str, ...], seed: int = 607, mode: str = "errorifexists", draw: Column | None = None) -> None:
     """An exact share of each step's particles; draw as for exact_sample."""
     write_steps(catalog.exact_sample(df, rate, keys, seed, draw=draw), path, mode)

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from skyloom.operators import catalog as C
+from skyloom.operators import compare as K
 from skyloom.operators import maps as M
 from skyloom.plans.fixtures import view
 from skyloom.sources import io, schema
@@ -83,3 +85,22 @@ def test_rows_are_read_at_their_offsets(spark, tmp_path):
     io.write_dense(rows.groupBy("step", F.col("pix").alias("idx")).agg(F.sum("id").cast("double").alias("v")), f"{tmp_path}/dense", 2, ("v",))
     back = io.read_places(spark, f"{tmp_path}/dense/v", ["idx", "v"])
     assert back.count() == 3 * 48 and back.where("place <> idx").count() == 0
+
+
+def test_keyed_tables_need_no_exchange(spark, tmp_path):
+    rows = spark.range(400).select((F.col("id") % 3).cast("int").alias("step"), (F.col("id") % 50).alias("id"), F.lit(0).alias("replication"), F.col("id").alias("x"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a, b = (io.write_keyed(df, f"keyed_{n}", f"{tmp_path}/{n}", ("id", "replication"), 4) for n, df in (("a", rows), ("b", rows.where("id < 40"))))
+        pairs = K.aligned(a.dropDuplicates(["id", "replication"]), b.dropDuplicates(["id", "replication"]), ("id", "replication"), ("x",))
+        left = C.drop_repeated_next_step(a, ("id", "replication"), ("x",))
+        for df in (pairs, left):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+        assert pairs.count() == 50 and pairs.where("in_a AND in_b").count() == 40
+        plain = C.drop_repeated_next_step(rows, ("id", "replication"), ("x",))
+        assert sorted(map(tuple, left.collect())) == sorted(map(tuple, plain.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE IF EXISTS keyed_a")
+        spark.sql("DROP TABLE IF EXISTS keyed_b")
