@@ -5,8 +5,6 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -378,53 +376,6 @@ def overdensity(counts: DataFrame, mask: DataFrame, idx: str = "idx") -> DataFra
     return both.crossJoin(F.broadcast(mean)).select(F.col("pix").alias(idx), delta.alias("delta"))
 
 
-def power_spectrum(df: DataFrame, nside: int, lmax: int, value: str = "delta", idx: str = "idx", f_sky: float = 1.0) -> DataFrame:
-    """(l, c_l, scaled) of a dense RING map: scaled is l (l + 1) c_l / (2 pi f_sky).
-
-    Two grouped steps: each ring's Fourier coefficients up to lmax by an FFT (a task holds one ring, 4 nside pixels), then
-    for each m the coefficients a_lm by the recursion of the Legendre functions over the rings (one value for each ring).
-    """
-    n = nside
-    steps = {
-        "_p": f"cast({idx} as long)",
-        "ring": f"cast(case when _p < {2 * n * (n - 1)} then floor((1D + sqrt(1D + 2D * _p)) / 2D) when _p >= {12 * n * n - 2 * n * (n - 1)} then "
-        f"{4 * n} - floor((1D + sqrt(2D * ({12 * n * n} - _p) - 1D)) / 2D) else (_p - {2 * n * (n - 1)}) div {4 * n} + {n} end as int)",
-    }
-    rings = G.stepped(df.select(idx, value), False, **steps).select("ring", "_p", F.col(value).alias("v"))
-    area = 4 * math.pi / (12 * n * n)
-
-    def fourier(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_p")
-        i, v = int(pdf["ring"].iloc[0]), pdf["v"].to_numpy()
-        size = len(v)
-        shift = 0.5 if i < n or i > 3 * n or (i - n) % 2 == 0 else 0.0
-        z = 1 - i * i / (3 * n * n) if i < n else -1 + (4 * n - i) ** 2 / (3 * n * n) if i > 3 * n else (4 - 2 * i / n) / 3
-        m = np.arange(lmax + 1)
-        f = np.fft.fft(v)[m % size] * np.exp(-1j * m * shift * 2 * math.pi / size) * area
-        return pd.DataFrame({"m": m, "z": z, "re": f.real, "im": f.imag})
-
-    def legendre(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = int(pdf["m"].iloc[0])
-        pdf = pdf.sort_values("z")
-        z, f = pdf["z"].to_numpy(), pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        # log of the first function keeps high m from underflow in the product
-        log = 0.5 * (math.log((2 * m + 1) / (4 * math.pi)) + sum(math.log((2 * k - 1) / (2 * k)) for k in range(1, m + 1))) + m * 0.5 * np.log1p(-z * z)
-        before, now = np.zeros_like(z), (-1) ** m * np.exp(log)
-        out = []
-        for el in range(m, lmax + 1):
-            if el > m:
-                a = math.sqrt((4 * el * el - 1) / (el * el - m * m))
-                b = math.sqrt(((el - 1) ** 2 - m * m) / (4 * (el - 1) ** 2 - 1)) if el > m + 1 else 0.0
-                before, now = now, a * (z * now - b * before)
-            out.append((el, (1 if m == 0 else 2) * abs((now * f).sum()) ** 2))
-        return pd.DataFrame(out, columns=["l", "power"])
-
-    by_m = rings.groupBy("ring").applyInPandas(fourier, "m int, z double, re double, im double")
-    by_l = by_m.groupBy("m").applyInPandas(legendre, "l int, power double").groupBy("l").agg(F.sum("power").alias("p"))
-    c = F.col("p") / (2 * F.col("l") + 1)
-    return by_l.select("l", c.alias("c_l"), (F.col("l") * (F.col("l") + 1) * c / F.lit(2 * math.pi * f_sky)).alias("scaled"))
-
-
 def compare_spectra(a: DataFrame, b: DataFrame) -> DataFrame:
     """(l, c_a, c_b, change): |difference| over the first."""
     both = a.select("l", F.col("c_l").alias("c_a")).join(b.select("l", F.col("c_l").alias("c_b")), "l")

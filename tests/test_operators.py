@@ -8,6 +8,7 @@ from skyloom.functions import geometry as G
 from skyloom.functions import physics as P
 from skyloom.operators import catalog as C
 from skyloom.operators import compare as K
+from skyloom.operators import harmonics as S
 from skyloom.operators import histograms as H
 from skyloom.operators import maps as M
 from skyloom.plans.fixtures import view
@@ -51,11 +52,11 @@ def test_power_spectrum_of_one_harmonic(spark):
     df = G.with_direction_of_ring(spark.range(12 * n * n), "id", n)
     # Y_20 is sqrt(5 / 16 pi) (3 z^2 - 1): all power at l = 2, with c_2 = 1 / 5.
     y = df.select(F.col("id").alias("idx"), (F.lit(math.sqrt(5 / (16 * math.pi))) * (3 * F.col("vz") * F.col("vz") - 1)).alias("delta"))
-    c = {r.l: r.c_l for r in M.power_spectrum(y, n, 8).collect()}
+    c = {r.l: r.c_l for r in S.power_spectrum(y, n, 8).collect()}
     assert c[2] == pytest.approx(0.2, rel=1e-2) and max(v for k, v in c.items() if k != 2) < 1e-3
     # Y_21 real part turns with longitude.
     y = df.select(F.col("id").alias("idx"), (F.lit(math.sqrt(15 / (4 * math.pi))) * F.col("vx") * F.col("vz")).alias("delta"))
-    c = {r.l: r.c_l for r in M.power_spectrum(y, n, 8).collect()}
+    c = {r.l: r.c_l for r in S.power_spectrum(y, n, 8).collect()}
     assert c[2] == pytest.approx(0.2, rel=1e-2) and max(v for k, v in c.items() if k != 2) < 1e-3
 
 
