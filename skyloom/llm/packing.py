@@ -1,7 +1,8 @@
 """Conflict-constrained best-fit packing of documents into sequences of fixed length.
 
-Documents are cut into pieces of at most ``capacity``; full pieces are bins of their own. The others are dealt by hash over
-shards of about ``shard_rows`` pieces, however many documents share a source or a text, and each shard is packed by itself
+Documents are cut into pieces of at most ``capacity``. These are dealt over shards of about ``shard_rows`` pieces by a hash
+of what they are and of the number among equal ones, so that the packing does not depend on how the table is partitioned
+and no source or text fills a shard. Each shard is packed by itself
 (with ``shard_rows=None`` all in one, exactly, in one task; README has what sharding costs): longest piece first, into the bin with the smallest residual that is large enough and has no conflict. Bins are kept in
 order of residual; the search starts at the tightest and goes on to its successors until one is compatible, and a new bin
 is opened only after the last one. Bitmaps of a bin say which sources and which duplicate clusters it holds: a cluster may
@@ -21,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .mixing import word_count
 from .storage import saved
@@ -66,16 +68,17 @@ def pieces(docs: DataFrame, capacity: int) -> DataFrame:
 def packed(docs: DataFrame, capacity: int = 2048, per_source: int = 2, shard_rows: int | None = 8192) -> DataFrame:
     """(doc_id, piece, length, bin, start) for (doc_id, length, source, cluster)."""
     docs = docs.select("doc_id", F.greatest(F.coalesce("length", F.lit(0)), F.lit(0)).cast("long").alias("length"), "source", "cluster")
-    every = saved(pieces(docs, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    same = ("doc_id", "piece", "length", "source", "cluster")
+    # Rows that are equal in all of these are interchangeable, so their numbers depend on nothing else.
+    every = saved(pieces(docs, capacity).withColumn("copy", F.row_number().over(W.partitionBy(*same).orderBy(F.lit(0)))), "pieces")
     shards = 1 if shard_rows is None else max(1, -(-every.count() // shard_rows))
-    every = every.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(shards)))
-    alone = every.where(F.col("length") == capacity).select(
-        "doc_id", "piece", "length", (-1 - F.col("row")).alias("bin"), F.lit(0).cast("long").alias("start")
-    )
+    every = every.withColumn("shard", F.pmod(F.xxhash64(*same, "copy"), F.lit(shards)))
     empty = every.where("length = 0").select("doc_id", "piece", "length", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("start"))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True])
+        frame = frame.assign(named=frame["source"].astype("object").fillna("").astype(str))
+        frame = frame.sort_values(["length", "doc_id", "piece", "cluster", "named", "copy"], ascending=[False, True, True, True, True, True])
+        whole, frame = frame[frame["length"] == capacity], frame[frame["length"] < capacity]
         source, _ = pd.factorize(frame["source"], use_na_sentinel=False)
         cluster, _ = pd.factorize(frame["cluster"])
         # A cluster of one piece conflicts with nothing.
@@ -83,11 +86,11 @@ def packed(docs: DataFrame, capacity: int = 2048, per_source: int = 2, shard_row
         number = np.full(cluster.max(initial=0) + 2, -1)
         number[often] = np.arange(len(often))
         bins, starts = best_fit(frame["length"].tolist(), source.tolist(), number[cluster].tolist(), capacity, per_source)
-        return frame[["doc_id", "piece", "length"]].assign(bin=frame["shard"].to_numpy() * (1 << 32) + np.array(bins), start=starts)
+        first = max(bins, default=-1) + 1  # full pieces are bins of their own, after the others
+        out = pd.concat([frame.assign(bin=bins, start=starts), whole.assign(bin=np.arange(first, first + len(whole)), start=0)])
+        return out[["doc_id", "piece", "length"]].assign(bin=out["shard"].to_numpy() * (1 << 32) + out["bin"].to_numpy(np.int64), start=out["start"].to_numpy(np.int64))
 
-    part = every.where((F.col("length") > 0) & (F.col("length") < capacity))
-    part = part.groupBy("shard").applyInPandas(pack, "doc_id long, piece int, length long, bin long, start long")
-    return part.unionByName(alone).unionByName(empty)
+    return every.where("length > 0").groupBy("shard").applyInPandas(pack, "doc_id long, piece int, length long, bin long, start long").unionByName(empty)
 
 
 def packed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -136,3 +136,11 @@ def test_tables_on_the_way_are_deleted(spark):
     except FileNotFoundError:
         gone = True
     assert gone and out.agg(F.sum("id")).first()[0] == 9
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    rows = [(k % 40, f"{'w ' * (k * 37 % 600)}{k % 90}", f"s{k % 3}" if k % 5 else None) for k in range(700)] + [(7, "same text", "s1")] * 30 + [(None, "no id " * 300, None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = [Counter(map(tuple, packing.packed_documents(docs.repartition(n), capacity=256, shard_rows=64).collect())) for n in (1, 4, 7)]
+    assert found[0] == found[1] == found[2] and sum(found[0].values()) > 900
+    assert len({r[3] >> 32 for r in found[0] if r[3] is not None}) > 10
