@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,6 +138,17 @@ def with_direction_of_ring(df: DataFrame, pix: str, nside: int, names: tuple[str
     return sealed(df, **{x: "_s * cos(_phi)", y: "_s * sin(_phi)", z: "_gz"}).drop("_p", "_i", "_gj", "_gsize", "_gstart", "_gz", "_gshift", "_phi", "_s")
 
 
+def centres_of_nest(face: int, ix: np.ndarray, iy: np.ndarray, nside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors to the centres of the pixels at (ix, iy) in a base pixel, for use inside of tasks."""
+    n = nside
+    ring = (face // 4 + 2) * n - ix - iy - 1
+    cap = np.minimum(np.minimum(ring, 4 * n - ring), n)
+    z = np.where(cap < n, np.sign(2 * n - ring) * (1 - cap * cap / (3 * n * n)), (2 * n - ring) * 2 / (3 * n))
+    phi = math.pi / 4 * (face % 4 * 2 + (face // 4 != 1) + (ix - iy) / cap)
+    s = np.sqrt((1 - z) * (1 + z))
+    return s * np.cos(phi), s * np.sin(phi), z
+
+
 def with_nest_of_ring(df: DataFrame, ring: str, nside: int, name: str = "nest") -> DataFrame:
     """RING to NESTED, exact because a pixel's centre is well inside of it."""
     df = with_direction_of_ring(df, ring, nside, ("_cx", "_cy", "_cz"))

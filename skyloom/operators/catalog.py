@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -38,11 +42,56 @@ def octant_mask(spark: SparkSession, nside: int, octant: int = 0) -> DataFrame:
     return df.select("pix", ((F.col("vx") >= -1e-12) & (F.col("vy") >= -1e-12) & above).alias("inside"))
 
 
+def octant_blocks(spark: SparkSession, nside: int, octant: int = 0, edge: float = 1e-12) -> DataFrame:
+    """(lo, hi): ranges of NESTED pixels whose centres lie in an octant or within `edge` of it, hi excluded.
+
+    Each of the 12 base pixels is split on its own: a pixel far enough inside is a range, one far enough outside is none, and
+    only those that a border crosses are split again. So the work grows as nside and not as the number of pixels.
+    """
+    levels = nside.bit_length() - 1
+    # x and y, and z up or down; a centre on the plane z = 0 is in both octants, as octant_mask has it
+    least = ((0, 1, -edge), (1, 1, -edge), (2, 1 if octant == 0 else -1, -edge if edge > 1e-9 else 0.0))
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for face in batch.column("id").to_pylist():
+                pix, ix, iy, found = np.array([face], np.int64), np.array([0], np.int64), np.array([0], np.int64), []
+                for level in range(levels + 1):
+                    n, left = 1 << level, levels - level
+                    c = G.centres_of_nest(face, ix, iy, n)
+                    reach = 0.0 if left == 0 else 1.05 / n  # no centre within a pixel is farther from its own
+                    at = [np.arcsin(np.clip(s * c[k], -1, 1)) for k, s, _ in least]
+                    # at the last level the coordinate itself decides
+                    low = [s * c[k] if left == 0 else np.sin(np.maximum(a - reach, -math.pi / 2)) for a, (k, s, _) in zip(at, least, strict=True)]
+                    high = [np.sin(np.minimum(a + reach, math.pi / 2)) for a in at]
+                    inside = np.all([v >= t for v, (*_, t) in zip(low, least, strict=True)], axis=0)
+                    found += [(p << 2 * left, (p + 1) << 2 * left) for p in pix[inside].tolist()]
+                    if left == 0:
+                        break
+                    split = ~inside & np.all([v >= t for v, (*_, t) in zip(high, least, strict=True)], axis=0)
+                    bits = np.arange(4)
+                    pix, ix, iy = (v[split] for v in (pix, ix, iy))
+                    pix, ix, iy = ((m * v[:, None] + b).ravel() for m, v, b in ((4, pix, bits), (2, ix, bits & 1), (2, iy, bits >> 1)))
+                found.sort()
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in (0, 1)], ["lo", "hi"])
+
+    return spark.range(12).repartition(12).mapInArrow(descend, "lo long, hi long")
+
+
+def keep_blocks(df: DataFrame, blocks: DataFrame, key: str, nside: int, nside_low: int = 8) -> DataFrame:
+    """Rows whose NESTED pixel is in one of the blocks (lo, hi), which do not overlap; they meet by their parents at nside_low."""
+    cell = (nside // nside_low) ** 2
+    parents = F.sequence(F.expr(f"lo div {cell}"), F.expr(f"(hi - 1) div {cell}"))
+    parts = blocks.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(parents).alias("_parent"))
+    here = (F.floor(F.col(key) / cell) == F.col("_parent")) & (F.col(key) >= F.col("_lo")) & (F.col(key) < F.col("_hi"))
+    return df.join(parts, here, "left_semi")
+
+
 def octant_pixels(spark: SparkSession, nside: int, nside_hi: int, edge: float = 0.1) -> DataFrame:
     """(pix, inside) for every low-resolution RING pixel: whether a fine pixel within `edge` of the octant lies in it."""
-    fine = G.with_direction_of_ring(spark.range(12 * nside_hi * nside_hi), "id", nside_hi)
-    touching = G.with_ring_pixel(fine.where(f"vx >= -{edge} AND vy >= -{edge} AND vz >= -{edge}"), "vx", "vy", "vz", nside, "t")
-    touching = touching.select("t").distinct()
+    cell = (nside_hi // nside) ** 2
+    touching = octant_blocks(spark, nside_hi, 0, edge).select(F.explode(F.sequence(F.expr(f"lo div {cell}"), F.expr(f"(hi - 1) div {cell}"))).alias("n")).distinct()
+    touching = G.with_ring_of_nest(touching, "n", nside, "t").select("t")
     every = spark.range(12 * nside * nside).withColumnRenamed("id", "pix")
     return every.join(touching, F.col("pix") == F.col("t"), "left").select("pix", F.col("t").isNotNull().alias("inside"))
 

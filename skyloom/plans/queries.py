@@ -493,6 +493,19 @@ def f9_octant_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(ranked, F.col("p") == F.col("pix")).groupBy("step", "pix", "part").agg(F.count("*").alias("n"))
 
 
+@query(
+    "SELECT n.id, n.replication, n.step, n.nest AS pix FROM nn n WHERE n.nest IN (SELECT c.nest FROM cn c WHERE c.x >= -1e-12 AND c.y >= -1e-12 AND c.z >= 0)",
+    rings(64),
+    centres(64),
+    nest("$particles", "nn", 64),
+    nest("(SELECT px AS x, py AS y, pz AS z FROM pixels)", "cn", 64),
+)
+def f8_octant_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Particles of an octant by ranges of NESTED pixels, found by splitting border pixels only."""
+    df = G.with_nest_pixel(view(spark, sf_dir, "particles"), "x", "y", "z", 64, "pix")
+    return C.keep_blocks(df, C.octant_blocks(spark, 64), "pix", 64).select(*KEYS, "step", "pix")
+
+
 RULES = [(1991, 1992, None, 0.505), (1998, 1997, 0.6, None)]
 
 

@@ -183,6 +183,14 @@ def j1_keyed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.match_counts(K.aligned(keyed(spark, sf_dir, "lightcone_a"), keyed(spark, sf_dir, "lightcone_b"), KEYS, LC))
 
 
+@query("SELECT m.fof_halo_tag, m.id FROM $membership_a m WHERE m.fof_halo_tag IN (SELECT fof_halo_tag FROM $id_list)")
+def j10_ids_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of listed halos from the files whose ranges can hold them."""
+    path = shared_dir(spark)
+    io.write_ranged(view(spark, sf_dir, "membership_a"), path, "fof_halo_tag", 50)
+    return io.read_ids(spark, path, view(spark, sf_dir, "id_list"), "fof_halo_tag")
+
+
 @query("SELECT count(*) AS n, 0::BIGINT AS n_out_of_order FROM $map_sparse")
 def o1_sorted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O1: each file of a map is in order of step and pixel."""

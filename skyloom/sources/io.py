@@ -75,6 +75,32 @@ def write_keyed(df: DataFrame, table: str, path: str, keys: tuple[str, ...], buc
     return df.sparkSession.table(table)
 
 
+def write_ranged(df: DataFrame, path: str, key: str, files: int) -> None:
+    """Rows in `files` ranges of a key, with Bloom filters of it, and beside them the least and the most key of each file."""
+    ranged = df.repartitionByRange(files, key).sortWithinPartitions(key)
+    ranged.write.option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(f"{path}/rows")
+    rows = df.sparkSession.read.parquet(f"{path}/rows").select(F.col("_metadata.file_path").alias("file"), key)
+    rows.groupBy("file").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).write.parquet(f"{path}/ranges")
+
+
+def files_of_ids(spark: SparkSession, path: str, ids: DataFrame, key: str, cells: int = 4096) -> DataFrame:
+    """(file): files whose range may hold one of the ids, by cells of the key's whole range."""
+    ranges = scan(spark, f"{path}/ranges").where("lo IS NOT NULL")
+    whole = ranges.agg(F.min("lo").alias("_from"), F.greatest(F.ceil((F.max("hi") - F.min("lo") + 1) / cells), F.lit(1)).alias("_width"))
+    cell = lambda c: F.floor((F.col(c) - F.col("_from")) / F.col("_width"))
+    by_cell = ranges.crossJoin(F.broadcast(whole)).select("file", "lo", "hi", F.explode(F.sequence(cell("lo"), cell("hi"))).alias("_cell"))
+    wanted = ids.select(F.col(key).alias("_id")).distinct().crossJoin(F.broadcast(whole)).select("_id", cell("_id").alias("_in"))
+    return by_cell.join(wanted, (F.col("_cell") == F.col("_in")) & F.col("_id").between(F.col("lo"), F.col("hi")), "left_semi").select("file").distinct()
+
+
+def read_ids(spark: SparkSession, path: str, ids: DataFrame, key: str) -> DataFrame:
+    """The rows with these ids, from the files that may hold some of them."""
+    every = scan(spark, f"{path}/rows")
+    names = sorted(r.file for r in files_of_ids(spark, path, ids, key).collect())  # one name a file
+    rows = spark.read.schema(every.schema).parquet(*names) if names else every.where("false")
+    return rows.join(ids.select(key).distinct(), key, "left_semi").select(*every.columns)
+
+
 def write_sample(df: DataFrame, path: str, rate: float, keys: tuple[str, ...], seed: int = 607, mode: str = "errorifexists", draw: Column | None = None) -> None:
     """An exact share of each step's particles; draw as for exact_sample."""
     write_steps(catalog.exact_sample(df, rate, keys, seed, draw=draw), path, mode)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.functions import geometry as G
+from skyloom.operators import catalog as C
 
 
 @pytest.mark.parametrize("nside", [1, 2, 8])
@@ -39,3 +40,14 @@ def test_filter_on_a_pixel_stays_above_the_formula(spark):
     df = G.with_ring_pixel(spark.range(10).selectExpr("id + 1D AS x", "1D AS y", "2D AS z"), "x", "y", "z", 8).where("pix > 3")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "atan2" not in next(line for line in plan.lower().splitlines() if "filter" in line)
+
+
+@pytest.mark.parametrize(("nside", "octant", "edge"), [(1, 0, 1e-12), (4, 1, 1e-12), (16, 0, 0.1), (32, 1, 1e-12), (32, 0, 1e-12)])
+def test_octants_by_splitting_border_pixels(spark, nside, octant, edge):
+    blocks = C.octant_blocks(spark, nside, octant, edge).collect()
+    got = sorted(p for b in blocks for p in range(b.lo, b.hi))
+    mask = G.with_nest_of_ring(G.with_direction_of_ring(spark.range(12 * nside * nside).withColumnRenamed("id", "pix"), "pix", nside), "pix", nside)
+    up = "vz" if octant == 0 else "-vz"
+    inside = mask.where(f"vx >= -{edge} AND vy >= -{edge} AND {up} >= {-edge if edge > 1e-9 else 0.0}")
+    assert got == sorted(r.nest for r in inside.select("nest").collect())
+    assert len(blocks) < 40 * nside

@@ -104,3 +104,14 @@ def test_keyed_tables_need_no_exchange(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.sql("DROP TABLE IF EXISTS keyed_a")
         spark.sql("DROP TABLE IF EXISTS keyed_b")
+
+
+def test_only_files_that_may_hold_ids_are_read(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") * 3).alias("tag"), F.lit(1).alias("x"))
+    io.write_ranged(rows.repartition(4), f"{tmp_path}/r", "tag", 50)
+    assert len(spark.read.parquet(f"{tmp_path}/r/rows").inputFiles()) == 50
+    for wanted in ([3], [0, 14997], [4, 5], [-7, 10**9], [], list(range(0, 15000, 30))):
+        ids = spark.createDataFrame([(w,) for w in wanted * 2], "tag long")
+        files = io.files_of_ids(spark, f"{tmp_path}/r", ids, "tag").count()
+        assert files <= len(wanted) and (wanted != [-7, 10**9] or files == 0)
+        assert sorted(r.tag for r in io.read_ids(spark, f"{tmp_path}/r", ids, "tag").collect()) == sorted(w for w in wanted if w % 3 == 0 and 0 <= w < 15000)
