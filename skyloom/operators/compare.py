@@ -91,9 +91,29 @@ def compare_bins(a: DataFrame, b: DataFrame, tags: DataFrame, columns: tuple[str
 
 def bag_diff_count(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(only_a, only_b): rows of each side without a partner, with repeats counted. One shuffle of counts."""
-    both = a.select(*keys, F.lit(1).alias("s")).unionByName(b.select(*keys, F.lit(-1).alias("s")))
-    net = both.groupBy(*keys).agg(F.sum("s").alias("s"))
-    return net.agg(F.coalesce(F.sum(F.greatest("s", F.lit(0))), F.lit(0)).alias("only_a"), F.coalesce(F.sum(F.greatest(-F.col("s"), F.lit(0))), F.lit(0)).alias("only_b"))
+    both = a.select(*keys, F.lit(1).alias("_side")).unionByName(b.select(*keys, F.lit(-1).alias("_side")))
+    net = both.groupBy(*keys).agg(F.sum("_side").alias("_net"))
+    return net.agg(F.coalesce(F.sum(F.greatest("_net", F.lit(0))), F.lit(0)).alias("only_a"), F.coalesce(F.sum(F.greatest(-F.col("_net"), F.lit(0))), F.lit(0)).alias("only_b"))
+
+
+def bucket_digests(df: DataFrame, keys: tuple[str, ...], buckets: int) -> DataFrame:
+    """(bucket, n, d1, d2): of each bucket of keys how many rows it has and sums of two hashes of them, whatever their order."""
+    nulls = [F.col(k).isNull() for k in keys]  # which the hash passes over
+    h = F.xxhash64(*keys, *nulls)
+    sums = df.select(F.pmod(h, F.lit(buckets)).alias("bucket"), h.alias("h1"), F.xxhash64(*keys, *nulls, F.lit(1)).alias("h2")).groupBy("bucket")
+    wide = "decimal(38,0)"  # sums of 64-bit numbers
+    return sums.agg(F.count("*").alias("n"), F.sum(F.col("h1").cast(wide)).alias("d1"), F.sum(F.col("h2").cast(wide)).alias("d2"))
+
+
+def bag_diff_by_digests(a: DataFrame, b: DataFrame, keys: tuple[str, ...], buckets: int = 4096) -> DataFrame:
+    """As bag_diff_count, for tables that are mostly the same: first digests of buckets are compared, which are all that is shuffled of equal ones, then only the rows of buckets that differ."""
+    one, two = (bucket_digests(x, keys, buckets) for x in (a, b))
+    two = two.select(*[F.col(c).alias(f"_{c}") for c in two.columns])
+    same = (F.col("bucket") == F.col("_bucket")) & (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2"))
+    other = one.join(two, same, "left_anti").select("bucket").unionByName(two.join(one, same, "left_anti").select(F.col("_bucket").alias("bucket"))).distinct()
+    other = checkpointed(other.select(F.col("bucket").alias("_differs")))  # at most `buckets` numbers
+    bucket = F.pmod(F.xxhash64(*keys, *[F.col(k).isNull() for k in keys]), F.lit(buckets))
+    return bag_diff_count(*[x.join(F.broadcast(other), bucket == F.col("_differs"), "left_semi").select(*keys) for x in (a, b)], keys)
 
 
 def near_pairs(a: DataFrame, b: DataFrame, tol: float, mass_tol: float, two_sided: bool, key: str, mass: str) -> DataFrame:
@@ -198,7 +218,7 @@ def missing_distance_stats(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) ->
 
 def same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(same): whether both sides hold the same bag of keys."""
-    return bag_diff_count(a.select(key), b.select(key), (key,)).select(((F.col("only_a") == 0) & (F.col("only_b") == 0)).alias("same"))
+    return bag_diff_by_digests(a.select(key), b.select(key), (key,)).select(((F.col("only_a") == 0) & (F.col("only_b") == 0)).alias("same"))
 
 
 def at_positions(df: DataFrame, key: str) -> DataFrame:

@@ -674,6 +674,12 @@ def j4_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.bag_diff_count(view(spark, sf_dir, "membership_a"), view(spark, sf_dir, "membership_b"), ("fof_halo_tag", "id"))
 
 
+@query(SQL["j4_membership"])
+def j4_by_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts, of the buckets whose digests differ."""
+    return K.bag_diff_by_digests(view(spark, sf_dir, "membership_a"), view(spark, sf_dir, "membership_b"), ("fof_halo_tag", "id"))
+
+
 @query(
     """SELECT a_key, b_key, SIG(d2) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY a_key ORDER BY d2, b_key) AS ra, row_number() OVER (PARTITION BY b_key ORDER BY d2, a_key) AS rb FROM (
   SELECT p.k AS a_key, q.k AS b_key, min((p.fof_halo_center_x - q.fof_halo_center_x)^2 + (p.fof_halo_center_y - q.fof_halo_center_y)^2 + (p.fof_halo_center_z - q.fof_halo_center_z)^2) AS d2
