@@ -91,9 +91,9 @@ def test_nothing_to_match(spark):
 def test_bags_by_digests(spark):
     rng = random.Random(3)
     rows = [(rng.randint(0, 300) or None, rng.choice(["x", "y", None])) for _ in range(2000)]
-    a = spark.createDataFrame(rows, "k long, s string")
+    a = spark.createDataFrame(rows, "k long, s string").cache()
     for other in (rows, rows[:-1], [*rows, rows[0]], [(None, "x"), *rows], [(r[1] and r[0], r[1]) for r in rows], []):
-        b = spark.createDataFrame(other, "k long, s string").repartition(3)
+        b = spark.createDataFrame(other, "k long, s string").repartition(3).cache()
         want = K.bag_diff_count(a, b, ("k", "s")).first()
         for buckets in (1, 7, 4096) if len(other) == len(rows) + 1 else (7,):
             assert K.bag_diff_by_digests(a, b, ("k", "s"), buckets).first() == want
