@@ -1,30 +1,36 @@
 """Quality rules: base rules on words and repetition, then robust multivariate outliers.
 
-Each document that passes the base rules becomes a vector of six transformed statistics. For each language and source,
+Each document that passes the base rules becomes a vector of six transformed statistics, all of which vary among ordinary
+texts: word length, marks for a word, words equal to the one before, distinct words, word pairs seen before, and the share
+of the commonest word. A short text says less of itself, so its vector is drawn to the median of its language with the
+weight of ``weight`` words. For each language and source,
 for each language and for all documents a minimum-covariance-determinant estimate of centre and scatter is made. It has
 three starts, all with the median as centre and median absolute deviations as scales: uncorrelated, with the correlation
 of the hyperbolic tangents of the standardised statistics, and with that of their spatial signs. From each, concentration
 steps take the three quarters of the rows nearest to the present estimate and estimate anew, which never raises the
-determinant of the scatter with its floor; steps go on until no start gains by them. The start with the lowest determinant
-is kept and reweighted once.
+determinant of the scatter; steps go on until no start gains by them. The start with the lowest determinant is kept and
+reweighted once. Equal vectors of a group count once in all of this, so that copies do not narrow it.
 
 The estimate of a language is then drawn to that of all documents, and that of a language and source to its language's,
-with the weight of ``prior`` rows against its own: smoothly, and alike at every size. A document is rejected where its
-squared Mahalanobis distance to the estimate of its language and source is above the cutoff.
+with the weight of ``prior`` rows against its own: smoothly, and alike at every size. A quarter of the scatter of all
+documents is added to it (``COMMON``), so that a group of near copies does not reject what is unlike them. A document is
+rejected where its squared Mahalanobis distance to the estimate of its language and source is above the cutoff. No
+deviation is set by hand; ``FLOOR`` only keeps matrices from being singular.
 
 Estimates use every document. Only one row for each group and start reaches Python; distances and moments are Spark
 expressions. Tables of one row a group are written before they are joined. They are broadcast where there are at most
 ``few`` groups, by a count; else Spark joins them by its own choice and can split a hot group among tasks.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null language or source is a value of its
-own; repeated rows count as often as they occur, and rows of one doc_id are told apart by text, language and source; an
-empty table gives an empty result; a statistic that does not vary has the scatter given by its floor, and a group of one
-row has that row as its centre before it is drawn to its language; further columns are ignored by ``quality_verdicts`` and
+own; repeated rows each have a verdict, and rows of one doc_id are told apart by text, language and source; an empty
+table gives an empty result; a statistic that varies in no document has the scatter ``FLOOR``, and a group of one row has
+that row as its centre before it is drawn to its language; further columns are ignored by ``quality_verdicts`` and
 kept, whatever they are called, by ``good_documents``.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from operator import eq
 
@@ -37,11 +43,15 @@ from pyspark.sql import functions as F
 from . import text as T
 from .storage import saved, unused
 
-STATS = "doc_id long, h long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_same_words long, n_distinct_words long"
+STATS = "doc_id long, h long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_marks long, n_same_words long, n_distinct_words long, n_distinct_pairs long, n_commonest long"
 SYMBOLS = b"#*$%&|<>"
-#: Smallest standard deviation of each statistic: below it, a difference is not held against a document.
-FLOORS = (0.15, 0.25, 0.12, 0.08, 0.08, 0.07)
-DIMS = len(FLOORS)
+#: Bytes of ASCII signs that are no letters, digits or white space.
+MARKS = [c for c in range(33, 127) if not chr(c).isalnum()]
+#: A standard deviation that keeps matrices regular, under a tenth of that of any statistic among ordinary texts.
+FLOOR = 5e-4
+#: Share of the deviation of all documents that is added to that of each group.
+COMMON = 0.5
+DIMS = 6
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 
 
@@ -61,6 +71,12 @@ def repeated_words(tokens: list[bytes], n: int = 8) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
+def variety(tokens: list[bytes]) -> tuple[int, int, int, int]:
+    """Words equal to the one before, distinct words, distinct pairs of neighbours, and occurrences of the commonest word."""
+    seen = Counter(tokens)
+    return sum(map(eq, tokens, tokens[1:])), len(seen), len(set(zip(tokens, tokens[1:], strict=False))), max(seen.values(), default=0)
+
+
 def base_stats(batch: pa.RecordBatch) -> dict[str, pa.Array]:
     rows = []
     for t in T.texts(batch.column("text")):
@@ -68,9 +84,9 @@ def base_stats(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         of = np.bincount(np.frombuffer(t, np.uint8), minlength=256)
         lines = [x for x in t.split(b"\n") if x and not x.isspace()]
         chars = len(t) - of[128:192].sum() - of[9:14].sum() - of[32]
-        rows.append((len(tokens), chars, sum(of[s] for s in SYMBOLS), len(lines) - len(set(lines)), repeated_words(tokens), len(lines), sum(map(eq, tokens, tokens[1:])), len(set(tokens))))
+        rows.append((len(tokens), chars, sum(of[s] for s in SYMBOLS), len(lines) - len(set(lines)), repeated_words(tokens), of[MARKS].sum(), *variety(tokens)))
     cols = zip(*rows, strict=True)
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_same_words", "n_distinct_words")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_same_words", "n_distinct_words", "n_distinct_pairs", "n_commonest")
     return {c: batch.column(c) for c in ("doc_id", "h", "lang", "source")} | {c: pa.array(map(int, v), pa.int64()) for c, v in zip(names, cols, strict=True)}
 
 
@@ -86,15 +102,15 @@ def stats(docs: DataFrame) -> DataFrame:
 
 
 def vector() -> list[Column]:
-    n = F.greatest("n_words", F.lit(1))
+    n = F.greatest("n_words", F.lit(2))
     return [
-        F.log(F.greatest(F.col("word_chars") / n, F.lit(0.5))),
-        F.log1p(F.lit(10.0) * F.col("n_symbols") / n),
-        F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
-        F.col("n_repeat_words") / n,
-        F.col("n_same_words") / n,
+        F.log(F.greatest("word_chars", F.lit(1)) / n),
+        F.log((F.col("n_marks") + 1) / (n + 1)),
+        F.sqrt(F.col("n_same_words") / n),
         # the share of distinct words falls with length, the ratio of the logarithms hardly does
-        F.log(F.greatest("n_distinct_words", F.lit(1))) / F.log(F.greatest(n, F.lit(2))),
+        F.log(F.greatest("n_distinct_words", F.lit(1))) / F.log(n),
+        F.sqrt(F.greatest(1 - F.col("n_distinct_pairs") / (n - 1), F.lit(0.0))),
+        F.log(F.greatest("n_commonest", F.lit(1)) / n),
     ]
 
 
@@ -153,7 +169,7 @@ def estimates(moments: DataFrame, scale: float) -> DataFrame:
         for f in frames:
             n = f["n"].to_numpy(float)[:, None]
             mean = f[XS].to_numpy(float) / n
-            cov = scale * (square(f, "s") / n[:, :, None] - mean[:, :, None] * mean[:, None, :]) + np.diag(np.square(FLOORS))
+            cov = scale * (square(f, "s") / n[:, :, None] - mean[:, :, None] * mean[:, None, :]) + FLOOR**2 * np.eye(DIMS)
             yield params_of({"g": f["g"], "s": f["s"]}, mean, cov)
 
     return moments.mapInPandas(run, f"g long, s int, {PARAMS}")
@@ -180,7 +196,7 @@ def starts(rows: DataFrame, side: Side) -> DataFrame:
     centre = saved(rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(m) for x, m in zip(XS, MS, strict=True)]), "centre")
     spread = [F.percentile_approx(F.abs(F.col(x) - F.col(m)), 0.5, 10_000).alias(f"d{i}") for i, (x, m) in enumerate(zip(XS, MS, strict=True))]
     spread = saved(rows.join(side(centre), "g").groupBy("g", *MS).agg(*spread), "spread")
-    scale = [F.sqrt(F.pow(F.lit(1.4826) * F.col(f"d{i}"), 2) + F.lit(FLOORS[i] ** 2)) for i in range(DIMS)]
+    scale = [F.sqrt(F.pow(F.lit(1.4826) * F.col(f"d{i}"), 2) + F.lit(FLOOR**2)) for i in range(DIMS)]
     z = rows.join(side(spread), "g").select("g", *[((F.col(x) - F.col(m)) / d).alias(f"z{i}") for i, (x, m, d) in enumerate(zip(XS, MS, scale, strict=True))])
     z = z.withColumns({f"t{i}": F.tanh(f"z{i}") for i in range(DIMS)}).withColumn("norm", sum(F.col(f"z{i}") * F.col(f"z{i}") for i in range(DIMS)))
     tanh = [F.sum(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"t{i}{j}") for i, j in PAIRS] + [F.sum(f"t{i}").alias(f"t{i}") for i in range(DIMS)]
@@ -192,7 +208,7 @@ def starts(rows: DataFrame, side: Side) -> DataFrame:
             n, eye = f["n"].to_numpy(float)[:, None], np.eye(DIMS)
             mean = f[[f"t{i}" for i in range(DIMS)]].to_numpy(float) / n
             like = [np.broadcast_to(eye, (len(f), DIMS, DIMS)), square(f, "t") / n[:, :, None] - mean[:, :, None] * mean[:, None, :], square(f, "u") / n[:, :, None]]
-            wide = np.sqrt(np.square(1.4826 * f[[f"d{i}" for i in range(DIMS)]].to_numpy(float)) + np.square(FLOORS))
+            wide = np.sqrt(np.square(1.4826 * f[[f"d{i}" for i in range(DIMS)]].to_numpy(float)) + FLOOR**2)
             for s in STARTS:
                 # a little of the unit matrix keeps what does not vary from being singular
                 r = like[s] + 1e-6 * eye
@@ -224,7 +240,7 @@ def mcd(rows: DataFrame, share: float, side: Side) -> DataFrame:
 
 
 def drawn(rows: DataFrame, raw: DataFrame, prior: float, side: Side) -> DataFrame:
-    """PARAMS and g for each group g2, reweighted, and drawn to those of its language and of all rows."""
+    """PARAMS and g for each group g2, reweighted, drawn to those of its language and of all rows, and widened by the latter."""
     edge = 0.975
     inside = in_groups(rows).join(side(raw), ["g", "s"]).where(distance() <= chi2_quantile(edge, DIMS // 2)).select("g", "s", *XS)
     better = estimates(moments(inside), edge / chi2_cdf(chi2_quantile(edge, DIMS // 2), DIMS // 2 + 1))
@@ -247,19 +263,32 @@ def drawn(rows: DataFrame, raw: DataFrame, prior: float, side: Side) -> DataFram
                 w = (n / (n + prior))[:, None]
                 mean = w * of[k][MS].to_numpy(float) + (1 - w) * mean
                 cov = w[:, :, None] * square(of[k], "c") + (1 - w)[:, :, None] * cov
-            yield params_of({"g": f["g2"]}, mean, cov)
+            yield params_of({"g": f["g2"]}, mean, cov + COMMON**2 * square(of[0], "c"))
 
     return saved(cells.mapInPandas(run, f"g long, {PARAMS}"), "drawn")
 
 
-def quality_verdicts(docs: DataFrame, share: float = 0.75, prior: float = 200.0, level: float = 0.9999, few: int = 10_000) -> DataFrame:
+def drawn_by_length(rows: DataFrame, weight: float, side: Side) -> DataFrame:
+    """rows with x0... drawn to the medians of their language, as much as `weight` words count against their own."""
+    once = rows.select("g1", "n_words", *XS).distinct()
+    median = saved(once.groupBy(F.col("g1").alias("m_g")).agg(*[F.percentile_approx(x, 0.5, 10_000).alias(m) for x, m in zip(XS, MS, strict=True)]), "medians")
+    n = F.col("n_words")
+    near = {x: (n * F.col(x) + weight * F.col(m)) / (n + weight) for x, m in zip(XS, MS, strict=True)}
+    return rows.join(side(median), F.col("g1") == F.col("m_g")).withColumns(near).select(*rows.columns)
+
+
+def quality_verdicts(
+    docs: DataFrame, share: float = 0.75, prior: float = 200.0, weight: float = 40.0, level: float = 1 - 1e-8, few: int = 10_000
+) -> DataFrame:
     """(doc_id, h, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, d2, kept) for every document."""
     found = saved(stats(docs), "stats")
     columns = ["doc_id", "h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     passed = with_groups(found.where(~F.col("base_failed"))).select(*columns, *LEVELS, *[x.alias(n) for n, x in zip(XS, vector(), strict=True)])
-    passed = saved(passed, "vectors")
+    passed = saved(passed, "raw")
     side: Side = F.broadcast if passed.select("g2").distinct().count() <= few else lambda df: df
-    judged = passed.join(side(drawn(passed, mcd(passed, share, side), prior, side)), F.col("g2") == F.col("g")).select(*columns, distance().alias("d2"))
+    passed = saved(drawn_by_length(passed, weight, side), "vectors")
+    once = saved(passed.select(*LEVELS, *XS).distinct(), "once")
+    judged = passed.join(side(drawn(once, mcd(once, share, side), prior, side)), F.col("g2") == F.col("g")).select(*columns, distance().alias("d2"))
     judged = judged.withColumn("kept", F.col("d2") <= chi2_quantile(level, DIMS // 2))
     failed = found.where("base_failed").select(*columns, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))
     return judged.unionByName(failed)

@@ -1,5 +1,6 @@
 """Stages on rows that repeat a doc_id, on null ids and on columns named like inner ones; the robust estimates against NumPy."""
 
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -55,11 +56,21 @@ def test_good_documents_by_row(spark):
     assert got == Counter((i, t, s) for i, t, s in rows if t in good)
 
 
-def plain_quality(rows, share=0.75, prior=200.0):
-    """Verdicts of rows (doc_id, lang, source, x0...) by NumPy, groups and starts one after the other."""
+def plain_vector(text):
+    """The six statistics of a text, and its number of words."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, seen, pairs = len(w), Counter(w), list(zip(w, w[1:], strict=False))
+    marks = sum(33 <= ord(c) < 127 and not c.isalnum() for c in text)
+    same = sum(a == b for a, b in pairs)
+    x = [np.log(sum(map(len, w)) / n), np.log((marks + 1) / (n + 1)), np.sqrt(same / n), np.log(len(seen)) / np.log(n), np.sqrt(1 - len(set(pairs)) / len(pairs)), np.log(max(seen.values()) / n)]
+    return [n, *x]
+
+
+def plain_quality(rows, share=0.75, prior=200.0, weight=40.0):
+    """Distances of rows (doc_id, lang, source, n_words, x0...) by NumPy, groups and starts one after the other."""
     dims, half = quality.DIMS, quality.DIMS // 2
     chi = quality.chi2_quantile
-    floor = np.diag(np.square(quality.FLOORS))
+    floor = 5e-4**2 * np.eye(dims)
 
     def at(v, p):
         return np.sort(v)[int(np.ceil(p * len(v))) - 1]
@@ -93,24 +104,60 @@ def plain_quality(rows, share=0.75, prior=200.0):
         inside = x[d2(x, *raw) <= chi(0.975, half)]
         return fit(inside, 0.975 / quality.chi2_cdf(chi(0.975, half), half + 1)) if len(inside) else raw
 
-    x, out = np.array([r[3:] for r in rows]), {}
-    whole = estimate(x)
+    x, out = np.array([r[4:] for r in rows]), {}
+    size = np.array([r[3] for r in rows], float)[:, None]
+    for lang in {r[1] for r in rows}:
+        here = np.array([r[1] == lang for r in rows])
+        of = np.unique(np.hstack([size, x])[here], axis=0)[:, 1:]
+        median = np.array([at(of[:, i], 0.5) for i in range(dims)])
+        x[here] = (size[here] * x[here] + weight * median) / (size[here] + weight)
+    # groups as ordered pairs, so that one vector in two groups counts in both
+    names = sorted({(str(r[1]), str(r[2])) for r in rows})
+    numbered = np.hstack([np.array([names.index((str(r[1]), str(r[2]))) for r in rows])[:, None], x])
+    once = lambda here: np.unique(numbered[here], axis=0)[:, 1:]
+    whole = estimate(once(size[:, 0] > 0))
     for lang in {r[1] for r in rows}:
         in_lang = np.array([r[1] == lang for r in rows])
         draw = lambda own, up, n: tuple(n / (n + prior) * a + prior / (n + prior) * b for a, b in zip(own, up, strict=True))
-        of_lang = draw(estimate(x[in_lang]), whole, in_lang.sum())
+        of_lang = draw(estimate(once(in_lang)), whole, len(once(in_lang)))
         for source in {r[2] for r in rows if r[1] == lang}:
             here = in_lang & np.array([r[2] == source for r in rows])
-            mean, cov = draw(estimate(x[here]), of_lang, here.sum())
+            mean, cov = draw(estimate(once(here)), of_lang, len(once(here)))
+            cov = cov + whole[1] / 4
             out |= dict(zip([r[0] for r, h in zip(rows, here, strict=True) if h], d2(x[here], mean, cov), strict=True))
     return out
 
 
 def test_robust_estimates_are_those_of_numpy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    passed = quality.stats(docs).where("NOT base_failed").select("doc_id", "lang", "source", *quality.vector())
-    want = plain_quality([tuple(r) for r in passed.collect()])
+    passed = quality.stats(docs).where("NOT base_failed").select("doc_id", "lang", "source")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = plain_quality([(*r, *plain_vector(texts[r.doc_id])) for r in passed.collect()])
     got = {r.doc_id: (r.d2, r.kept) for r in quality.quality_verdicts(docs).where("NOT base_failed").collect()}
-    cut = quality.chi2_quantile(0.9999, quality.DIMS // 2)
+    cut = quality.chi2_quantile(1 - 1e-8, quality.DIMS // 2)
     assert got.keys() == want.keys() and sum(not k for _, k in got.values()) > 3
-    assert all(abs(got[i][0] - want[i]) <= 1e-6 * (1 + want[i]) and got[i][1] == (want[i] <= cut) for i in got)
+    assert max(abs(got[i][0] - want[i]) / (1 + want[i]) for i in got) <= 1e-6 and all(got[i][1] == (want[i] <= cut) for i in got)
+
+
+def test_spread_of_a_language_decides(spark):
+    """The same text is ordinary where word lengths differ from text to text, and an outlier where they hardly do."""
+    rng, rows = np.random.RandomState(5), []
+
+    def text(length, n=120):
+        return " ".join("".join("abcdefghijklmnopqrstuvwxyz"[k] for k in rng.randint(0, 26, max(1, length + rng.randint(-1, 2)))) for _ in range(n))
+
+    for i in range(1500):
+        rows.append((i, text(6), "narrow", "s"))
+        rows.append((10_000 + i, text(3 + i % 7), "wide", "s"))
+    odd = text(9)
+    rows += [(1, odd, "narrow", "s"), (2, odd, "wide", "s")]
+    got = quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    lost = Counter(r.doc_id < 10_000 for r in got.where("NOT kept").collect())
+    assert lost[True] == 1 and lost[False] == 0
+
+
+def test_labelled_documents_keep_to_their_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    got = Counter(tuple(r) for r in quality.quality_verdicts(docs).where("NOT base_failed").join(labels, "doc_id").select("quality", "kept").collect())
+    assert got[1, False] <= 0.01 * got[1, True] and got[0, True] <= 0.01 * got[0, False]
