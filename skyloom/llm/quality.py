@@ -13,8 +13,9 @@ reweighted once. Equal vectors of a group count once in all of this, so that cop
 
 The estimate of a language is then drawn to that of all documents, and that of a language and source to its language's,
 with the weight of ``prior`` rows against its own: smoothly, and alike at every size. A quarter of the scatter of all
-documents is added to it (``COMMON``), so that a group of near copies does not reject what is unlike them. A document is
-rejected where its squared Mahalanobis distance to the estimate of its language and source is above the cutoff. No
+documents is added to it (``COMMON``), so that a group of near copies does not reject what is unlike them, and to the two
+statistics that are roots of rates the variance that such a root has by chance: 1 / 4n in n words, and at most 1 / 16
+``weight`` when it is drawn to a median, so one repeated pair rejects no text where most have none. A document is rejected where its squared Mahalanobis distance to the estimate of its language and source is above the cutoff. No
 deviation is set by hand; ``FLOOR`` only keeps matrices from being singular.
 
 Estimates use every document. Only one row for each group and start reaches Python; distances and moments are Spark
@@ -52,6 +53,8 @@ FLOOR = 5e-4
 #: Share of the deviation of all documents that is added to that of each group.
 COMMON = 0.5
 DIMS = 6
+#: The statistics that are square roots of rates.
+ROOTS = (0, 0, 1, 0, 1, 0)
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 
 
@@ -239,7 +242,7 @@ def mcd(rows: DataFrame, share: float, side: Side) -> DataFrame:
     return saved(best.select("g", F.lit(0).alias("s"), *[F.col(f"b.{c}").alias(c) for c in names]), "mcd")
 
 
-def drawn(rows: DataFrame, raw: DataFrame, prior: float, side: Side) -> DataFrame:
+def drawn(rows: DataFrame, raw: DataFrame, prior: float, weight: float, side: Side) -> DataFrame:
     """PARAMS and g for each group g2, reweighted, drawn to those of its language and of all rows, and widened by the latter."""
     edge = 0.975
     inside = in_groups(rows).join(side(raw), ["g", "s"]).where(distance() <= chi2_quantile(edge, DIMS // 2)).select("g", "s", *XS)
@@ -263,7 +266,7 @@ def drawn(rows: DataFrame, raw: DataFrame, prior: float, side: Side) -> DataFram
                 w = (n / (n + prior))[:, None]
                 mean = w * of[k][MS].to_numpy(float) + (1 - w) * mean
                 cov = w[:, :, None] * square(of[k], "c") + (1 - w)[:, :, None] * cov
-            yield params_of({"g": f["g2"]}, mean, cov + COMMON**2 * square(of[0], "c"))
+            yield params_of({"g": f["g2"]}, mean, cov + COMMON**2 * square(of[0], "c") + np.diag(ROOTS) / (16 * weight))
 
     return saved(cells.mapInPandas(run, f"g long, {PARAMS}"), "drawn")
 
@@ -288,7 +291,7 @@ def quality_verdicts(
     side: Side = F.broadcast if passed.select("g2").distinct().count() <= few else lambda df: df
     passed = saved(drawn_by_length(passed, weight, side), "vectors")
     once = saved(passed.select(*LEVELS, *XS).distinct(), "once")
-    judged = passed.join(side(drawn(once, mcd(once, share, side), prior, side)), F.col("g2") == F.col("g")).select(*columns, distance().alias("d2"))
+    judged = passed.join(side(drawn(once, mcd(once, share, side), prior, weight, side)), F.col("g2") == F.col("g")).select(*columns, distance().alias("d2"))
     judged = judged.withColumn("kept", F.col("d2") <= chi2_quantile(level, DIMS // 2))
     failed = found.where("base_failed").select(*columns, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))
     return judged.unionByName(failed)
