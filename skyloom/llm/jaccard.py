@@ -17,8 +17,8 @@ Groups are the connected components of the links, found by rounds of joins with
 
 Defined cases: a text of one to four words is one shingle of all its words; texts without words are in no link and each
 is a class of its own; repeated rows are copies, and rows of one doc_id with different texts are documents of their own;
-rows with a null doc_id are left out of ``near_groups`` and kept by ``one_of_each_group``; an empty table gives an empty
-result; further columns are ignored by ``near_groups`` and kept, whatever they are called, by ``one_of_each_group``.
+rows with a null doc_id are documents like others in ``near_groups``, where a class without any doc_id has a null class_id,
+and are all kept by ``one_of_each_group``, where they link nothing; an empty table gives an empty result; further columns are ignored by ``near_groups`` and kept, whatever they are called, by ``one_of_each_group``.
 """
 
 from __future__ import annotations
@@ -266,18 +266,19 @@ def grouped(
     """
     runs = runs_for(recall, similarity, levels)
     table = saved(set_table(docs, n, runs, levels, similarity), "sets")
-    classes = table.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("copies"))
+    classes = table.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "h")).alias("first"), F.count("*").alias("copies"))
     classes = saved(classes.select("key", "first", "copies", F.monotonically_increasing_id().alias("id")), "classes")
     names = classes.select(F.col("key").alias("c_key"), "first", "copies", "id")
     members = saved(table.select("doc_id", "h", "key").join(names, F.col("key") == F.col("c_key")).select("doc_id", "h", "id", "copies", "first"), "members")
-    one = names.select("c_key", "id", F.col("first.doc_id").alias("f_id"))
-    sets = table.join(one, (F.col("key") == F.col("c_key")) & (F.col("doc_id") == F.col("f_id"))).select("id", "slots", "picks")
+    one = names.select("c_key", "id", F.col("first.doc_id").alias("f_id"), F.col("first.h").alias("f_h"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h"))
+    sets = table.join(one, (F.col("key") == F.col("c_key")) & is_first).select("id", "slots", "picks")
     kept = buckets(saved(sets, "first_sets"), runs, levels, limit)
     of_set = kept.groupBy("id").agg(F.collect_set("bucket").alias("buckets")).join(classes.select(F.col("id").alias("c_id"), "key", "copies", "first"), F.col("id") == F.col("c_id"))
-    of_set = saved(of_set.select("id", "buckets", "copies", "key", F.col("first.doc_id").alias("f_id")), "of_set")
+    of_set = saved(of_set.select("id", "buckets", "copies", "key", F.col("first.doc_id").alias("f_id"), F.col("first.h").alias("f_h")), "of_set")
     # The entries grow with the corpus: a plan that broadcasts them while they are few would not last.
     entries = kept.join(of_set, "id").hint("shuffle_hash")
-    entries = docs.join(entries, F.col("doc_id") == F.col("f_id")).drop("doc_id", "h")
+    entries = docs.join(entries, is_first).drop("doc_id", "h")
     found = saved(compared(entries, n, similarity, block), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.where("to IS NOT NULL").select(F.col("id").alias("a"), F.col("to").alias("b")))
@@ -292,8 +293,8 @@ def grouped(
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, text) of the rows with a doc_id; h tells rows of one doc_id apart by their texts."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    """(doc_id, h, text); h tells rows of one doc_id, or of none, apart by their texts."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.select("doc_id", F.xxhash64("text").alias("h"), "text")
 
 
@@ -319,7 +320,7 @@ def one_of_each_group(
     Rows without words and rows without a doc_id all stay; of rows that repeat doc_id and text one stays.
     """
     gone_id, gone_h, row, nth = unused(docs, "gone_id", "gone_h", "row_h", "nth")
-    gone = grouped(keyed(docs), n, similarity, recall, levels, limit, block).where("doc_id <> first.doc_id OR h <> first.h")
+    gone = grouped(keyed(docs).where("doc_id IS NOT NULL"), n, similarity, recall, levels, limit, block).where("doc_id <> first.doc_id OR h <> first.h")
     gone = saved(gone.select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h)).distinct(), "gone").hint("shuffle_hash")
     # Only rows with a doc_id and words can repeat; the others are not brought together.
     may = F.col("doc_id").isNotNull() & has_words("text")

@@ -144,23 +144,23 @@ def test_members_are_read_again_by_offset(spark, edge, tmp_path):
 
 
 def brute_groups(docs, n=5, similarity=0.8):
-    sets = {r.doc_id: set(T.shingles((r.text or "").encode(), n).tolist()) for r in docs.where("doc_id IS NOT NULL").collect()}
-    links, up = Counter(), {i: i for i in sets}
+    """{doc_id: (class, links)} by all pairs of rows; a missing doc_id comes after all others."""
+    rows = sorted(((r.doc_id, set(T.shingles((r.text or "").encode(), n).tolist())) for r in docs.select("doc_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0))
+    links, up = Counter(), list(range(len(rows)))
 
     def top(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    ids = sorted(sets)
-    for a in range(len(ids)):
-        for b in range(a + 1, len(ids)):
-            x, y = sets[ids[a]], sets[ids[b]]
+    for a, (_, x) in enumerate(rows):
+        for b in range(a + 1, len(rows)):
+            y = rows[b][1]
             if x and y and len(x & y) >= similarity * len(x | y):
-                links.update((ids[a], ids[b]))
-                p, q = top(ids[a]), top(ids[b])
+                links.update((a, b))
+                p, q = top(a), top(b)
                 up[max(p, q)] = min(p, q)
-    return {i: (top(i), links[i]) for i in ids}
+    return {i: (rows[top(k)][0], links[k]) for k, (i, _) in enumerate(rows)}
 
 
 def test_near_copies(spark, docs, edge, empty):

@@ -37,6 +37,12 @@ def test_groups_of_one_doc_id_with_two_texts(spark):
     assert got == [(1, 1, 1), (5, 1, 1), (5, 5, 1), (6, 5, 1)]
 
 
+def test_rows_without_a_doc_id_have_links(spark):
+    rows = [(1, W1, "s"), (None, W1, "s"), (None, f"{W1} end", "s"), (None, W2, "s"), (None, W2, "s"), (None, None, "s"), (3, "other words", "s")]
+    got = Counter(tuple(r) for r in jaccard.near_groups(clashing(spark, rows)).collect())
+    assert got == Counter({(1, 1, 2): 1, (None, 1, 2): 2, (None, None, 1): 2, (None, None, 0): 1, (3, 3, 0): 1})
+
+
 def test_mix_emits_its_plan(spark):
     rows = [(1, W1, "a")] * 40 + [(1, W2, "a"), (2, W2, None), (None, W1, None), (None, None, "b"), (3, "", "b")]
     df = clashing(spark, rows)
