@@ -6,7 +6,8 @@ intersection of their keys, sorted, cuts both id lists into groups, and the last
 Words are remembered with what they align to. A word here is a run of white space and the run of other characters after
 it. A's pattern never matches from other characters into white space, and neither does a token of B, except for the
 characters in ``Aligner.glue`` (found in B's vocabulary); a text with one of these is aligned whole. So both tokenizers end
-a token at each word's end, and a text's groups are those of its words. New words are encoded many in one text and cut.
+a token at each word's end, and a text's groups are those of its words. New words are encoded many in one text and cut;
+the white space that ends a text, a word without other characters, is encoded by itself.
 
 Of two tokens that end together, the shorter one's bytes end the longer one's. So the vocabularies alone bound the number
 of id pairs that can ever be linked (``PairTable``, 324,297 for the two files of the query, whatever the corpus holds).
@@ -43,6 +44,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 HIGH = re.compile("[^\0-\u024f]")
 #: B's sign for a space.
 LOW_LINE = "▁"
+#: Characters of a word from which the tokenizers library encodes it: the other one's pattern fails on a million characters of white space.
+STACK = 100_000
 #: Words remembered before the memo starts anew, and the longest that is.
 MEMO, LONGEST = 400_000, 48
 
@@ -135,7 +138,7 @@ class Aligner:
         The words are encoded as one text, which has to start with white space. None if either's bytes are not the text's.
         """
         text = "".join(words)
-        if self.fast and not HIGH.search(text):
+        if self.fast and max(map(len, words)) < STACK and not HIGH.search(text):
             a = self.fast.encode_ordinary(text)
         else:
             a = self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -167,7 +170,9 @@ class Aligner:
         return found and found[0]
 
     def learn(self, new: list[str], size: int = 500) -> None:
-        """Remembers the entry of each word."""
+        """Remembers the entry of each word. One of white space alone ends a text; beside another word its run would go on, so it is encoded by itself."""
+        ends, new = [w for w in new if not w.strip(SPACE)], [w for w in new if w.strip(SPACE)]
+        self.memo.update(zip(ends, map(self.whole, ends), strict=True))
         for at in range(0, len(new), size):
             part = new[at : at + size]
             self.memo.update(zip(part, self.entries(part) or map(self.whole, part), strict=True))

@@ -105,6 +105,27 @@ def test_words_give_what_whole_texts_give():
     assert all(n == len(x.pairs.keys) for n in (len(x.pairs), len(set(x.pairs.keys.tolist()))))
 
 
+def test_white_space_at_the_end_beside_other_new_words():
+    for end in ("  ", " ", "\n", "\n\n", "\u2003 ", "\t \n"):
+        for words in ("a  b", "a\n\nb", "  c   d", " \n e"):
+            x = A.Aligner(*FILES)
+            texts = [f"x{end}", words, f"{words}{end}", end]
+            for part in (sorted(texts), sorted(texts, reverse=True)):
+                x.memo = {}
+                assert x.many(part) == [x.whole(f" {t}") for t in part]
+                for order in ([end, "  b", "\n\nb"], ["  b", end, "\n\nb"]):  # whatever the order of a set
+                    x.memo = {}
+                    x.learn(order)
+                    assert all(x.memo[w] == x.whole(w) for w in order)
+
+
+def test_a_million_line_ends():
+    x = A.aligner(*FILES)
+    n = 1_200_000
+    found = x.many(["a" + "\n" * n])[0]
+    assert found[2] == len(x.tok.encode(" a" + "\n" * n, add_special_tokens=False).ids)
+
+
 def test_memo_starts_anew(monkeypatch):
     monkeypatch.setattr(A, "MEMO", 10)
     x = A.Aligner(*FILES)
