@@ -111,10 +111,21 @@ def write_by_pixel(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
     df.hint("rebalance", "zrange", "pix", "step").write.mode(mode).partitionBy("zrange", "pix", "step").parquet(path)
 
 
-def write_slabs(df: DataFrame, path: str, slabs: int, mode: str = "errorifexists") -> None:
-    """Rows of a step in pixel order in `slabs` ranges of pixels, and a table of offsets beside them."""
-    df.repartitionByRange(slabs, "pix").sortWithinPartitions("step", "pix").write.mode(mode).partitionBy("step").parquet(f"{path}/rows")
+def write_slabs(df: DataFrame, path: str, slabs: int, mode: str = "errorifexists", task_rows: int = 1_000_000) -> None:
+    """Rows of a step in pixel order in `slabs` ranges of pixels, and a table of offsets beside them.
+
+    A table of more than task_rows rows is cut into more ranges, as many for each slab, so that no task sorts much more than
+    that; then the rows of one pixel may go on in the next file. Within a step, files follow each other in pixel order in both cases.
+    """
     catalog.pixel_offsets(df).write.mode(mode).partitionBy("step").parquet(f"{path}/offsets")
+    rows = scan(df.sparkSession, f"{path}/offsets").agg(F.sum("count_idx")).first()[0] or 0
+    if rows <= task_rows:
+        ranged = df.repartitionByRange(slabs, "pix").sortWithinPartitions("step", "pix")
+    else:
+        tasks = slabs * math.ceil(rows / (slabs * task_rows))
+        cut = df.withColumn("_row", F.xxhash64(*df.columns))  # where a pixel of many rows is cut
+        ranged = cut.repartitionByRange(tasks, "pix", "step", "_row").drop("_row").sortWithinPartitions("step", "pix")
+    ranged.write.mode(mode).partitionBy("step").parquet(f"{path}/rows")
 
 
 def file_starts(spark: SparkSession, path: str) -> DataFrame:

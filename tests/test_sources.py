@@ -87,6 +87,22 @@ def test_rows_are_read_at_their_offsets(spark, tmp_path):
     assert back.count() == 3 * 48 and back.where("place <> idx").count() == 0
 
 
+def test_slabs_of_many_rows_are_written_by_more_tasks(spark, tmp_path):
+    # half of all rows are of one pixel and step
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") % 3).cast("int").alias("step"), F.when(F.col("id") % 2 == 0, 20).otherwise(F.col("id") * 7919 % 40).alias("pix"), "id")
+    io.write_slabs(rows.repartition(5), f"{tmp_path}/slab", 2, task_rows=250)
+    at = spark.read.parquet(f"{tmp_path}/slab/rows").groupBy("step", F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.min("pix").alias("lo"), F.max("pix").alias("hi")).collect()
+    task = lambda r: r.file.rsplit("/", 1)[1].split("-")[1]
+    sizes = {t: sum(r.n for r in at if task(r) == t) for t in {task(r) for r in at}}
+    assert sum(sizes.values()) == 4000 and max(sizes.values()) <= 500
+    for step in range(3):
+        ordered = sorted((r for r in at if r.step == step), key=lambda r: r.file)
+        assert all(a.hi <= b.lo for a, b in zip(ordered, ordered[1:]))
+    for wanted in ([20], [3, 39], list(range(40))):
+        got = io.read_pixels(spark, f"{tmp_path}/slab", spark.createDataFrame([(p,) for p in wanted], "pix long"))
+        assert sorted(r.id for r in got.collect()) == sorted(r.id for r in rows.where(F.col("pix").isin(wanted)).collect())
+
+
 def test_keyed_tables_need_no_exchange(spark, tmp_path):
     rows = spark.range(400).select((F.col("id") % 3).cast("int").alias("step"), (F.col("id") % 50).alias("id"), F.lit(0).alias("replication"), F.col("id").alias("x"))
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
