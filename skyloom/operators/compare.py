@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -116,23 +117,34 @@ def bag_diff_by_digests(a: DataFrame, b: DataFrame, keys: tuple[str, ...], bucke
     return bag_diff_count(*[x.join(F.broadcast(other), bucket == F.col("_differs"), "left_semi").select(*keys) for x in (a, b)], keys)
 
 
-def near_pairs(a: DataFrame, b: DataFrame, tol: float, mass_tol: float, two_sided: bool, key: str, mass: str) -> DataFrame:
+def in_cubes(df: DataFrame, prefix: str, width: float, tol: float = 0.0) -> DataFrame:
+    """The rows with cx, cy, cz, the cube of that width that they are in; with tol, once for each cube that is within tol of them along each axis."""
+    cube = lambda c: F.floor(c / width).cast("long")
+    reach = tol * 1.001  # rounding puts no row short of a border
+    for c in "xyz":
+        at = F.col(f"{prefix}{c}")
+        df = df.withColumn(f"c{c}", F.explode(F.sequence(cube(at - reach), cube(at + reach))) if tol else cube(at))
+    return df
+
+
+def near_pairs(a: DataFrame, b: DataFrame, tol: float, mass_tol: float, two_sided: bool, key: str, mass: str, within: float = math.inf, edge: float = 4.0) -> DataFrame:
     """(a_key, b_key, d2, cx, cy, cz: a cube of theirs) of all pairs whose coordinates each differ by less than tol and whose masses agree.
 
-    Both sides are cut into cubes of edge tol; b is put into the 27 cubes around its own, so equal cubes hold every pair
-    that can match. Rows of one key count as one, at their smallest distance.
+    Both sides are cut into cubes of `edge` times tol; b is also put into the other cubes within tol of it (3.4 rows for each at
+    an edge of 4), so equal cubes hold every pair that can match. Rows of one key count as one, at their smallest distance.
+    With `within`, only pairs nearer than that.
     """
     xyz = ("x", "y", "z")
-    cube = [F.floor(F.col(c) / tol).cast("long") for c in xyz]
-    left = a.select(F.col(key).alias("a_key"), F.col(mass).alias("a_m"), *[F.col(c).alias(f"a_{c}") for c in xyz], *[q.alias(f"c{c}") for q, c in zip(cube, xyz, strict=True)])
-    right = b.select(F.col(key).alias("b_key"), F.col(mass).alias("b_m"), *[F.col(c).alias(f"b_{c}") for c in xyz], *[q.alias(f"c{c}") for q, c in zip(cube, xyz, strict=True)])
-    for c in xyz:
-        right = right.withColumn(f"c{c}", F.explode(F.array(*[F.col(f"c{c}") + k for k in (-1, 0, 1)])))
+    left = in_cubes(a.select(F.col(key).alias("a_key"), F.col(mass).alias("a_m"), *[F.col(c).alias(f"a_{c}") for c in xyz]), "a_", edge * tol)
+    right = in_cubes(b.select(F.col(key).alias("b_key"), F.col(mass).alias("b_m"), *[F.col(c).alias(f"b_{c}") for c in xyz]), "b_", edge * tol, tol)
     d = [F.col(f"a_{c}") - F.col(f"b_{c}") for c in xyz]
     near = reduce(lambda p, q: p & q, [F.abs(v) < tol for v in d])
     change = F.try_divide(F.col("a_m") - F.col("b_m"), F.col("a_m"))
     near = near & ((F.abs(change) if two_sided else change) < mass_tol)
-    return left.join(right, [f"c{c}" for c in xyz]).where(near).groupBy("a_key", "b_key").agg(F.min(P.dist2(*d)).alias("d2"), *[F.min(f"c{c}").alias(f"c{c}") for c in xyz])
+    if within < math.inf:
+        near = near & (P.dist2(*d) < within * within)
+    # never broadcast: Spark's estimate does not know how many cubes a row goes to
+    return left.join(right.hint("merge"), [f"c{c}" for c in xyz]).where(near).groupBy("a_key", "b_key").agg(F.min(P.dist2(*d)).alias("d2"), *[F.min(f"c{c}").alias(f"c{c}") for c in xyz])
 
 
 def mutual(pairs: DataFrame) -> DataFrame:
@@ -153,20 +165,25 @@ def without(pairs: DataFrame, taken: DataFrame) -> DataFrame:
 
 
 def match_remainder(
-    a: DataFrame, b: DataFrame, tol: float = 0.05, mass_tol: float = 0.05, two_sided: bool = False, key: str = "tag", mass: str = "mass", one_task: int = 1_000_000
+    a: DataFrame, b: DataFrame, tol: float = 0.05, mass_tol: float = 0.05, two_sided: bool = False, key: str = "tag", mass: str = "mass", one_task: int = 1_000_000, near: float = 16.0
 ) -> DataFrame:
     """(a_key, b_key, d2): as match_by_position, then the same among the rows that are left, until no pair is left.
 
-    That is the matching that takes pairs nearest first (equal distances by key), wherever both rows are free. After one
+    That is the matching that takes pairs nearest first (equal distances by key), wherever both rows are free. Of pairs
+    nearer than a fraction of tol the mutual nearest ones are so among all pairs, so they are taken first, and all pairs
+    within tol are only made of the rows that these leave: what is shuffled does not grow with the square of the density
+    of rows that have their partner near. After one
     round of mutual nearest pairs, components of what is left are matched each in a stream of its own, so the number of
     jobs does not grow with chains of pairs that wait for each other. Components of more than one_task pairs are not put
     into one task: from these, rounds of mutual nearest pairs are taken off until they fall apart.
     """
+    a, b = (x.select(key, mass, "x", "y", "z") for x in (a, b))
+    found = checkpointed(mutual(near_pairs(a, b, tol / near, mass_tol, two_sided, key, mass, within=tol / near)))
+    a, b = (x.join(found.select(F.col(f"{s}_key").alias("_taken")), F.col(key) == F.col("_taken"), "left_anti") for s, x in (("a", a), ("b", b)))
     left = checkpointed(near_pairs(a, b, tol, mass_tol, two_sided, key, mass))
-    found = None
     while True:
         new = checkpointed(mutual(left))
-        found = new if found is None else found.unionByName(new)
+        found = found.unionByName(new)
         left = checkpointed(without(left, new))
         if left.isEmpty():
             return found

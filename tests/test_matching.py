@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,31 @@ def test_bags_by_digests(spark):
             assert K.bag_diff_by_digests(a, b, ("k", "s"), buckets).first() == want
     # null and a value that hashes as if it were passed over are not the same
     assert K.bag_diff_by_digests(spark.createDataFrame([(None, "1")], "k string, s string"), spark.createDataFrame([("1", None)], "k string, s string"), ("k", "s")).first() == (1, 1)
+
+
+def test_rows_go_to_few_cubes(spark):
+    rng = np.random.RandomState(3)
+    rows = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rng.uniform(-20, 20, (2000, 3)))], "k long, x double, y double, z double")
+    assert K.in_cubes(rows, "", 4.0).count() == 2000 < K.in_cubes(rows, "", 4.0, 1.0).count() < 3.6 * 2000
+
+
+def test_pairs_of_near_partners_only_are_made(spark, monkeypatch):
+    """Rows with a partner near and many others within reach: the matching is that of a plain greedy one, and few pairs are made."""
+    rng = np.random.RandomState(4)
+    place = rng.uniform(0, 6, (600, 3))
+    a = [(i, *map(float, p), 1.0) for i, p in enumerate(place)]
+    b = [(1000 + i, *map(float, p + (rng.uniform(-0.02, 0.02, 3) if i % 10 else 0.5)), 1.0 + 0.001 * (i % 4)) for i, p in enumerate(place) if i % 29]
+    made, plain = [], K.near_pairs
+
+    def counted(*args, **options):
+        made.append(plain(*args, **options).count())
+        return plain(*args, **options)
+
+    monkeypatch.setattr(K, "near_pairs", counted)
+    fa, fb = (spark.createDataFrame(r, "tag long, x double, y double, z double, mass double") for r in (a, b))
+    got = sorted((r.a_key, r.b_key) for r in K.match_remainder(fa, fb, tol=2.5, two_sided=True).collect())
+    every = [
+        (sum((p[k] - q[k]) * (p[k] - q[k]) for k in (1, 2, 3)), p[0], q[0]) for p in a for q in b if all(abs(p[k] - q[k]) < 2.5 for k in (1, 2, 3)) and abs((p[4] - q[4]) / p[4]) < 0.05
+    ]
+    assert got == nearest_first(every)
+    assert sum(made) < 6 * len(a) < len(every) / 10
