@@ -84,10 +84,14 @@ def compare_halos(a: DataFrame, b: DataFrame, columns: tuple[str, ...], limit: f
 
 
 def compare_bins(a: DataFrame, b: DataFrame, tags: DataFrame, columns: tuple[str, ...], limit: float, keys: tuple[str, str] = ("fof_halo_bin_tag", "sod_halo_bin")) -> tuple[DataFrame, DataFrame]:
-    """Profile bins of the halos with these tags, aligned on tag and bin."""
+    """Profile bins of the halos with these tags, aligned on tag and bin.
+
+    The statistics are of bins that both tables hold, so it does to cut the first one by the tags; the second one then stays
+    where its own keys have placed it.
+    """
     wanted = tags.select(F.col(tags.columns[0]).alias(keys[0])).distinct()
-    cut = [x.join(wanted, keys[0], "left_semi") for x in (a, b)]
-    return compare_by_key(*cut, keys, columns, limit)
+    one, two = (x.join(wanted, keys[0], "left_semi") for x in (a, b))
+    return compare_by_key(one, b, keys, columns, limit)[0], compare_by_key(one, two, keys, columns, limit)[1]
 
 
 def bag_diff_count(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> DataFrame:

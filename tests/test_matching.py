@@ -128,3 +128,15 @@ def test_pairs_of_near_partners_only_are_made(spark, monkeypatch):
     ]
     assert got == nearest_first(every)
     assert sum(made) < 6 * len(a) < len(every) / 10
+
+
+def test_bins_are_cut_once(spark):
+    """The second table of bins is not cut by the tags again: one semi join for the statistics, and the counts are still those of these tags."""
+    a = spark.createDataFrame([(t, k, float(t + k + 1)) for t in range(6) for k in range(3)], "tag long, bin int, m double")
+    b = a.where("tag <> 2 OR bin = 0").withColumn("m", F.col("m") * 1.5).unionByName(spark.createDataFrame([(1, 9, 1.0), (5, 9, 1.0)], a.schema))
+    tags = spark.createDataFrame([(1,), (2,), (2,), (77,)], "t long")
+    stats, counts = K.compare_bins(a, b, tags, ("m",), 1e-3, ("tag", "bin"))
+    assert stats._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1
+    row = stats.first()
+    assert row.n == 4 and not row.passed and abs(row.mean_diff + 0.5 * (2 + 3 + 4 + 3) / 4) < 1e-12
+    assert tuple(counts.first()) == (4, 2, 1)
